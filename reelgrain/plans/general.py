@@ -76,16 +76,16 @@ _FIELD = '("([^"]|"")*"|[^"{0}]*)'
 def _p3() -> str:
     def fields(line: str) -> str:
         one = lambda d: f"list_transform(regexp_extract_all('{d}' || {line}, '{d}(\"(?:[^\"]|\"\")*\"|[^\"{d}]*)', 1), lambda x: CASE WHEN x[1] = '\"' THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)"
-        return f"CASE WHEN semi THEN {one(';')} ELSE {one(',')} END"
+        return f"CASE WHEN semicolon THEN {one(';')} ELSE {one(',')} END"
 
-    quoted = " ".join(f"WHEN {cond} THEN regexp_full_match(line, '{_FIELD.format(d)}({d}{_FIELD.format(d)})*')" for cond, d in (("semi", ";"), ("NOT semi", ",")))
+    quoted = " ".join(f"WHEN {cond} THEN regexp_full_match(line, '{_FIELD.format(d)}({d}{_FIELD.format(d)})*')" for cond, d in (("semicolon", ";"), ("NOT semicolon", ",")))
     get = lambda c: f"trim(coalesce(fields[list_position(names, '{c}')], ''), {_SPACES})"
     numbers = " OR ".join(f"NOT regexp_full_match({get(c)}, '[0-9]*')" for c in rejects.NUMBERS)
     return f"""
 WITH h AS (SELECT file_name, regexp_replace(regexp_replace(arg_min(raw_line, raw_id), chr(13) || '$', ''), '^' || chr(65279), '') AS line FROM source_metadata_raw WHERE line_no = 1 GROUP BY 1),
-h2 AS (SELECT file_name, contains(line, ';') AS semi, line FROM h),
-h3 AS (SELECT file_name, semi, list_transform({fields("line")}, lambda x: lower(trim(x, {_SPACES}))) AS names FROM h2),
-l AS (SELECT raw_id, coalesce(semi, false) AS semi, coalesce(names, []) AS names, regexp_replace(coalesce(raw_line, ''), chr(13) || '$', '') AS line FROM source_metadata_raw r LEFT JOIN h3 USING (file_name) WHERE line_no IS NULL OR line_no <> 1),
+h2 AS (SELECT file_name, contains(line, ';') AS semicolon, line FROM h),
+h3 AS (SELECT file_name, semicolon, list_transform({fields("line")}, lambda x: lower(trim(x, {_SPACES}))) AS names FROM h2),
+l AS (SELECT raw_id, coalesce(semicolon, false) AS semicolon, coalesce(names, []) AS names, regexp_replace(coalesce(raw_line, ''), chr(13) || '$', '') AS line FROM source_metadata_raw r LEFT JOIN h3 USING (file_name) WHERE line_no IS NULL OR line_no <> 1),
 q AS (SELECT *, CASE {quoted} END AS ok FROM l),
 f AS (SELECT *, CASE WHEN ok THEN {fields("line")} END AS fields FROM q),
 c AS (SELECT raw_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(fields) <> len(names) THEN 'column_count'
