@@ -111,18 +111,20 @@ def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> Dat
             frames = np.stack([t.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in range(1, 5)], 1)
             flags = t.column(5).to_numpy().astype(bool)
             wide, narrow = fold(frames)
-            row = np.tile(np.arange(len(ids)), len(LINES))
+            row = np.tile(np.arange(len(ids), dtype=np.uint64), len(LINES))
             for g in groups:
                 codes = line_codes(frames, g).ravel()
                 bucket = _bucket(codes, buckets)
-                order = np.lexsort((codes, bucket))
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                packed = np.sort(bucket << np.uint64(48) | codes.astype(np.uint64) << np.uint64(24) | row)
+                order = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
+                ordered = (packed >> np.uint64(24) & np.uint64(0xFFFFFF)).astype(np.uint32)
+                cuts = np.searchsorted(packed >> np.uint64(48), np.arange(buckets + 1))
                 rows = []
                 for b in range(buckets):
                     for lo in range(int(cuts[b]), int(cuts[b + 1]), BLOCK):
-                        o = order[lo : min(lo + BLOCK, int(cuts[b + 1]))]
-                        r = row[o]
-                        rows.append((g, b, int(codes[o[0]]), int(codes[o[-1]]), pack(codes[o], ids[r], wide[r], narrow[r], flags[r])))
+                        hi = min(lo + BLOCK, int(cuts[b + 1]))
+                        r, own = order[lo:hi], ordered[lo:hi]
+                        rows.append((g, b, int(own[0]), int(own[-1]), pack(own, ids[r], wide[r], narrow[r], flags[r])))
                 if rows:
                     types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["grp", "bucket", "low", "high", "blob"])
@@ -184,7 +186,7 @@ def _stored(paths: list[str], group: int, bucket: int, codes: np.ndarray) -> lis
 
 def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     whole = tuple(np.concatenate(c) for c in zip(*parts))
-    order = np.argsort(whole[0], kind="stable")
+    order = (np.sort(whole[0].astype(np.uint64) << np.uint64(32) | np.arange(len(whole[0]), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     return tuple(c[order] for c in whole)
 
 
@@ -259,17 +261,20 @@ class History:
         self.buckets = buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.entries: list[str] = []
         self.chunks: list[str] = []
+        self.steps: dict[str, str] = {}
 
     def accepted(self) -> DataFrame:
         return self.spark.read.schema("entry_id bigint, dig binary, sample_id string, vid bigint, f1 bigint, f2 bigint, f3 bigint, f4 bigint").parquet(*self.entries)
 
     def decide(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted entries, accepted_id / refused_id / kind of the refused ones) of a batch of manifest rows."""
-        rows = written(normalised(batch), "batch")
         frames = ["f1", "f2", "f3", "f4"]
-        vectors = written(rows.filter("f1 is not null").groupBy(*frames).agg(F.min("entry_id").alias("vid")), "vectors")
-        bare = rows.filter("f1 is null").withColumn("vid", F.lit(None).cast("bigint"))
-        rows = written(rows.join(vectors, frames).select(*bare.columns).unionByName(bare), "entries")
+        read = self._step(normalised(batch), "batch")
+        vectors = self._step(read.filter("f1 is not null").groupBy(*frames).agg(F.min("entry_id").alias("vid")), "vectors")
+        columns = ["entry_id", "dig", "sample_id", "vid"]
+        bare = read.filter("f1 is null").withColumn("vid", F.lit(None).cast("bigint")).select(*columns)
+        rows = self._step(read.join(vectors, frames).select(*columns).unionByName(bare), "entries")
+        self._forget("batch")
         empty = lambda ddl: self.spark.createDataFrame([], ddl)
         if self.entries:
             old = self.accepted()
@@ -277,14 +282,14 @@ class History:
             old_vectors = old.filter("f1 is not null").select(F.col("entry_id").alias("vid"), *frames)
             near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius), vectors, old_vectors, self.radius)
             near = near.join(rows.select("entry_id", F.col("vid").alias("a")), "a").select(F.col("b").alias("accepted_id"), F.col("entry_id").alias("refused_id"))
-            by_history = written(self._kinds(exact, near), "refusals")
-            undecided = written(rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti"), "undecided")
+            by_history = self._step(self._kinds(exact, near), "by_history")
+            undecided = self._step(rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti"), "undecided")
             open_ids = undecided.filter("vid is not null").select("vid").distinct().withColumn("open", F.lit(True))
             flagged = vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         else:
             by_history, undecided, flagged = empty(PAIR), rows, vectors.withColumn("open", F.lit(True))
-        pairs = written(within(candidates(flagged, self.buckets, None, self.radius), vectors, vectors, self.radius), "near")
-        both = written(pairs.union(pairs.select("b", "a")).distinct(), "near")
+        pairs = within(candidates(flagged, self.buckets, None, self.radius), vectors, vectors, self.radius)
+        both = self._step(pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "near")
         taken = self._settle(undecided, both)
         refused = rows.join(taken.select("entry_id"), "entry_id", "left_anti")
         by_key = lambda k: refused.select("entry_id", k).join(taken.select(F.col("entry_id").alias("accepted_id"), k), k)
@@ -292,7 +297,19 @@ class History:
         exact = reduce(DataFrame.unionByName, (earlier(by_key(k)) for k in KEYS[:2]))
         met = refused.select("entry_id", F.col("vid").alias("a")).join(both, "a").select("entry_id", F.col("b").alias("vid"))
         near = earlier(by_key("vid")).unionByName(earlier(met.join(taken.select(F.col("entry_id").alias("accepted_id"), "vid"), "vid")))
-        return taken, written(by_history.unionByName(self._kinds(exact, near)), "refusals")
+        refusals = written(by_history.unionByName(self._kinds(exact, near)), "refusals")
+        return self._step(taken.join(vectors, "vid", "left").select(*columns, *frames), "accepted"), refusals
+
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut lineage through a table that lives until the batch is done."""
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.steps[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _forget(self, *names: str) -> None:
+        for name in names or tuple(self.steps):
+            remove(self.spark, self.steps.pop(name))
 
     @staticmethod
     def _kinds(exact: DataFrame, near: DataFrame) -> DataFrame:
@@ -305,7 +322,7 @@ class History:
         keyed = undecided.select("entry_id", F.inline(F.array(*(F.struct(F.lit(i).alias("t"), (F.col(k) if k == "dig" else F.col(k).cast("string").cast("binary")).alias("key")) for i, k in enumerate(KEYS))))).filter("key is not null")
         met = near.select(F.lit(2).alias("t"), F.col("a").cast("string").cast("binary").alias("key")).distinct()
         shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "key").unionByName(met).distinct()
-        links = first = written(keyed.join(shared, ["t", "key"]), "links")
+        links = first = self._step(keyed.join(shared, ["t", "key"]), "links")
         number = lambda c: c.cast("string").cast("bigint")
         accepted: list[DataFrame] = []
         while not links.isEmpty():
@@ -322,7 +339,7 @@ class History:
         if not accepted:
             return undecided
         lost = first.select("entry_id").distinct().join(reduce(DataFrame.unionByName, accepted), "entry_id", "left_anti")
-        return written(undecided.join(lost, "entry_id", "left_anti"), "taken")
+        return self._step(undecided.join(lost, "entry_id", "left_anti"), "taken")
 
     def append(self, taken: DataFrame) -> None:
         """Add accepted entries and their chunks; nothing that is stored is read or written again."""
@@ -339,13 +356,15 @@ class History:
         taken, refusals = self.decide(batch)
         if not last:
             self.append(taken)
+        self._forget()
+        release_shuffles(self.spark)
         return refusals
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
 
-def refusals(manifest: DataFrame, lead: int = 4096, buckets: int | None = None) -> DataFrame:
+def refusals(manifest: DataFrame, lead: int = 1024, buckets: int | None = None) -> DataFrame:
     """The refusals of a whole manifest, ingested as a start of `lead` rows, the rest of its first batch, and the later ones.
 
     The greedy order is entry_id's, so that any parting into ascending batches gives the same rows; a short start lets
