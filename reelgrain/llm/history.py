@@ -102,14 +102,14 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> DataFrame:
-    """grp, bucket, low, high, blob: line codes of (vid, f1..f4, open), packed by bucket."""
+    """grp, bucket, low, high, blob: line codes of (vid, bits, open), packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             ids = t.column(0).to_numpy().astype(np.int64)
-            frames = np.stack([t.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in range(1, 5)], 1)
-            flags = t.column(5).to_numpy().astype(bool)
+            frames = np.frombuffer(b"".join(t.column(1).to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64)
+            flags = t.column(2).to_numpy().astype(bool)
             wide, narrow = fold(frames)
             row = np.tile(np.arange(len(ids), dtype=np.uint64), len(LINES))
             for g in groups:
@@ -139,7 +139,7 @@ def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> Dat
         if n:
             yield from emit(held)
 
-    return vectors.select("vid", "f1", "f2", "f3", "f4", "open").mapInArrow(run, "grp int, bucket int, low bigint, high bigint, blob binary")
+    return vectors.select("vid", "bits", "open").mapInArrow(run, "grp int, bucket int, low bigint, high bigint, blob binary")
 
 
 def _meet(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
@@ -226,25 +226,18 @@ def candidates(vectors: DataFrame, buckets: int, stored: list[str] | None, radiu
 
 def within(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The pairs (a of left, b of right) that differ in at most `radius` bits."""
-    frame = lambda d, side: d.select(F.col("vid").alias(side), *(F.col(f"f{i}").alias(f"{side}{i}") for i in range(1, 5)))
-    bits = reduce(Column.__add__, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 5)))
-    return pairs.join(frame(left, "a"), "a").join(frame(right, "b"), "b").filter(bits <= radius).select("a", "b")
-
-
-def _word(c: Column) -> Column:
-    """A 64-bit word of 16 hex digits as a bigint; null for any other text."""
-    x = F.when(trimmed_lower(c).rlike(r"\A[0-9a-f]{16}\z"), trimmed_lower(c))
-    half = lambda s: F.conv(s, 16, 10).cast("bigint")
-    return F.shiftleft(half(F.substring(x, 1, 8)), 32).bitwiseOR(half(F.substring(x, 9, 8)))
+    side = lambda d, a: d.select(F.col("vid").alias(a), F.col("bits").alias(f"{a}_bits"))
+    part = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("bigint")
+    differ = reduce(Column.__add__, (F.bit_count(part(F.col("a_bits"), i).bitwiseXOR(part(F.col("b_bits"), i))) for i in range(8)))
+    return pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").filter(differ <= radius).select("a", "b")
 
 
 def normalised(manifest: DataFrame) -> DataFrame:
-    """entry_id, dig, sample_id, f1..f4 (all four or none)."""
-    words = [_word(F.get("frame_hashes", F.lit(i))).alias(f"f{i + 1}") for i in range(4)]
-    whole = F.size("frame_hashes") == 4
-    rows = manifest.filter("entry_id is not null").select("entry_id", F.unhex(digest_hex("video_sha256")).alias("dig"), "sample_id", whole.alias("w"), *words)
-    full = reduce(Column.__and__, (F.col(f"f{i}").isNotNull() for i in range(1, 5)), F.coalesce("w", F.lit(False)))
-    return rows.select("entry_id", "dig", "sample_id", *(F.when(full, F.col(f"f{i}")).alias(f"f{i}") for i in range(1, 5)))
+    """entry_id, dig, sample_id, bits: the digest's 32 bytes and the frame hashes' 32 bytes, null where they are not whole."""
+    joined = F.array_join(F.transform("frame_hashes", trimmed_lower), ",")
+    rows = manifest.filter("entry_id is not null").select("entry_id", F.unhex(digest_hex("video_sha256")).alias("dig"), "sample_id", joined.alias("j"))
+    whole = F.col("j").rlike(r"\A[0-9a-f]{16}(?:,[0-9a-f]{16}){3}\z")
+    return rows.select("entry_id", "dig", "sample_id", F.when(whole, F.unhex(F.replace("j", F.lit(",")))).alias("bits"))
 
 
 KEYS = ("dig", "sample_id", "vid")
@@ -264,22 +257,21 @@ class History:
         self.steps: dict[str, str] = {}
 
     def accepted(self) -> DataFrame:
-        return self.spark.read.schema("entry_id bigint, dig binary, sample_id string, vid bigint, f1 bigint, f2 bigint, f3 bigint, f4 bigint").parquet(*self.entries)
+        return self.spark.read.schema("entry_id bigint, dig binary, sample_id string, vid bigint, bits binary").parquet(*self.entries)
 
     def decide(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted entries, accepted_id / refused_id / kind of the refused ones) of a batch of manifest rows."""
-        frames = ["f1", "f2", "f3", "f4"]
         read = self._step(normalised(batch), "batch")
-        vectors = self._step(read.filter("f1 is not null").groupBy(*frames).agg(F.min("entry_id").alias("vid")), "vectors")
+        vectors = self._step(read.filter("bits is not null").groupBy("bits").agg(F.min("entry_id").alias("vid")), "vectors")
         columns = ["entry_id", "dig", "sample_id", "vid"]
-        bare = read.filter("f1 is null").withColumn("vid", F.lit(None).cast("bigint")).select(*columns)
-        rows = self._step(read.join(vectors, frames).select(*columns).unionByName(bare), "entries")
+        bare = read.filter("bits is null").withColumn("vid", F.lit(None).cast("bigint")).select(*columns)
+        rows = self._step(read.join(vectors, "bits").select(*columns).unionByName(bare), "entries")
         self._forget("batch")
         empty = lambda ddl: self.spark.createDataFrame([], ddl)
         if self.entries:
             old = self.accepted()
             exact = reduce(DataFrame.unionByName, (rows.select("entry_id", k).join(old.select(F.col("entry_id").alias("accepted_id"), k), k).select("accepted_id", F.col("entry_id").alias("refused_id")) for k in KEYS[:2]))
-            old_vectors = old.filter("f1 is not null").select(F.col("entry_id").alias("vid"), *frames)
+            old_vectors = old.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits")
             near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius), vectors, old_vectors, self.radius)
             near = near.join(rows.select("entry_id", F.col("vid").alias("a")), "a").select(F.col("b").alias("accepted_id"), F.col("entry_id").alias("refused_id"))
             by_history = self._step(self._kinds(exact, near), "by_history")
@@ -298,7 +290,7 @@ class History:
         met = refused.select("entry_id", F.col("vid").alias("a")).join(both, "a").select("entry_id", F.col("b").alias("vid"))
         near = earlier(by_key("vid")).unionByName(earlier(met.join(taken.select(F.col("entry_id").alias("accepted_id"), "vid"), "vid")))
         refusals = written(by_history.unionByName(self._kinds(exact, near)), "refusals")
-        return self._step(taken.join(vectors, "vid", "left").select(*columns, *frames), "accepted"), refusals
+        return self._step(taken.join(vectors, "vid", "left").select(*columns, "bits"), "accepted"), refusals
 
     def _step(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage through a table that lives until the batch is done."""
@@ -345,7 +337,7 @@ class History:
         """Add accepted entries and their chunks; nothing that is stored is read or written again."""
         k = len(self.entries)
         taken.write.option("compression", "zstd").parquet(f"{self.path}/entries/{k}")
-        vectors = taken.filter("f1 is not null").select(F.col("entry_id").alias("vid"), "f1", "f2", "f3", "f4", F.lit(True).alias("open"))
+        vectors = taken.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits", F.lit(True).alias("open"))
         rows = chunk_rows(vectors, tuple(range(GROUPS)), self.buckets)
         rows.write.partitionBy("grp", "bucket").option("compression", "uncompressed").parquet(f"{self.path}/chunks/{k}")
         self.entries.append(f"{self.path}/entries/{k}")
