@@ -133,7 +133,7 @@ def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> Dat
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 100_000:
+            if n >= 32_768:
                 yield from emit(held)
                 held, n = [], 0
         if n:
@@ -142,25 +142,38 @@ def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> Dat
     return vectors.select("vid", "bits", "open").mapInArrow(run, "grp int, bucket int, low bigint, high bigint, blob binary")
 
 
-def _meet(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
-    """Pairs of ids (left, right) with equal codes whose folds are near; right is in order of code."""
-    codes, ids, wide, narrow = left[:4]
-    lo, hi = np.searchsorted(right[0], codes, "left"), np.searchsorted(right[0], codes, "right")
-    at, out = np.flatnonzero(hi > lo), []
-    j = lo[at]
+def _near(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], at: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Pairs of ids of left[at] and right[first:end] whose folds are near, a step along the runs at a time."""
+    ids, wide, narrow = left[1], left[2], left[3]
+    out = []
     while len(at):
-        near = np.bitwise_count(wide[at] ^ right[2][j]).astype(np.int16) + np.bitwise_count(narrow[at] ^ right[3][j]) <= radius
+        near = np.bitwise_count(wide[at] ^ right[2][first]).astype(np.int16) + np.bitwise_count(narrow[at] ^ right[3][first]) <= radius
         if near.any():
-            a, b = ids[at[near]], right[1][j[near]]
-            keep = a != b
-            if keep.any():
-                out.append(np.stack([a[keep], b[keep]], 1))
-        j = j + 1
-        more = j < hi[at]
-        at, j = at[more], j[more]
+            out.append(np.stack([ids[at[near]], right[1][first[near]]], 1))
+        first = first + 1
+        more = first < end
+        at, first, end = at[more], first[more], end[more]
     return out
 
 
+def _meet(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
+    """Near pairs (left, right) with equal codes; both are in order of code."""
+    if not len(right[0]) or not len(left[0]):
+        return []
+    first, end = np.searchsorted(right[0], left[0], "left"), np.searchsorted(right[0], left[0], "right")
+    at = np.flatnonzero(end > first)
+    return _near(left, right, at, first[at], end[at], radius)
+
+
+def _meet_own(own: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
+    """Near pairs with equal codes within rows in order of code, each once."""
+    ends = np.append(np.flatnonzero(np.diff(own[0])) + 1, len(own[0]))
+    sizes = np.diff(ends, prepend=0)
+    end = np.repeat(ends, sizes)
+    at = np.flatnonzero(np.arange(len(end)) + 1 < end)
+    return _near(own, own, at, at + 1, end[at], radius)
+
+
 def _stored(paths: list[str], group: int, bucket: int, codes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """The history's blocks of a bucket whose code range any of the codes lies in."""
     import pyarrow.parquet as pq
@@ -206,7 +219,8 @@ def candidates(vectors: DataFrame, buckets: int, stored: list[str] | None, radiu
         for (g, b), blobs in held.items():
             own = _joined([unpack(x) for x in blobs])
             if stored is None:
-                found += _meet(tuple(c[own[4]] for c in own), own, radius)
+                mine, rest = (tuple(c[f] for c in own) for f in (own[4], ~own[4]))
+                found += _meet_own(mine, radius) + _meet(mine, rest, radius)
             elif parts := _stored(stored, g, b, own[0]):
                 found += _meet(own, _joined(parts), radius)
         if found:
@@ -275,14 +289,14 @@ class History:
             near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius), vectors, old_vectors, self.radius)
             near = near.join(rows.select("entry_id", F.col("vid").alias("a")), "a").select(F.col("b").alias("accepted_id"), F.col("entry_id").alias("refused_id"))
             by_history = self._step(self._kinds(exact, near), "by_history")
-            undecided = self._step(rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti"), "undecided")
+            undecided = rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti")
             open_ids = undecided.filter("vid is not null").select("vid").distinct().withColumn("open", F.lit(True))
             flagged = vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         else:
             by_history, undecided, flagged = empty(PAIR), rows, vectors.withColumn("open", F.lit(True))
         pairs = within(candidates(flagged, self.buckets, None, self.radius), vectors, vectors, self.radius)
         both = self._step(pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "near")
-        taken = self._settle(undecided, both)
+        taken = self._step(self._settle(undecided, both).join(vectors, "vid", "left").select(*columns, "bits"), "taken")
         refused = rows.join(taken.select("entry_id"), "entry_id", "left_anti")
         by_key = lambda k: refused.select("entry_id", k).join(taken.select(F.col("entry_id").alias("accepted_id"), k), k)
         earlier = lambda d: d.filter("accepted_id < entry_id").select("accepted_id", F.col("entry_id").alias("refused_id"))
@@ -290,7 +304,7 @@ class History:
         met = refused.select("entry_id", F.col("vid").alias("a")).join(both, "a").select("entry_id", F.col("b").alias("vid"))
         near = earlier(by_key("vid")).unionByName(earlier(met.join(taken.select(F.col("entry_id").alias("accepted_id"), "vid"), "vid")))
         refusals = written(by_history.unionByName(self._kinds(exact, near)), "refusals")
-        return self._step(taken.join(vectors, "vid", "left").select(*columns, "bits"), "accepted"), refusals
+        return taken, refusals
 
     def _step(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage through a table that lives until the batch is done."""
@@ -331,13 +345,14 @@ class History:
         if not accepted:
             return undecided
         lost = first.select("entry_id").distinct().join(reduce(DataFrame.unionByName, accepted), "entry_id", "left_anti")
-        return self._step(undecided.join(lost, "entry_id", "left_anti"), "taken")
+        return undecided.join(lost, "entry_id", "left_anti")
 
     def append(self, taken: DataFrame) -> None:
         """Add accepted entries and their chunks; nothing that is stored is read or written again."""
         k = len(self.entries)
         taken.write.option("compression", "zstd").parquet(f"{self.path}/entries/{k}")
         vectors = taken.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits", F.lit(True).alias("open"))
+        vectors = vectors.coalesce(1 + taken.count() // 100_000)  # a file for each bucket and task: few, whole ones
         rows = chunk_rows(vectors, tuple(range(GROUPS)), self.buckets)
         rows.write.partitionBy("grp", "bucket").option("compression", "uncompressed").parquet(f"{self.path}/chunks/{k}")
         self.entries.append(f"{self.path}/entries/{k}")
