@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrain.plans import general
+from reelgrain.plans import general, sequences
 
-MODULES = (general,)
+MODULES = (general, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
