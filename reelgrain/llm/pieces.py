@@ -34,14 +34,11 @@ KINDS = {
 OUT = "doc_id bigint, piece_no int, n_pieces int, doc_tokens bigint, first_token bigint, end_token bigint, piece_tokens int, cut string, text string"
 
 
-def _boundaries(text: str, byte_at: list[int], number: dict[int, int]) -> dict[str, list[int]]:
-    """Token numbers where a boundary of each kind lies at a token's start."""
+def _boundaries(text: str, byte_at: list[int], number: dict[int, int], kind: str) -> list[int]:
+    """Token numbers where a boundary of a kind lies at a token's start, in order."""
     import regex
 
-    out = {}
-    for kind, pattern in KINDS.items():
-        out[kind] = sorted({number[b] for m in regex.finditer(pattern, text) if (b := byte_at[m.start()]) in number and b})
-    return out
+    return [number[b] for m in regex.finditer(KINDS[kind], text) if (b := byte_at[m.start()]) in number and b]
 
 
 def cut(own: Encoder, text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str, str]]:
@@ -58,7 +55,7 @@ def cut(own: Encoder, text: str | None, limit: int = LIMIT, overlap: int = OVERL
     begins = [o == len(raw) or raw[o] & 0xC0 != 0x80 for o in offset]  # at a character's first byte
     byte_at = [0, *accumulate(1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")) for c in text)]
     number = {o: k for k, o in enumerate(offset) if begins[k]}
-    kinds = _boundaries(text, byte_at, number)
+    kinds: dict[str, list[int]] = {}  # each is found when a better kind has no place
     out, s = [], 0
     while True:
         room = limit
@@ -68,7 +65,10 @@ def cut(own: Encoder, text: str | None, limit: int = LIMIT, overlap: int = OVERL
                 e, kind = n, "end"
             else:
                 e, kind = 0, "hard"
-                for name, at in kinds.items():
+                for name in KINDS:
+                    if name not in kinds:
+                        kinds[name] = _boundaries(text, byte_at, number, name)
+                    at = kinds[name]
                     k = bisect_right(at, most) - 1
                     least = s + (room // 2 if name != "word" else 2 * overlap)
                     if k >= 0 and at[k] > least:
