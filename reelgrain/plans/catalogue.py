@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrain.plans import general, sequences
+from reelgrain.plans import datasets, general, sequences, streams
 
-MODULES = (general, sequences)
+MODULES = (general, datasets, sequences, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
