@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelgrain.session import written
+
 NUMERIC = (
     *(f"media.{c}" for c in ("duration_seconds", "width", "height", "frame_rate", "frame_count")),
     *(f"frame_summary.{c}" for c in ("sampled_frame_count", "mean_brightness", "mean_contrast", "mean_sharpness", "dark_frame_ratio", "white_frame_ratio")),
@@ -51,6 +53,11 @@ class LoadProfile:
         texts = [F.col(c).alias(f"s{i}") for i, c in enumerate(self.patterns)]
         self.rows = df.select(key, "run_id", "load_no", *named, *texts).dropDuplicates([key]).drop(key)
 
+    def keep(self) -> LoadProfile:
+        """Write the distinct rows once, so that each report reads them and none repeats the shuffle."""
+        self.rows = written(self.rows, "profile")
+        return self
+
     def _numeric_aggregates(self, i: int) -> list[Column]:
         v = F.col(f"v{i}")
         exact = F.expr(f"try_cast(v{i} as decimal(20,6))")
@@ -112,10 +119,11 @@ class LoadProfile:
         place = F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * buckets)
         weight = F.when(F.col("new") == 1, F.col("k") / F.col("na")).otherwise(-F.col("k") / F.col("nb"))
         points = (
-            self.value_counts().join(sides, ["run_id", "load_no", "c"])
+            written(self.value_counts(), "values").join(sides, ["run_id", "load_no", "c"])
             .select("run_id", "load", "c", F.coalesce(F.nanvl(place.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("bucket"), "value", weight.alias("w"))
             .groupBy("run_id", "load", "c", "bucket", "value").agg(F.sum("w").alias("d"), F.sum(F.greatest("w", F.lit(0.0))).alias("up"), F.sum(F.least("w", F.lit(0.0))).alias("down"))
         )
+        points = written(points, "points")
         group = ["run_id", "load", "c"]
         before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         eps = 1e-9
@@ -136,8 +144,8 @@ class LoadProfile:
 
 def load_findings(df: DataFrame, summary: DataFrame, schema: DataFrame, null_rate: float = NULL_RATE, shift: float = SHIFT) -> DataFrame:
     """run_id, load_no, column_name, finding."""
-    profiler = LoadProfile(df, bounds=schema_bounds(schema))
-    profile = profiler.by_load()
+    profiler = LoadProfile(df, bounds=schema_bounds(schema)).keep()
+    profile = written(profiler.by_load(), "profile")
     changes = profiler.changes(profile)
     keys = ["run_id", "load_no", "column_name"]
     tag = lambda d, name: d.select(*keys, F.lit(name).alias("finding"))
@@ -155,7 +163,7 @@ def load_findings(df: DataFrame, summary: DataFrame, schema: DataFrame, null_rat
 
 def column_profile(df: DataFrame, schema: DataFrame) -> DataFrame:
     """The whole profile: a row per run, load and column."""
-    profiler = LoadProfile(df, bounds=schema_bounds(schema))
+    profiler = LoadProfile(df, bounds=schema_bounds(schema)).keep()
     keys = ["run_id", "load_no", "column_name"]
     out = profiler.changes().join(profiler.distinct_counts(), keys, "left")
     return out.select(*keys, "n", "missing", "null_rate", "low", "high", "violations", F.col("mean"), F.sqrt("variance").alias("deviation"), "null_rate_change", "standardised_difference", "distinct_values")

@@ -36,7 +36,7 @@ def _value_rules(s: SparkSession, d: str) -> DataFrame:
     rules = {
         "identity_missing": c("identity.feature_schema_version").isNull() | c("identity.analysis_id").isNull(),
         "label_unknown": ~c(LABEL).isin("real", "ai_generated"),
-        "ratio_outside": ~c("frame_summary.dark_frame_ratio").between(0, 1) | ~c("frame_summary.white_frame_ratio").between(0, 1),
+        "ratio_outside": ~audit.finite(c("frame_summary.dark_frame_ratio")).between(0, 1) | ~audit.finite(c("frame_summary.white_frame_ratio")).between(0, 1),
         "count_negative": (c("media.frame_count") < 0) | (c("frame_summary.sampled_frame_count") < 0),
         "absolute_path": va.absolute_path(c("identity.video_name")),
         "not_finite": F.isnan(c("frame_summary.mean_sharpness")) | F.isnan(c("media.frame_rate")),
@@ -202,7 +202,7 @@ SELECT CASE WHEN w IS NULL OR p IS NULL OR w = p THEN coalesce(w, p) END AS labe
     "val02_value_rules": f"""WITH {_F}, r AS (
 SELECT record_id, 'identity_missing' AS rule FROM f WHERE identity.feature_schema_version IS NULL OR identity.analysis_id IS NULL
 UNION ALL SELECT record_id, 'label_unknown' FROM f WHERE {LABEL} NOT IN ('real', 'ai_generated')
-UNION ALL SELECT record_id, 'ratio_outside' FROM f WHERE NOT frame_summary.dark_frame_ratio BETWEEN 0 AND 1 OR NOT frame_summary.white_frame_ratio BETWEEN 0 AND 1
+UNION ALL SELECT record_id, 'ratio_outside' FROM f WHERE NOT {_fin.format('frame_summary.dark_frame_ratio')} BETWEEN 0 AND 1 OR NOT {_fin.format('frame_summary.white_frame_ratio')} BETWEEN 0 AND 1
 UNION ALL SELECT record_id, 'count_negative' FROM f WHERE media.frame_count < 0 OR frame_summary.sampled_frame_count < 0
 UNION ALL SELECT record_id, 'absolute_path' FROM f WHERE regexp_matches(identity.video_name, '^[A-Za-z]:[\\\\/]|^[/\\\\]')
 UNION ALL SELECT record_id, 'not_finite' FROM f WHERE isnan(frame_summary.mean_sharpness) OR isnan(media.frame_rate)) SELECT * FROM r""",
