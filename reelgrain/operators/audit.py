@@ -6,7 +6,7 @@ statistics for all rows and for each class come from one GROUPING SETS pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from reelgrain.functions.text import present_lower
+from reelgrain.session import written
 
 #: Fixed terms whose presence in values hints at a leaked label.
 LEAK_TERMS = ("real", "fake", "synthetic", "generated", "ai", "authentic")
@@ -69,16 +70,35 @@ def column_audit(df: DataFrame, columns: Sequence[str], label: str, near_constan
     return out.select("column_name", "n", "missing", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "mode", "first_values", F.round(share, 6).alias("dominant_share"), quality.alias("quality"))
 
 
+def quantiles(counts: DataFrame, keys: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) from (keys, value, k) counts, by running sums and not by a map of all values."""
+    placed = running(counts, keys, "value", "k")
+    whole = counts.groupBy(*keys).agg(F.sum("k").alias("_n"))
+    rows = placed.join(whole, list(keys))
+    picks = []
+    for name, q in shares.items():
+        place = (F.col("_n") - 1) * F.lit(q)
+        held = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("k")), F.col("value")))
+        low, high = held(F.floor(place)), held(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        picks.append((low + (high - low) * share).alias(name))
+    return rows.groupBy(*keys).agg(*picks)
+
+
 def describe(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Descriptive statistics of all rows (class `*`) and of each class."""
+    """Descriptive statistics of all rows (class `*`) and of each class. Values are counted once per column and class; everything follows from the counts."""
     rows = unpivoted(df, columns, label, "double").withColumn("label", F.coalesce("label", F.lit("?")))
-    v = F.col("value")
-    quantile = lambda q: F.percentile(v, F.lit(q))
-    grouped = rows.groupingSets([["column_name"], ["column_name", "label"]], "column_name", "label").agg(
-        F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), quantile(0.5).alias("median"), F.stddev_pop(v).alias("deviation"),
-        F.min(v).alias("low"), F.max(v).alias("high"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.count_distinct(v).alias("distinct_values"),
-    )
-    return grouped.withColumns({"class": F.coalesce("label", F.lit("*")), "iqr": F.col("q3") - F.col("q1")}).drop("label")
+    counted = rows.groupBy("column_name", "label", "value").agg(F.count(F.lit(1)).alias("k"))
+    both = counted.select("column_name", F.explode(F.array(F.col("label"), F.lit("*"))).alias("class"), "value", "k").groupBy("column_name", "class", "value").agg(F.sum("k").alias("k"))
+    keys, v, k = ["column_name", "class"], F.col("value"), F.col("k")
+    kept = written(both, "counts")
+    sums = kept.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(v.isNotNull(), k)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(v.isNull(), k)), F.lit(0)).alias("missing"), F.sum(v * k).alias("_s"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("distinct_values"),
+    ).withColumn("mean", F.col("_s") / F.nullif(F.col("n"), F.lit(0)))
+    spread = kept.filter("value is not null").join(sums.select(*keys, "n", "mean"), keys).groupBy(*keys).agg(F.sqrt(F.sum((v - F.col("mean")) * (v - F.col("mean")) * k) / F.max("n")).alias("deviation"))
+    places = quantiles(kept.filter("value is not null"), keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    out = sums.join(spread, keys, "left").join(places, keys, "left")
+    return out.select(*keys, "n", "missing", "mean", "median", "deviation", "low", "high", "q1", "q3", "distinct_values", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def compare_classes(df: DataFrame, columns: Sequence[str], label: str, one: str, two: str) -> DataFrame:
@@ -94,21 +114,22 @@ def compare_classes(df: DataFrame, columns: Sequence[str], label: str, one: str,
     )
 
 
-def running(df: DataFrame, key: str, order: str, value: str, buckets: int = 1024) -> DataFrame:
-    """`before`: the sum of `value` over smaller `order` within a key, through sums by bucket of the order's range."""
-    ends = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    rows = df.join(ends, key).withColumn("_b", F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(0)))
+def running(df: DataFrame, keys: Sequence[str], order: str, value: str, buckets: int = 1024) -> DataFrame:
+    """`before`: the sum of `value` over smaller `order` within the keys, through sums by bucket of the order's range."""
+    keys = list(keys)
+    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    rows = df.join(ends, keys).withColumn("_b", F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(0)))
     past = lambda *k: Window.partitionBy(*k)
-    sums = rows.groupBy(key, "_b").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(past(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum(value).over(past(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sums.drop("_s"), [key, "_b"]).withColumn("before", F.col("_start") + inside).drop("_b", "_lo", "_hi", "_start")
+    sums = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(past(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(past(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sums.drop("_s"), [*keys, "_b"]).withColumn("before", F.col("_start") + inside).drop("_b", "_lo", "_hi", "_start")
 
 
 def rank_test(df: DataFrame, columns: Sequence[str], label: str, one: str, two: str) -> DataFrame:
     """Mann-Whitney U by average ranks over ties, with the normal approximation (no tie or continuity correction)."""
     rows = unpivoted(df, columns, label, "double").filter(F.col("label").isin(one, two) & F.col("value").isNotNull())
     counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("label") == one).alias("k1"))
-    ranked = running(counts, "column_name", "value", "k").withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
+    ranked = running(counts, ["column_name"], "value", "k").withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
     t = ranked.groupBy("column_name").agg(F.sum(F.col("rank") * F.col("k1")).alias("r1"), F.sum("k1").alias("n1"), (F.sum("k") - F.sum("k1")).alias("n2")).filter("n1 >= 2 and n2 >= 2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     z = (u - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1").cast("double") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)

@@ -1,14 +1,16 @@
 """Ordered samples of an entity: pairs, runs, scenes, windows, thinning, rankings.
 
 Each operator takes the columns it works on as parameters and partitions by the entity, so one shuffle on the entity
-serves a chain of them. Folds whose next step depends on the last decision run as `aggregate` over an entity's sorted
-array, inside the JVM.
+serves a chain of them. Folds whose next step depends on the last decision stream over sorted partitions, so that no
+entity's rows are held together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -100,12 +102,54 @@ def zero_crossings(df: DataFrame, level: float = 0.0) -> DataFrame:
     return df.select("entity", changed.alias("c")).groupBy("entity").agg(F.avg(F.col("c").cast("double")).alias("crossing_rate"))
 
 
+def fold_sorted(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable, schema: str) -> DataFrame:
+    """A sequential fold over each key's rows in order, as a stream over sorted partitions.
+
+    `step(state, key, arrays)` gets the rows of one key in one batch, and the state that the same key's rows before left
+    (None at its start); it returns the new state and the columns of the output. No key's rows are held together, so a
+    hot key costs one long task and no memory.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            arrays = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)]
+            out: list[list] = [[] for _ in names]
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                state, found = step(state if keys[at] == last else None, keys[at], [x[at:end] for x in arrays])
+                for column, values in zip(out, found):
+                    column.extend(values)
+                last, at = keys[at], end
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    kept = df.select(key, *columns).filter(F.col(key).isNotNull())
+    return kept.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def thin(df: DataFrame, rate: float, most: int) -> DataFrame:
     """Greedy thinning: a sample is kept if it lies 1 / rate after the last kept one, at most `most` of them."""
-    ordered = F.array_sort(F.collect_list(F.struct("sample_index", "seconds")))
-    empty = F.struct(F.lit(float("-inf")).alias("next"), F.array().cast("array<int>").alias("kept"))
-    step = lambda a, x: F.when((x["seconds"] + 1e-9 >= a["next"]) & (F.size(a["kept"]) < most), F.struct((x["seconds"] + 1 / rate).alias("next"), F.concat(a["kept"], F.array(x["sample_index"])).alias("kept"))).otherwise(a)
-    return df.groupBy("entity").agg(F.aggregate(ordered, empty, step, lambda a: a["kept"]).alias("kept")).select("entity", F.posexplode("kept").alias("kept_index", "sample_index"))
+
+    def step(state, key, arrays):
+        index, seconds = arrays
+        nxt, n = state or (-np.inf, 0)
+        kept, numbers, at = [], [], 0
+        while n < most and (at := at + int(np.searchsorted(seconds[at:], nxt - 1e-9))) < len(seconds):
+            kept.append(int(index[at]))
+            numbers.append(n)
+            nxt, n, at = seconds[at] + 1 / rate, n + 1, at + 1
+        return (nxt, n), ([key] * len(kept), numbers, kept)
+
+    return fold_sorted(df, "entity", ["sample_index"], ["sample_index", "seconds"], step, "entity bigint, kept_index int, sample_index int")
 
 
 def timestamp_plan(df: DataFrame, duration: str, short: float = 10.0, few: int = 8, many: int = 12, tail: float = 0.05) -> DataFrame:
@@ -138,20 +182,80 @@ def rank_ratio_jumps(df: DataFrame, value: str = "rms", keep: int = 5, ratio: fl
     return rows.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= keep) & ((F.col("ratio") >= ratio) | (F.col("change") > 0))).select("entity", "window_index", "ratio", "change", "rank")
 
 
-def merge_anchors(df: DataFrame, gap: float, span: float, key: str = "entity") -> DataFrame:
+def merge_anchors(df: DataFrame, gap: float, span: float) -> DataFrame:
     """Intervals in time order to groups: one joins the open group if it begins within `gap` of the group's end and the group's whole span stays within `span`."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_seconds", "end_seconds", "id")))
-    state = "struct<g: int, s: double, e: double, out: array<struct<id: bigint, event: int>>>"
-    empty = F.from_json(F.lit('{"g": 0, "out": []}'), state)
-
-    def step(a: Column, x: Column) -> Column:
-        end = F.greatest(a["e"], x["end_seconds"])
-        joins = (a["g"] > 0) & (F.greatest(F.lit(0.0), x["start_seconds"] - a["e"]) <= gap + 1e-9) & (end - a["s"] <= span + 1e-9)
-        g = F.when(joins, a["g"]).otherwise(a["g"] + 1)
-        member = F.struct(x["id"].alias("id"), g.alias("event"))
-        return F.struct(g.alias("g"), F.when(joins, a["s"]).otherwise(x["start_seconds"]).alias("s"), F.when(joins, end).otherwise(x["end_seconds"]).alias("e"), F.concat(a["out"], F.array(member)).alias("out"))
-
-    return df.groupBy(key).agg(F.aggregate(ordered, empty, step, lambda a: a["out"]).alias("m")).select(key, F.inline("m"))
+
+    def step(state, key, arrays):
+        group, first, last = state or (0, 0.0, 0.0)
+        events = []
+        for start, end in zip(arrays[0].tolist(), arrays[1].tolist()):
+            reach = max(last, end)
+            if group and max(0.0, start - last) <= gap + 1e-9 and reach - first <= span + 1e-9:
+                last = reach
+            else:
+                group, first, last = group + 1, start, end
+            events.append(group)
+        return (group, first, last), ([key] * len(events), arrays[2].tolist(), events)
+
+    return fold_sorted(df, "entity", ["start_seconds", "end_seconds", "id"], ["start_seconds", "end_seconds", "id"], step, "entity bigint, id bigint, event int")
+
+
+def first_fit(df: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """Intervals in time order to seeds: one joins the first seed that it overlaps by `least_share` of the shorter and whose region neighbours its own; seeds do not grow. Seeds that ended too long ago to overlap are let go."""
+
+    def step(state, key, arrays):
+        count, seeds = state or (0, [])
+        events = []
+        for start, end, row, column in zip(*(x.tolist() for x in arrays[:4])):
+            seeds = [s for s in seeds if s[2] >= start]
+            for number, s0, s1, r, c in seeds:
+                shorter = max(min(end - start, s1 - s0), 1e-9)
+                if (min(end, s1) - max(start, s0)) / shorter >= least_share and abs(r - row) <= 1 and abs(c - column) <= 1:
+                    events.append(number)
+                    break
+            else:
+                count += 1
+                seeds.append((count, start, end, row, column))
+                events.append(count)
+        return (count, seeds), ([key] * len(events), arrays[4].tolist(), events)
+
+    columns = ["start_seconds", "end_seconds", "row", "column", "id"]
+    return fold_sorted(df, "entity", ["start_seconds", "end_seconds", "id"], columns, step, "entity bigint, id bigint, seed int")
+
+
+def monotone_times(df: DataFrame, rate: float = 25.0) -> DataFrame:
+    """A time for each frame: the reported one if it does not fall behind, else the frame number over the rate if that does not, else the time before, else 0."""
+
+    def step(state, key, arrays):
+        last, times, sources = state, [], []
+        for index, reported in zip(arrays[0].tolist(), arrays[1].tolist()):
+            guess = index / rate
+            if reported is not None and reported == reported and reported >= 0 and (last is None or reported >= last):
+                last, source = reported, "reported"
+            elif last is None or guess >= last:
+                last, source = guess, "frame_number"
+            else:
+                source = "previous"
+            times.append(last)
+            sources.append(source)
+        return last, ([key] * len(times), arrays[0].tolist(), times, sources)
+
+    return fold_sorted(df, "entity", ["sample_index"], ["sample_index", "seconds"], step, "entity bigint, sample_index int, seconds double, source string")
+
+
+def clip_start(duration: Column, length: float = 3.0, seed: int = 42) -> Column:
+    """Where a clip of `length` seconds begins: a whole second, the same share of what is left for every row."""
+    import random
+
+    return F.when(duration <= length, 0.0).otherwise(F.floor((duration - length) * random.Random(seed).random()).cast("double"))
+
+
+def size_ladder(df: DataFrame, key: str, rungs: Sequence[tuple[str, Column]], preferred: int, hard: int) -> DataFrame:
+    """The first rung (a named, smaller and smaller rendering) whose text fits in `preferred` bytes, else the smallest; `fits` tells whether it is within `hard`."""
+    texts = F.array(*(F.struct(F.lit(i).alias("rung"), F.lit(name).alias("name"), F.octet_length(c).alias("bytes")) for i, (name, c) in enumerate(rungs)))
+    fitting = F.get(F.filter(texts, lambda x: x["bytes"] <= preferred), F.lit(0))
+    chosen = F.coalesce(fitting, F.get(F.array_sort(texts, lambda a, b: (a["bytes"] - b["bytes"]).cast("int")), F.lit(0)))
+    return df.select(key, chosen.alias("c")).select(key, "c.name", "c.bytes", (F.col("c.bytes") <= hard).alias("fits"))
 
 
 def best_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:
