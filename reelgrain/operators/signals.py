@@ -70,7 +70,7 @@ def audio_metrics(samples: DataFrame, key: str = "path", silence: float = 0.01,
 
 def grid(rows: int = 4, columns: int = 4):
     """An array of normalised regions, for explode: no join is needed to cross it with transitions."""
-    cell = lambda r, c: F.struct(F.lit(f"region-r{r:02d}-c{c:02d}").alias("region_id"), F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(c / columns).alias("x"), F.lit(r / rows).alias("y"), F.lit(1 / columns).alias("width"), F.lit(1 / rows).alias("height"))
+    cell = lambda r, c: F.struct(F.lit(f"region-r{r:02d}-c{c:02d}").alias("region_id"), F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(c / columns).alias("bound_x"), F.lit(r / rows).alias("bound_y"), F.lit(1 / columns).alias("bound_width"), F.lit(1 / rows).alias("bound_height"))
     return F.array(*(cell(r, c) for r in range(rows) for c in range(columns)))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrain.plans import datasets, general, sequences, streams
+from reelgrain.plans import datasets, evidence, general, sequences, streams
 
-MODULES = (general, datasets, sequences, streams)
+MODULES = (general, datasets, sequences, evidence, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
