@@ -243,7 +243,17 @@ def within(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: int = RA
     side = lambda d, a: d.select(F.col("vid").alias(a), F.col("bits").alias(f"{a}_bits"))
     part = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("bigint")
     differ = reduce(Column.__add__, (F.bit_count(part(F.col("a_bits"), i).bitwiseXOR(part(F.col("b_bits"), i))) for i in range(8)))
-    return pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").filter(differ <= radius).select("a", "b")
+    pairs = small(written(pairs, "pairs"))
+    return small(side(left, "a").join(pairs, "a"), pairs).join(side(right, "b"), "b").filter(differ <= radius).select("a", "b")
+
+
+#: A side of a join is broadcast up to so many rows of at most some 100 bytes, after counting them; beyond that both sides are shuffled.
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """The rows, marked for broadcast if they (or the rows they follow from one to one) are counted to be few."""
+    return F.broadcast(df) if (df if counted is None else counted).count() <= MOST_BROADCAST else df
 
 
 def normalised(manifest: DataFrame) -> DataFrame:
@@ -291,13 +301,13 @@ class History:
             by_history = self._step(self._kinds(exact, near), "by_history")
             undecided = rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti")
             open_ids = undecided.filter("vid is not null").select("vid").distinct().withColumn("open", F.lit(True))
-            flagged = vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+            flagged = self._step(vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False))), "flagged")
         else:
             by_history, undecided, flagged = empty(PAIR), rows, vectors.withColumn("open", F.lit(True))
         pairs = within(candidates(flagged, self.buckets, None, self.radius), vectors, vectors, self.radius)
         both = self._step(pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "near")
         taken = self._step(self._settle(undecided, both).join(vectors, "vid", "left").select(*columns, "bits"), "taken")
-        refused = rows.join(taken.select("entry_id"), "entry_id", "left_anti")
+        refused = small(self._step(rows.join(taken.select("entry_id"), "entry_id", "left_anti"), "refused"))
         by_key = lambda k: refused.select("entry_id", k).join(taken.select(F.col("entry_id").alias("accepted_id"), k), k)
         earlier = lambda d: d.filter("accepted_id < entry_id").select("accepted_id", F.col("entry_id").alias("refused_id"))
         exact = reduce(DataFrame.unionByName, (earlier(by_key(k)) for k in KEYS[:2]))
