@@ -19,7 +19,7 @@ QUERIES = {
     "p6_report": lambda s, d: _sampling(sampling.report, s, d),
     "p6_sample": lambda s, d: _sampling(sampling.draw, s, d),
     "p7_found": lambda s, d: splits.linked(table(s, d, "manifest")),
-    "p7_splits": lambda s, d: splits.assign(table(s, d, "manifest"), table(s, d, "split_target")),
+    "p7_splits": lambda s, d: splits.assign(table(s, d, "manifest"), table(s, d, "split_target"), aliases=table(s, d, "label_alias")),
     "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents")),
     "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_item")),
     "p10_found": lambda s, d: pieces.oversized(table(s, d, "documents")),

@@ -179,3 +179,24 @@ def test_draw(spark):
     report = {(r.expected_label, r.generator_or_camera): (r.available, r.drawn, r.unmet) for r in sampling.report(m, labels, t).collect()}
     assert report["ai_generated", "nowhere"] == (0, 0, True) and report["ai_generated", "gen"][1] == 200
     assert sampling.draw(m.limit(0), labels, t).count() == 0
+
+
+
+def test_splits_spread_labels_and_generators(spark):
+    """Sources of one label and one generator each: large ones of one label come first by size, small ones are many."""
+    rows = []
+    for i in range(40):
+        rows += [(f"big{i}", ("Fake ", "real")[i < 20], f"g{i % 2}")] * (110 if i < 20 else 90)
+    for i in range(1000):
+        rows += [(f"small{i}", ("real", None, "fake")[i % 3], ("g0", "G1 ", "g2")[i % 7 % 3])] * 4
+    df = spark.createDataFrame([(k, *r, None) for k, r in enumerate(rows)], "entry_id bigint, source string, expected_label string, generator_or_camera string, video_sha256 string")
+    t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    aliases = spark.createDataFrame([("fake", "ai_generated"), ("real", "real")], "alias string, expected_label string")
+    got = {r.entry_id: r.split_name for r in splits.assign(df, t, aliases=aliases).collect()}
+    assert len(got) == len(rows)
+    for value in (1, 2):
+        seen = {}
+        for k, r in enumerate(rows):
+            seen.setdefault((r[value] or "").strip().lower(), []).append(got[k])
+        for name, where in seen.items():
+            assert all(abs(where.count(s) / len(where) - v) < 0.03 for s, v in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), name
