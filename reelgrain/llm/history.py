@@ -25,6 +25,7 @@ nothing. added_at plays no part.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrain.functions.text import digest_hex, trimmed_lower
-from reelgrain.session import release_shuffles, remove, scratch, written
+from reelgrain.session import read_small, release_shuffles, remove, scratch, write_small, written
 
 RADIUS, CHUNKS, GROUPS, POINTS = 24, 45, 5, 9
 #: Places of a group's chunks along the bits, so that no three neighbours are a line: one flat frame fixes no key.
@@ -264,20 +265,31 @@ def normalised(manifest: DataFrame) -> DataFrame:
     return rows.select("entry_id", "dig", "sample_id", F.when(whole, F.unhex(F.replace("j", F.lit(",")))).alias("bits"))
 
 
+#: Up to so many vectors (some 50 MB of line rows) all groups of chunks are met in one pass.
+ONE_PASS = 50_000
 KEYS = ("dig", "sample_id", "vid")
 PAIR = "accepted_id bigint, refused_id bigint, kind string"
 
 
 class History:
-    """Accepted entries and their chunk table, under one folder. `buckets` is fixed for the life of the store."""
+    """Accepted entries and their chunk table, under one folder.
+
+    Part k is committed by the file commits/k, written last, which also holds the bucket count; that is fixed for the life
+    of the store. Another History over the same folder starts from the committed parts. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, radius: int = RADIUS):
         if not 0 <= radius <= RADIUS:
             raise ValueError("the lines cover at most 24 differing bits")
         self.spark, self.path, self.radius = spark, path or scratch(spark, "history"), radius
-        self.buckets = buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.entries: list[str] = []
-        self.chunks: list[str] = []
+        committed = read_small(spark, f"{self.path}/commits")
+        stored = {int(json.loads(text)["buckets"]) for text in committed.values()}
+        if len(stored) > 1 or buckets and stored - {buckets}:
+            raise ValueError(f"the store has {sorted(stored)} buckets")
+        self.buckets = min(stored, default=buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        parts = sorted(map(int, committed))
+        self.entries = [f"{self.path}/entries/{k}" for k in parts]
+        self.chunks = [f"{self.path}/chunks/{k}" for k in parts]
         self.steps: dict[str, str] = {}
 
     def accepted(self) -> DataFrame:
@@ -291,12 +303,13 @@ class History:
         bare = read.filter("bits is null").withColumn("vid", F.lit(None).cast("bigint")).select(*columns)
         rows = self._step(read.join(vectors, "bits").select(*columns).unionByName(bare), "entries")
         self._forget("batch")
+        at_once = GROUPS if vectors.count() <= ONE_PASS else 2
         empty = lambda ddl: self.spark.createDataFrame([], ddl)
         if self.entries:
             old = self.accepted()
             exact = reduce(DataFrame.unionByName, (rows.select("entry_id", k).join(old.select(F.col("entry_id").alias("accepted_id"), k), k).select("accepted_id", F.col("entry_id").alias("refused_id")) for k in KEYS[:2]))
             old_vectors = old.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits")
-            near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius), vectors, old_vectors, self.radius)
+            near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius, at_once), vectors, old_vectors, self.radius)
             near = near.join(rows.select("entry_id", F.col("vid").alias("a")), "a").select(F.col("b").alias("accepted_id"), F.col("entry_id").alias("refused_id"))
             by_history = self._step(self._kinds(exact, near), "by_history")
             undecided = rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti")
@@ -304,7 +317,7 @@ class History:
             flagged = self._step(vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False))), "flagged")
         else:
             by_history, undecided, flagged = empty(PAIR), rows, vectors.withColumn("open", F.lit(True))
-        pairs = within(candidates(flagged, self.buckets, None, self.radius), vectors, vectors, self.radius)
+        pairs = within(candidates(flagged, self.buckets, None, self.radius, at_once), vectors, vectors, self.radius)
         both = self._step(pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "near")
         taken = self._step(self._settle(undecided, both).join(vectors, "vid", "left").select(*columns, "bits"), "taken")
         refused = small(self._step(rows.join(taken.select("entry_id"), "entry_id", "left_anti"), "refused"))
@@ -359,12 +372,15 @@ class History:
 
     def append(self, taken: DataFrame) -> None:
         """Add accepted entries and their chunks; nothing that is stored is read or written again."""
-        k = len(self.entries)
+        k = 1 + max((int(p.rpartition("/")[2]) for p in self.entries), default=-1)
+        for part in ("entries", "chunks"):
+            remove(self.spark, f"{self.path}/{part}/{k}")  # of an append that was not committed
         taken.write.option("compression", "zstd").parquet(f"{self.path}/entries/{k}")
         vectors = taken.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits", F.lit(True).alias("open"))
         vectors = vectors.coalesce(1 + taken.count() // 100_000)  # a file for each bucket and task: few, whole ones
         rows = chunk_rows(vectors, tuple(range(GROUPS)), self.buckets)
         rows.write.partitionBy("grp", "bucket").option("compression", "uncompressed").parquet(f"{self.path}/chunks/{k}")
+        write_small(self.spark, f"{self.path}/commits/{k}", json.dumps({"buckets": self.buckets}))
         self.entries.append(f"{self.path}/entries/{k}")
         self.chunks.append(f"{self.path}/chunks/{k}")
 
@@ -382,20 +398,20 @@ class History:
 
 
 def refusals(manifest: DataFrame, lead: int = 4096, buckets: int | None = None) -> DataFrame:
-    """The refusals of a whole manifest, ingested as a start of `lead` rows, the rest of its first batch, and the later ones.
+    """The refusals of a whole manifest, ingested and appended as a start of `lead` rows and then batch by batch.
 
     The greedy order is entry_id's, so that any parting into ascending batches gives the same rows; a short start lets
     large groups of near copies meet an accepted member before they meet each other.
     """
     spark = manifest.sparkSession
     ids = manifest.filter("entry_id is not null")
-    ends = ids.groupBy("batch_no").agg(F.max("entry_id").alias("e")).agg(F.min_by("e", "batch_no").alias("first"), F.max("e").alias("last")).first()
-    if ends["last"] is None:
+    ends = {r[0] for r in ids.groupBy("batch_no").agg(F.max("entry_id")).select("max(entry_id)").collect()}  # a row per batch
+    if not ends:
         return spark.createDataFrame([], PAIR)
     start = ids.select("entry_id").orderBy("entry_id").limit(lead).agg(F.max("entry_id")).first()[0]
     store, found, after = History(spark, buckets=buckets), [], None
-    for end in sorted({min(start, ends["last"]), max(start, ends["first"] or start), ends["last"]}):
+    for end in sorted(ends | {start}):
         part = ids.filter(F.col("entry_id") <= end)
-        found.append(store.ingest(part if after is None else part.filter(F.col("entry_id") > after), last=end == ends["last"]))
+        found.append(store.ingest(part if after is None else part.filter(F.col("entry_id") > after)))
         after = end
     return reduce(DataFrame.unionByName, found)

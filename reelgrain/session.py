@@ -73,6 +73,27 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file through Hadoop's file system; it fails where the file exists."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The texts of the small files in a folder, by name; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for info in store.listStatus(target) if store.exists(target) else []:
+        held = store.open(info.getPath())
+        found[info.getPath().getName()] = bytes(held.readAllBytes()).decode()
+        held.close()
+    return found
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs; it acts when the driver's JVM collects garbage."""
     import gc

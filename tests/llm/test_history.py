@@ -110,3 +110,23 @@ def test_empty(spark):
     assert run(spark, [(1, None, None, None, None), (2, None, None, None, None)]) == set()
     with pytest.raises(ValueError):
         h.History(spark, radius=25)
+
+
+def test_a_second_history_reads_the_folder(spark, tmp_path):
+    df = table(spark, "/root/testdata/sf0.001", "manifest")
+    whole = brute([(r.entry_id, r.batch_no, r.sample_id, r.video_sha256, r.frame_hashes) for r in df.collect()])
+    got = {tuple(r) for r in h.History(spark, str(tmp_path), buckets=30).ingest(df.filter("batch_no <= 1")).collect()}
+    (tmp_path / "entries/1").mkdir()  # left by an append that was not committed
+    store = h.History(spark, str(tmp_path))
+    assert store.buckets == 30 and len(store.entries) == len(store.chunks) == 1
+    got |= {tuple(r) for r in store.ingest(df.filter("batch_no > 1")).collect()}
+    assert got == whole and len(h.History(spark, str(tmp_path)).entries) == 2
+    with pytest.raises(ValueError):
+        h.History(spark, str(tmp_path), buckets=31)
+
+
+def test_every_batch_is_appended(spark, monkeypatch):
+    rows = [(e, e // 10, f"s{e % 25}", None, None) for e in range(40)]
+    appended, append = [], h.History.append
+    monkeypatch.setattr(h.History, "append", lambda self, taken: (appended.append(taken.count()), append(self, taken)))
+    assert run(spark, rows, lead=5) == brute(rows) and appended == [5, 5, 10, 5, 0]
