@@ -130,6 +130,7 @@ QUERIES = {
     "agg22_summary": _summary,
     "agg29_impossible": lambda s, d: audit.impossible_values(_flat(s, d), NUMERIC),
     "flt10_leakage": lambda s, d: audit.leakage_scan(_manifest(s, d), ["sample_id", "video_name", "expected_label", "feature_file", "source", "generator_or_camera", "notes", "added_at"]),
+    "flt10_findings": lambda s, d: audit.leakage_findings(_manifest(s, d), "expected_label"),
     "flt11_unsafe_paths": lambda s, d: _manifest(s, d).filter(va.unsafe_path(F.col("video_name")) | va.unsafe_path(F.col("feature_file"))).select("entry_id"),
     "flt12_labels": lambda s, d: _manifest(s, d).select("entry_id", trimmed_lower("expected_label").alias("alias")).join(table(s, d, "label_alias"), "alias", "left").groupBy("expected_label").agg(F.count(F.lit(1)).alias("n")),
     "flt13_label_priority": lambda s, d: _manifest(s, d).join(table(s, d, "label_alias").select("alias", F.col("expected_label").alias("written")), trimmed_lower("expected_label") == F.col("alias"), "left").select("entry_id", va.label_of([F.col("written"), F.nullif(F.regexp_extract("sample_id", r"\A(real|ai_generated)-", 1), F.lit(""))]).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
@@ -195,6 +196,11 @@ SELECT column_name, n1, n2, round(r1 - n1 * (n1 + 1) / 2 + 1e-7, 3) AS u, round(
         f"SELECT * FROM (SELECT '{c}' AS column_name, coalesce(bool_or(regexp_matches(lower({c}), 'real|fake|synthetic|generated|ai|authentic')), false) AS value_hit, " + (f"'{fixed}'" if fixed in ("critical", "high") else f"CASE WHEN coalesce(bool_or(regexp_matches(lower({c}), 'real|fake|synthetic|generated|ai|authentic')), false) THEN 'high' ELSE {repr(fixed) if fixed else 'NULL'} END") + " AS severity FROM manifest) WHERE severity IS NOT NULL"
         for c, fixed in (("sample_id", None), ("video_name", "medium"), ("expected_label", "critical"), ("feature_file", "medium"), ("source", "high"), ("generator_or_camera", "high"), ("notes", None), ("added_at", None))
     ),
+    "flt10_findings": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, lower(CAST({c} AS VARCHAR)) AS value FROM manifest" for c in ("entry_id", "batch_no", "sample_id", "video_name", "video_sha256", "feature_schema_version", "application_version", "feature_file", "source", "generator_or_camera", "notes", "added_at", "frame_hashes")) + f"""),
+t(term) AS (VALUES ('ai'), ('ai_generated'), ('deepfake'), ('external'), ('fake'), ('generated'), ('kaggle'), ('manual_source'), ('personal'), ('real'), ('self_recorded')),
+n(column_name, severity) AS (VALUES ('sample_id', 'high'), ('video_name', 'high'), ('feature_file', 'high'), ('source', 'medium'), ('generator_or_camera', 'medium'), ('notes', 'medium')),
+h AS (SELECT column_name, string_agg(term, '|' ORDER BY term) AS terms FROM (SELECT DISTINCT column_name, term FROM v JOIN t ON contains(value, term) WHERE trim(value) NOT IN {_miss}) GROUP BY 1)
+SELECT column_name, coalesce(n.severity, 'medium') AS severity, coalesce(terms, '') AS terms FROM n FULL JOIN h USING (column_name)""",
     "flt11_unsafe_paths": "SELECT entry_id FROM manifest WHERE regexp_matches(video_name, '^[A-Za-z]:[\\\\/]|^[/\\\\]|(^|[/\\\\])\\.\\.([/\\\\]|$)') OR regexp_matches(feature_file, '^[A-Za-z]:[\\\\/]|^[/\\\\]|(^|[/\\\\])\\.\\.([/\\\\]|$)')",
     "flt12_labels": f"SELECT l.expected_label, count(*) AS n FROM (SELECT {_low} AS alias FROM manifest) m LEFT JOIN label_alias l USING (alias) GROUP BY 1",
     "flt13_label_priority": f"""WITH m AS (SELECT l.expected_label AS w, nullif(regexp_extract(sample_id, '^(real|ai_generated)-', 1), '') AS p FROM (SELECT sample_id, {_low} AS alias FROM manifest) m LEFT JOIN label_alias l USING (alias))
