@@ -1,417 +1,506 @@
 """New batches against everything accepted before, by a persistent chunk-to-record table.
 
-The content of an entry is its digest, its sample_id and four 64-bit frame hashes. The first two are whole chunks. The
-256 bits of the frame hashes are cut into 45 chunks. Rolling-hash boundaries cannot serve here: up to 24 differing bits
-may touch every content-defined chunk of 256 bits, so chunks begin at fixed places, which is also how bits are compared.
-The rest of the method stands: chunk keys, a persistent table from chunk to record, totals of what is shared, a decision
-by coverage (at least 232 of 256 bits), and an append of the accepted entries' chunks.
-
-No pair is lost. The chunks form 5 groups of 9, the points of an affine plane of order 3; of 24 differing bits some
-group has at most 4, which leaves at least 5 of its 9 chunks equal, and any 5 points of that plane hold one of its 12
-lines. So two entries within 24 bits agree on the three chunks of at least one of 60 lines (17 bits each). A line's row
-carries a fold of the hashes to 80 bits; folding by exclusive or never raises a distance, so more than 24 differing
-bits in the fold rule a pair out where it is met. What is left is compared in full.
-
-A batch's rows are shuffled by line bucket, the history's are not: a task reads its own buckets' files of the table,
-and of these only the blocks whose code range its rows meet. Entries that match an accepted one are refused at once and
-meet only undecided ones after that, so that a group of near copies costs its size and not its square. Undecided ones
-are settled in order of entry_id by rounds: who is least among all undecided it matches is accepted, who matches an
-accepted one is refused. Copies meet through the least id of their key, never as pairs.
+The content of an entry is its digest, its sample_id and four 64-bit frame hashes. The first two are whole chunks. The 256
+bits of the frame hashes are dealt to nine chunks in turn (bit b to chunk b mod 9), so that one flat or repeated frame
+takes seven bits from each chunk and fixes none. Rolling-hash boundaries cannot give the required rows: up to 24 differing
+bits may touch every content-defined chunk (`content_chunks`; its measured recall is in the README). The rest of the
+method stands: chunk keys, a persistent table from chunk to record, a decision by coverage (at least 232 of 256 bits
+shared), and an append of the accepted entries' chunks.
+
+No pair is lost. Of 24 differing bits some of nine chunks holds at most two, so two entries within 24 bits have a chunk
+whose keys differ in at most two bits. The history stores one row per chunk; a batch's row probes the two-bit
+neighbourhood of each of its keys (28 or 29 bits) and compares what it meets in full, there and then. A pair is given by
+the first chunk that shows it, so pairs come out once.
+
+The table is parted by chunk and by the first `bits` bits of the key. A batch's rows go to their own part and to those at
+most two bits away; the history is not shuffled: a task reads the row groups of its own parts. `bits` follows the number of
+entries (one more for each doubling beyond a million), set anew by `compact`, so that a part holds some half a million rows
+however long the history grows. An entry takes about 0.45 KB in the chunk table.
+
+A batch is decided in rounds. Equal values meet as one key with the least entry_id, never as pairs. For each key a task
+looks for matches in the history, and for one match with a lesser id in the batch: an entry with neither is accepted, its
+chunks are appended, and all others that have a match are held against the new chunks. An entry that is neither accepted
+nor refused then has only refused ones before it and enters the next round. A group of near copies costs its size: each of
+its members stops at the first lesser one. Batches above `MOST_ROWS` rows are taken in slices by entry_id, which is the
+order of decision anyway, so that a task's share is bounded even where a third of all rows share a key.
+
+A commit is written last and holds all of a slice, with its refusals and the greatest entry_id decided. Rows up to that id
+are decided already and left out, so that a batch that was broken off can be given again.
 
 Defined results. A digest that is not 64 hex digits however written, a null sample_id and hash lists other than four
-times 16 hex digits match nothing. Entry ids are distinct; rows with a null id are left out. An empty batch changes
+times 16 hex digits match nothing. Entry ids are distinct and
+ascend from batch to batch; rows with a null id are left out. An empty batch changes
 nothing. added_at plays no part.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from functools import cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrain.functions.text import digest_hex, trimmed_lower
-from reelgrain.session import read_small, release_shuffles, remove, scratch, write_small, written
-
-RADIUS, CHUNKS, GROUPS, POINTS = 24, 45, 5, 9
-#: Places of a group's chunks along the bits, so that no three neighbours are a line: one flat frame fixes no key.
-PLACES = (0, 1, 3, 2, 4, 7, 5, 6, 8)
-#: The lines of the affine plane of order 3, by points 3 * x + y.
-LINES = tuple(tuple(3 * x + (m * x + b) % 3 for x in range(3)) for m in range(3) for b in range(3)) + tuple((3 * x, 3 * x + 1, 3 * x + 2) for x in range(3))
-EDGES = tuple(round(i * 256 / CHUNKS) for i in range(CHUNKS + 1))
-BLOCK = 4096
-
-
-def _chunk(frames: np.ndarray, c: int) -> np.ndarray:
-    """Bits EDGES[c] to EDGES[c + 1] of n x 4 words."""
-    lo, hi = EDGES[c], EDGES[c + 1]
-    word, at, n = lo // 64, lo % 64, hi - lo
-    out = frames[:, word] >> np.uint64(at)
-    if at + n > 64:
-        out = out | (frames[:, word + 1] << np.uint64(64 - at))
-    return (out & np.uint64((1 << n) - 1)).astype(np.uint32)
-
-
-def line_codes(frames: np.ndarray, group: int) -> np.ndarray:
-    """12 x n codes: the line's number and its three chunks."""
-    points = {PLACES[k]: _chunk(frames, GROUPS * k + group) for k in range(POINTS)}
-    return np.stack([np.uint32(i << 20) | points[a] << np.uint32(12) | points[b] << np.uint32(6) | points[c] for i, (a, b, c) in enumerate(LINES)])
+from reelgrain.session import data_files, read_small, remove, scratch, store, write_small, written
+
+RADIUS, CHUNKS, FLIPS = 24, 9, 2
+DIGEST, SAMPLE, SLOTS = CHUNKS, CHUNKS + 1, CHUNKS + 2
+WIDTHS = tuple(len(range(c, 256, CHUNKS)) for c in range(CHUNKS))
+BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS = 1024, 1 << 20, 1 << 20, 64
+KEYS = ("bits", "dig", "sid")
+ENTRY = "entry_id bigint, bits binary, dig binary, sid binary"
+PAIR = "accepted_id bigint, refused_id bigint, kind string"
+#: What a key has met: more rows of its own than its least (the record), a near key of a lesser id, a record of the table.
+EQUAL, LESSER, RECORD = 0, 1, 2
+MET = "kind int, value binary, what int, record bigint"
+
+
+def chunk_keys(raw: np.ndarray) -> np.ndarray:
+    """9 x n keys of n x 32 bytes."""
+    bits = np.unpackbits(raw, axis=1)
+    out = np.zeros((CHUNKS, len(raw)), np.uint32)
+    for c in range(CHUNKS):
+        padded = np.zeros((len(raw), 32), np.uint8)
+        padded[:, 32 - WIDTHS[c] :] = bits[:, c::CHUNKS]
+        out[c] = np.packbits(padded, axis=1).view(">u4")[:, 0]
+    return out
 
 
-def fold(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = frames[:, 2] ^ frames[:, 3]
-    low = low ^ (low >> np.uint64(32))
-    low = low ^ (low >> np.uint64(16))
-    return frames[:, 0] ^ frames[:, 1], (low & np.uint64(0xFFFF)).astype(np.uint16)
+def mixed(words: np.ndarray) -> np.ndarray:
+    """64 bits of n x 4 words, the first ones even."""
+    h = words[:, 0].copy()
+    for i in range(1, 4):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[:, i]
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+@cache
+def masks(width: int, flips: int) -> np.ndarray:
+    """All words of `width` bits with at most `flips` ones, the fewest first."""
+    return np.array([sum(1 << b for b in ones) for n in range(flips + 1) for ones in combinations(range(width), n)], np.uint32)
 
 
-def pack(codes: np.ndarray, ids: np.ndarray, wide: np.ndarray, narrow: np.ndarray, flags: np.ndarray) -> bytes:
-    """Rows in order of code: differences of codes and bytewise transposed ids compress, folds do not."""
-    import zstandard
+class Rows:
+    """ids, keys, values (n x 4 words) and flags of some chunks, in columns."""
 
-    small = zstandard.ZstdCompressor(level=1).compress
-    base = int(ids.min())
-    a = small(np.diff(codes, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-    b = small((ids - base).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-    c = small(np.packbits(flags).tobytes())
-    return struct.pack("<qqqqq", len(codes), base, len(a), len(b), len(c)) + a + b + c + wide.tobytes() + narrow.tobytes()
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, words: np.ndarray, many: np.ndarray):
+        self.ids, self.keys, self.words, self.many = ids, keys, words, many
 
+    def __len__(self) -> int:
+        return len(self.ids)
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(self.ids[at], self.keys[at], self.words[at], self.many[at])
 
-    large = zstandard.ZstdDecompressor().decompress
-    n, base, *sizes = struct.unpack_from("<qqqqq", blob)
-    at = [40]
-    for s in (*sizes, 8 * n, 2 * n):
-        at.append(at[-1] + s)
-    part = [blob[x:y] for x, y in zip(at, at[1:])]
-    plain = lambda raw, width, kind: np.frombuffer(np.frombuffer(large(raw), np.uint8).reshape(width, n).T.tobytes(), kind)
-    codes = np.cumsum(plain(part[0], 4, "<u4"), dtype=np.uint32)
-    ids = plain(part[1], 8, "<i8") + base
-    flags = np.unpackbits(np.frombuffer(large(part[2]), np.uint8), count=n).astype(bool)
-    return codes, ids, np.frombuffer(part[3], "<u8"), np.frombuffer(part[4], "<u2"), flags
+    def pack(self, keyed: bool) -> bytes:
+        """The keys of digests and sample_ids follow from their values and are not stored."""
+        base = int(self.ids.min())
+        wide = int(self.ids.max()) - base >= 1 << 32
+        ids = (self.ids - base).astype("<u8" if wide else "<u4")
+        keys = self.keys.astype("<u4").tobytes() if keyed else b""
+        return struct.pack("<qq??", len(self), base, wide, keyed) + ids.tobytes() + keys + self.words.tobytes() + np.packbits(self.many).tobytes()
 
+    @staticmethod
+    def unpack(blob: bytes) -> Rows:
+        n, base, wide, keyed = struct.unpack_from("<qq??", blob)
+        at = 18
+        ids = np.frombuffer(blob, "<u8" if wide else "<u4", n, at).astype(np.int64) + base
+        at += n * (8 if wide else 4)
+        keys = np.frombuffer(blob, "<u4", n, at) if keyed else None
+        at += 4 * n * keyed
+        words = np.frombuffer(blob, "<u8", 4 * n, at).reshape(n, 4)
+        many = np.unpackbits(np.frombuffer(blob, np.uint8, -1, at + 32 * n), count=n).astype(bool)
+        return Rows(ids, mixed(words) if keys is None else keys, words, many)
 
-def chunk_rows(vectors: DataFrame, groups: tuple[int, ...], buckets: int) -> DataFrame:
-    """grp, bucket, low, high, blob: line codes of (vid, bits, open), packed by bucket."""
+    @staticmethod
+    def joined(parts: Sequence[Rows]) -> Rows:
+        return Rows(*(np.concatenate([getattr(p, a) for p in parts]) for a in ("ids", "keys", "words", "many")))
+
+
+def near_words(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16) <= radius
+
+
+class Index:
+    """Rows of one part of the table by cells of their keys."""
+
+    def __init__(self, rows: Rows, width: int):
+        self.width = width
+        self.bits = min(width, max(8, min(20, int(len(rows)).bit_length() + 2)))
+        self.rest = np.uint32(width - self.bits)
+        cells = self.cells(rows.keys)
+        order = np.lexsort((rows.ids, cells))
+        self.rows = rows.take(order)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cells, minlength=1 << self.bits))])
+
+    def cells(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint32((1 << self.width) - 1)) >> self.rest
+
+    def runs(self, cells: np.ndarray, flips: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of queries and the runs of rows in the cells at most `flips` bits away."""
+        for mask in masks(self.bits, min(flips, self.bits)):
+            to = cells ^ mask
+            first, end = self.starts[to], self.starts[to + 1]
+            at = np.flatnonzero(end > first)
+            if len(at):
+                yield at, first[at], end[at]
+
+    def lesser(self, own: Rows, flips: int, radius: int) -> np.ndarray:
+        """Whether each of `own` has a near row with a lesser id; the first one found ends its search."""
+        found, rows = np.zeros(len(own), bool), self.rows
+        for at, first, end in self.runs(self.cells(own.keys), flips):
+            on = ~found[at]
+            at, first, end = at[on], first[on], end[on]
+            while len(at):
+                on = rows.ids[first] < own.ids[at]
+                at, first, end = at[on], first[on], end[on]
+                close = np.flatnonzero(np.bitwise_count(own.keys[at] ^ rows.keys[first]) <= FLIPS)
+                hit = close[near_words(own.words[at[close]], rows.words[first[close]], radius)]
+                found[at[hit]] = True
+                first = first + 1
+                on = (first < end) & ~found[at]
+                at, first, end = at[on], first[on], end[on]
+        return found
+
+    def pairs(self, own: Rows, flips: int, radius: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `own` and ids of the near rows that no chunk before this one shows."""
+        places, records, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], self.rows
+        for at, first, end in self.runs(self.cells(own.keys), flips):
+            ends = np.cumsum(end - first)
+            for lo in range(0, len(at), max(1, int(2e6 // max(1, ends[-1] / len(at))))):
+                part = slice(lo, lo + max(1, int(2e6 // max(1, ends[-1] / len(at)))))
+                size = end[part] - first[part]
+                q = np.repeat(at[part], size)
+                t = np.repeat(first[part] - np.cumsum(size) + size, size) + np.arange(len(q))
+                close = np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS
+                q, t = q[close], t[close]
+                near = near_words(own.words[q], rows.words[t], radius)
+                q, t = q[near], t[near]
+                if len(q):
+                    differ = np.unpackbits((own.words[q] ^ rows.words[t]).view(np.uint8), axis=1)
+                    new = np.ones(len(q), bool)
+                    for c in range(chunk):
+                        new &= differ[:, c::CHUNKS].sum(axis=1) > FLIPS
+                    places.append(q[new])
+                    records.append(rows.ids[t[new]])
+        return np.concatenate(places), np.concatenate(records)
+
+
+def equal_pairs(own: Rows, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `own` and ids of rows with the same value."""
+    rows = rows.take(np.argsort(rows.keys))
+    first, end = np.searchsorted(rows.keys, own.keys, "left"), np.searchsorted(rows.keys, own.keys, "right")
+    size = end - first
+    q = np.repeat(np.arange(len(own)), size)
+    t = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(q))
+    same = (own.words[q] == rows.words[t]).all(axis=1)
+    return q[same], rows.ids[t[same]]
+
+
+def spread(keys: DataFrame, bits: int, home: bool) -> DataFrame:
+    """part, blob: the chunks of (kind, value, vid, many), packed by the parts of the table where they are stored (`home`) or looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slot_rows(slot: int, rows: Rows, width: int) -> Iterator[tuple[int, bytes]]:
+            own = (rows.keys >> rows.keys.dtype.type(width - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
+            for mask in masks(bits, 0 if home or slot >= CHUNKS else FLIPS):
+                to = own ^ int(mask)
+                order = np.argsort(to, kind="stable")
+                cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+                for a, b in zip(cuts, cuts[1:]):
+                    for lo in range(int(a), int(b), BLOCK):
+                        at = order[lo : min(lo + BLOCK, int(b))]
+                        yield int(to[at[0]]) * SLOTS + slot, rows.take(at).pack(slot < CHUNKS)
+
         def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            ids = t.column(0).to_numpy().astype(np.int64)
-            frames = np.frombuffer(b"".join(t.column(1).to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64)
-            flags = t.column(2).to_numpy().astype(bool)
-            wide, narrow = fold(frames)
-            row = np.tile(np.arange(len(ids), dtype=np.uint64), len(LINES))
-            for g in groups:
-                codes = line_codes(frames, g).ravel()
-                bucket = _bucket(codes, buckets)
-                packed = np.sort(bucket << np.uint64(48) | codes.astype(np.uint64) << np.uint64(24) | row)
-                order = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
-                ordered = (packed >> np.uint64(24) & np.uint64(0xFFFFFF)).astype(np.uint32)
-                cuts = np.searchsorted(packed >> np.uint64(48), np.arange(buckets + 1))
-                rows = []
-                for b in range(buckets):
-                    for lo in range(int(cuts[b]), int(cuts[b + 1]), BLOCK):
-                        hi = min(lo + BLOCK, int(cuts[b + 1]))
-                        r, own = order[lo:hi], ordered[lo:hi]
-                        rows.append((g, b, int(own[0]), int(own[-1]), pack(own, ids[r], wide[r], narrow[r], flags[r])))
-                if rows:
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["grp", "bucket", "low", "high", "blob"])
+            kinds, ids, many = (t.column(i).to_numpy() for i in (0, 2, 3))
+            raw = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8).reshape(-1, 32)
+            found: list[tuple[int, bytes]] = []
+            for kind in range(len(KEYS)):
+                at = np.flatnonzero(kinds == kind)
+                if not len(at):
+                    continue
+                words = np.ascontiguousarray(raw[at]).view("<u8")
+                whole = Rows(ids[at], None, words, many[at].astype(bool))  # type: ignore[arg-type]
+                if kind == 0:
+                    for c, own in enumerate(chunk_keys(raw[at])):
+                        whole.keys = own
+                        found += slot_rows(c, whole, WIDTHS[c])
+                else:
+                    whole.keys = mixed(words)
+                    found += slot_rows(CHUNKS + kind - 1, whole, 64)
+            found.sort(key=lambda x: x[0])
+            for lo in range(0, len(found), 512):
+                part = found[lo : lo + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=["part", "blob"])
 
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 32_768:
+            if n >= 100_000:
                 yield from emit(held)
                 held, n = [], 0
         if n:
             yield from emit(held)
 
-    return vectors.select("vid", "bits", "open").mapInArrow(run, "grp int, bucket int, low bigint, high bigint, blob binary")
+    return keys.select("kind", "value", "vid", "many").mapInArrow(run, "part int, blob binary")
 
 
-def _near(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], at: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Pairs of ids of left[at] and right[first:end] whose folds are near, a step along the runs at a time."""
-    ids, wide, narrow = left[1], left[2], left[3]
-    out = []
-    while len(at):
-        near = np.bitwise_count(wide[at] ^ right[2][first]).astype(np.int16) + np.bitwise_count(narrow[at] ^ right[3][first]) <= radius
-        if near.any():
-            out.append(np.stack([ids[at[near]], right[1][first[near]]], 1))
-        first = first + 1
-        more = first < end
-        at, first, end = at[more], first[more], end[more]
-    return out
+class Stored:
+    """Reader of chunk files: row groups are chosen by their range of parts. A file that is not there is an error."""
 
+    def __init__(self, files: Sequence[str]):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-def _meet(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
-    """Near pairs (left, right) with equal codes; both are in order of code."""
-    if not len(right[0]) or not len(left[0]):
-        return []
-    first, end = np.searchsorted(right[0], left[0], "left"), np.searchsorted(right[0], left[0], "right")
-    at = np.flatnonzero(end > first)
-    return _near(left, right, at, first[at], end[at], radius)
-
-
-def _meet_own(own: tuple[np.ndarray, ...], radius: int) -> list[np.ndarray]:
-    """Near pairs with equal codes within rows in order of code, each once."""
-    ends = np.append(np.flatnonzero(np.diff(own[0])) + 1, len(own[0]))
-    sizes = np.diff(ends, prepend=0)
-    end = np.repeat(ends, sizes)
-    at = np.flatnonzero(np.arange(len(end)) + 1 < end)
-    return _near(own, own, at, at + 1, end[at], radius)
-
-
-def _stored(paths: list[str], group: int, bucket: int, codes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """The history's blocks of a bucket whose code range any of the codes lies in."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    out = []
-    for path in paths:
-        store, root = fs.FileSystem.from_uri(path)
-        where = f"{root}/grp={group}/bucket={bucket}"
-        for info in store.get_file_info(fs.FileSelector(where, allow_not_found=True)):
-            if not info.path.endswith(".parquet"):
-                continue
-            with pq.ParquetFile(store.open_input_file(info.path)) as f:
-                for k in range(f.num_row_groups):
-                    ends = f.read_row_group(k, columns=["low", "high"])
-                    low, high = (ends.column(c).to_numpy() for c in range(2))
-                    met = np.searchsorted(codes, high, "right") > np.searchsorted(codes, low, "left")
-                    if met.any():
-                        blobs = f.read_row_group(k, columns=["blob"]).column(0)
-                        out += [unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(met)]
-    return out
-
+        self.files = []
+        for uri in files:
+            store, path = fs.FileSystem.from_uri(uri)
+            f = pq.ParquetFile(store.open_input_file(path))
+            groups = [f.metadata.row_group(i).column(0).statistics for i in range(f.num_row_groups)]
+            self.files.append((f, [(s.min, s.max) for s in groups]))
 
-def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    whole = tuple(np.concatenate(c) for c in zip(*parts))
-    order = (np.sort(whole[0].astype(np.uint64) << np.uint64(32) | np.arange(len(whole[0]), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return tuple(c[order] for c in whole)
+    def read(self, part: int) -> list[Rows]:
+        out = []
+        for f, ranges in self.files:
+            for i, (low, high) in enumerate(ranges):
+                if low <= part <= high:
+                    t = f.read_row_group(i)
+                    out += [Rows.unpack(b.as_py()) for b in t.column(1).filter(pa.compute.equal(t.column(0), part))]
+        return out
 
 
-def candidates(vectors: DataFrame, buckets: int, stored: list[str] | None, radius: int = RADIUS, groups_at_once: int = 2) -> DataFrame:
-    """a, b: ids that share a line and have near folds. With `stored`, b is in the history; else a is open, b any of these.
-
-    Some groups of chunks at a time: the shuffle of a pass is dropped before the next begins.
-    """
-    spark = vectors.sparkSession
+def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: int) -> DataFrame:
+    """kind, value, what, record of all that the keys (kind, value, vid, many) meet in the table's files and, with `own`, among themselves."""
+    files = list(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, list[Rows]] = {}
         for batch in batches:
-            for g, b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                held.setdefault((g, b), []).append(blob.as_py())
-        found = []
-        for (g, b), blobs in held.items():
-            own = _joined([unpack(x) for x in blobs])
-            if stored is None:
-                mine, rest = (tuple(c[f] for c in own) for f in (own[4], ~own[4]))
-                found += _meet_own(mine, radius) + _meet(mine, rest, radius)
-            elif parts := _stored(stored, g, b, own[0]):
-                found += _meet(own, _joined(parts), radius)
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for lo in range(0, len(pairs), 100_000):
-                part = pairs[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
-
-    parts = []
-    for first in range(0, GROUPS, groups_at_once):
-        groups = tuple(range(first, min(GROUPS, first + groups_at_once)))
-        rows = chunk_rows(vectors, groups, buckets).select("grp", "bucket", "blob").repartition(buckets, "bucket", "grp")
-        parts.append(written(rows.mapInArrow(run, "a bigint, b bigint"), "candidates"))
-        release_shuffles(spark)
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
-def within(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The pairs (a of left, b of right) that differ in at most `radius` bits."""
-    side = lambda d, a: d.select(F.col("vid").alias(a), F.col("bits").alias(f"{a}_bits"))
-    part = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("bigint")
-    differ = reduce(Column.__add__, (F.bit_count(part(F.col("a_bits"), i).bitwiseXOR(part(F.col("b_bits"), i))) for i in range(8)))
-    pairs = small(written(pairs, "pairs"))
-    return small(side(left, "a").join(pairs, "a"), pairs).join(side(right, "b"), "b").filter(differ <= radius).select("a", "b")
-
-
-#: A side of a join is broadcast up to so many rows of at most some 100 bytes, after counting them; beyond that both sides are shuffled.
-MOST_BROADCAST = 500_000
-
-
-def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """The rows, marked for broadcast if they (or the rows they follow from one to one) are counted to be few."""
-    return F.broadcast(df) if (df if counted is None else counted).count() <= MOST_BROADCAST else df
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(part, []).append(Rows.unpack(blob.as_py()))
+        stored = Stored(files) if held else None
+        for part in sorted(held):
+            bucket, slot = divmod(part, SLOTS)
+            rows = Rows.joined(held.pop(part))
+            kind = max(0, slot - CHUNKS + 1)
+            old = stored.read(part)
+            out: list[tuple[np.ndarray, int, np.ndarray | None]] = []
+            if slot >= CHUNKS:
+                if own:
+                    at = np.flatnonzero(rows.many)
+                    out.append((at, EQUAL, rows.ids[at]))
+                if old:
+                    q, record = equal_pairs(rows, Rows.joined(old))
+                    out.append((q, RECORD, record))
+            else:
+                low = WIDTHS[slot] - bits
+                away = np.bitwise_count((rows.keys >> np.uint32(low)) ^ np.uint32(bucket))
+                at_home = np.flatnonzero(away == 0)
+                if own and slot == 0:
+                    at = at_home[rows.many[at_home]]
+                    out.append((at, EQUAL, rows.ids[at]))
+                targets = [("own", Index(rows.take(at_home), low))] if own and len(at_home) else []
+                targets += [("old", Index(Rows.joined(old), low))] if old else []
+                for n in range(FLIPS + 1):
+                    at = np.flatnonzero(away == n)
+                    at = at[np.argsort(rows.keys[at])]
+                    if not len(at):
+                        continue
+                    mine = rows.take(at)
+                    for which, index in targets:
+                        if which == "own":
+                            out.append((at[index.lesser(mine, FLIPS - n, radius)], LESSER, None))
+                        else:
+                            q, record = index.pairs(mine, FLIPS - n, radius, slot)
+                            out.append((at[q], RECORD, record))
+            for at, what, record in out:
+                for lo in range(0, len(at), 50_000):
+                    q = at[lo : lo + 50_000]
+                    values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(q), [None, pa.py_buffer(rows.words[q].tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(q), kind, np.int32)), values.cast(pa.binary()), pa.array(np.full(len(q), what, np.int32)), pa.nulls(len(q), pa.int64()) if record is None else pa.array(record[lo : lo + 50_000])],
+                        names=["kind", "value", "what", "record"],
+                    )
+
+    tasks = min(SLOTS << bits, 4 * keys.sparkSession.sparkContext.defaultParallelism)
+    rows = spread(keys, bits, False)
+    return rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).mapInArrow(run, MET)
 
 
 def normalised(manifest: DataFrame) -> DataFrame:
-    """entry_id, dig, sample_id, bits: the digest's 32 bytes and the frame hashes' 32 bytes, null where they are not whole."""
+    """entry_id, bits, dig, sid: 32 bytes each of the frame hashes, the digest and the sample_id's hash, null where they are not whole."""
     joined = F.array_join(F.transform("frame_hashes", trimmed_lower), ",")
-    rows = manifest.filter("entry_id is not null").select("entry_id", F.unhex(digest_hex("video_sha256")).alias("dig"), "sample_id", joined.alias("j"))
+    rows = manifest.filter("entry_id is not null").select("entry_id", F.unhex(digest_hex("video_sha256")).alias("dig"), F.unhex(F.sha2(F.col("sample_id").cast("string"), 256)).alias("sid"), joined.alias("j"))
     whole = F.col("j").rlike(r"\A[0-9a-f]{16}(?:,[0-9a-f]{16}){3}\z")
-    return rows.select("entry_id", "dig", "sample_id", F.when(whole, F.unhex(F.replace("j", F.lit(",")))).alias("bits"))
+    return rows.select("entry_id", F.when(whole, F.unhex(F.replace("j", F.lit(",")))).alias("bits"), "dig", "sid")
 
 
-#: Up to so many vectors (some 50 MB of line rows) all groups of chunks are met in one pass.
-ONE_PASS = 50_000
-KEYS = ("dig", "sample_id", "vid")
-PAIR = "accepted_id bigint, refused_id bigint, kind string"
+def exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("entry_id", F.inline(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("value")) for i, k in enumerate(KEYS))))).filter("value is not null")
+
+
+def keys_of(long: DataFrame) -> DataFrame:
+    """One row for each (kind, value), with its least entry_id and whether there are more."""
+    return long.groupBy("kind", "value").agg(F.min("entry_id").alias("vid"), (F.count(F.lit(1)) > 1).alias("many"))
 
 
 class History:
-    """Accepted entries and their chunk table, under one folder.
+    """Accepted entries, their chunk table and all refusals, under one folder.
 
-    Part k is committed by the file commits/k, written last, which also holds the bucket count; that is fixed for the life
-    of the store. Another History over the same folder starts from the committed parts. One writer at a time.
+    Part k is committed by the file commits/k, which names its chunk files, its number of entries, the bits by which its
+    chunks are parted, the greatest entry_id decided and the parts that it replaces. Another History over the same folder
+    starts from the committed parts. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, radius: int = RADIUS):
+    def __init__(self, spark: SparkSession, path: str | None = None, bits: int | None = None, radius: int = RADIUS):
         if not 0 <= radius <= RADIUS:
-            raise ValueError("the lines cover at most 24 differing bits")
+            raise ValueError("two flips in one of nine chunks cover at most 24 differing bits")
+        if bits is not None and not 0 <= bits <= 16:
+            raise ValueError("the table is parted by 0 to 16 bits")
         self.spark, self.path, self.radius = spark, path or scratch(spark, "history"), radius
-        committed = read_small(spark, f"{self.path}/commits")
-        stored = {int(json.loads(text)["buckets"]) for text in committed.values()}
-        if len(stored) > 1 or buckets and stored - {buckets}:
-            raise ValueError(f"the store has {sorted(stored)} buckets")
-        self.buckets = min(stored, default=buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        parts = sorted(map(int, committed))
-        self.entries = [f"{self.path}/entries/{k}" for k in parts]
-        self.chunks = [f"{self.path}/chunks/{k}" for k in parts]
-        self.steps: dict[str, str] = {}
+        commits = {int(k): json.loads(text) for k, text in read_small(spark, f"{self.path}/commits").items()}
+        gone = {p for c in commits.values() for p in c["replaces"]}
+        self.parts = {k: c for k, c in sorted(commits.items()) if k not in gone}
+        self.decided = sorted(k for k, c in commits.items() if c["refused"])
+        self.next = 1 + max(commits, default=-1)
+        self.last = max((c["last"] for c in commits.values()), default=None)
+        stored = {c["bits"] for c in self.parts.values()}
+        if len(stored) > 1 or bits is not None and stored - {bits}:
+            raise ValueError(f"the store is parted by {sorted(stored)} bits")
+        self.bits = min(stored, default=bits or 0)
+        self.steps: list[str] = []
+
+    @property
+    def size(self) -> int:
+        return sum(c["rows"] for c in self.parts.values())
 
     def accepted(self) -> DataFrame:
-        return self.spark.read.schema("entry_id bigint, dig binary, sample_id string, vid bigint, bits binary").parquet(*self.entries)
-
-    def decide(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(accepted entries, accepted_id / refused_id / kind of the refused ones) of a batch of manifest rows."""
-        read = self._step(normalised(batch), "batch")
-        vectors = self._step(read.filter("bits is not null").groupBy("bits").agg(F.min("entry_id").alias("vid")), "vectors")
-        columns = ["entry_id", "dig", "sample_id", "vid"]
-        bare = read.filter("bits is null").withColumn("vid", F.lit(None).cast("bigint")).select(*columns)
-        rows = self._step(read.join(vectors, "bits").select(*columns).unionByName(bare), "entries")
-        self._forget("batch")
-        at_once = GROUPS if vectors.count() <= ONE_PASS else 2
-        empty = lambda ddl: self.spark.createDataFrame([], ddl)
-        if self.entries:
-            old = self.accepted()
-            exact = reduce(DataFrame.unionByName, (rows.select("entry_id", k).join(old.select(F.col("entry_id").alias("accepted_id"), k), k).select("accepted_id", F.col("entry_id").alias("refused_id")) for k in KEYS[:2]))
-            old_vectors = old.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits")
-            near = within(candidates(vectors.withColumn("open", F.lit(True)), self.buckets, self.chunks, self.radius, at_once), vectors, old_vectors, self.radius)
-            near = near.join(rows.select("entry_id", F.col("vid").alias("a")), "a").select(F.col("b").alias("accepted_id"), F.col("entry_id").alias("refused_id"))
-            by_history = self._step(self._kinds(exact, near), "by_history")
-            undecided = rows.join(by_history.select(F.col("refused_id").alias("entry_id")).distinct(), "entry_id", "left_anti")
-            open_ids = undecided.filter("vid is not null").select("vid").distinct().withColumn("open", F.lit(True))
-            flagged = self._step(vectors.join(open_ids, "vid", "left").withColumn("open", F.coalesce("open", F.lit(False))), "flagged")
-        else:
-            by_history, undecided, flagged = empty(PAIR), rows, vectors.withColumn("open", F.lit(True))
-        pairs = within(candidates(flagged, self.buckets, None, self.radius, at_once), vectors, vectors, self.radius)
-        both = self._step(pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "near")
-        taken = self._step(self._settle(undecided, both).join(vectors, "vid", "left").select(*columns, "bits"), "taken")
-        refused = small(self._step(rows.join(taken.select("entry_id"), "entry_id", "left_anti"), "refused"))
-        by_key = lambda k: refused.select("entry_id", k).join(taken.select(F.col("entry_id").alias("accepted_id"), k), k)
-        earlier = lambda d: d.filter("accepted_id < entry_id").select("accepted_id", F.col("entry_id").alias("refused_id"))
-        exact = reduce(DataFrame.unionByName, (earlier(by_key(k)) for k in KEYS[:2]))
-        met = refused.select("entry_id", F.col("vid").alias("a")).join(both, "a").select("entry_id", F.col("b").alias("vid"))
-        near = earlier(by_key("vid")).unionByName(earlier(met.join(taken.select(F.col("entry_id").alias("accepted_id"), "vid"), "vid")))
-        refusals = written(by_history.unionByName(self._kinds(exact, near)), "refusals")
-        return taken, refusals
-
-    def _step(self, df: DataFrame, name: str) -> DataFrame:
-        """Cut lineage through a table that lives until the batch is done."""
-        path = scratch(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
-        self.steps[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _forget(self, *names: str) -> None:
-        for name in names or tuple(self.steps):
-            remove(self.spark, self.steps.pop(name))
-
-    @staticmethod
-    def _kinds(exact: DataFrame, near: DataFrame) -> DataFrame:
-        """One row per pair; exact before near."""
-        tagged = exact.withColumn("k", F.lit(0)).unionByName(near.withColumn("k", F.lit(1)))
-        return tagged.groupBy("accepted_id", "refused_id").agg(F.when(F.min("k") == 0, "exact").otherwise("near").alias("kind"))
-
-    def _settle(self, undecided: DataFrame, near: DataFrame) -> DataFrame:
-        """The undecided entries that are accepted in order of entry_id."""
-        keyed = undecided.select("entry_id", F.inline(F.array(*(F.struct(F.lit(i).alias("t"), (F.col(k) if k == "dig" else F.col(k).cast("string").cast("binary")).alias("key")) for i, k in enumerate(KEYS))))).filter("key is not null")
-        met = near.select(F.lit(2).alias("t"), F.col("a").cast("string").cast("binary").alias("key")).distinct()
-        shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "key").unionByName(met).distinct()
-        links = first = self._step(keyed.join(shared, ["t", "key"]), "links")
-        number = lambda c: c.cast("string").cast("bigint")
-        accepted: list[DataFrame] = []
-        while not links.isEmpty():
-            least = links.groupBy("t", "key").agg(F.min("entry_id").alias("m"))
-            vids = least.filter("t = 2").select(number(F.col("key")).alias("b"), "m")
-            rival = near.join(vids, "b").groupBy("a").agg(F.min("m").alias("r"))
-            own = links.join(least, ["t", "key"]).withColumn("a", F.when(F.col("t") == 2, number(F.col("key")))).join(rival, "a", "left")
-            now = written(own.groupBy("entry_id").agg(F.min(F.least(F.col("m"), F.coalesce("r", F.col("m")))).alias("m")).filter("m >= entry_id").select("entry_id"), "accepted")
-            taken = links.join(now, "entry_id").select("t", "key")
-            reached = taken.filter("t = 2").select(number(F.col("key")).alias("a")).join(near, "a").select(F.lit(2).alias("t"), F.col("b").cast("string").cast("binary").alias("key"))
-            settled = links.join(taken.unionByName(reached).distinct(), ["t", "key"]).select("entry_id").unionByName(now).distinct()
-            links = written(links.join(settled, "entry_id", "left_anti"), "links")
-            accepted.append(now)
-        if not accepted:
-            return undecided
-        lost = first.select("entry_id").distinct().join(reduce(DataFrame.unionByName, accepted), "entry_id", "left_anti")
-        return undecided.join(lost, "entry_id", "left_anti")
-
-    def append(self, taken: DataFrame) -> None:
-        """Add accepted entries and their chunks; nothing that is stored is read or written again."""
-        k = 1 + max((int(p.rpartition("/")[2]) for p in self.entries), default=-1)
-        for part in ("entries", "chunks"):
-            remove(self.spark, f"{self.path}/{part}/{k}")  # of an append that was not committed
-        taken.write.option("compression", "zstd").parquet(f"{self.path}/entries/{k}")
-        vectors = taken.filter("bits is not null").select(F.col("entry_id").alias("vid"), "bits", F.lit(True).alias("open"))
-        vectors = vectors.coalesce(1 + taken.count() // 100_000)  # a file for each bucket and task: few, whole ones
-        rows = chunk_rows(vectors, tuple(range(GROUPS)), self.buckets)
-        rows.write.partitionBy("grp", "bucket").option("compression", "uncompressed").parquet(f"{self.path}/chunks/{k}")
-        write_small(self.spark, f"{self.path}/commits/{k}", json.dumps({"buckets": self.buckets}))
-        self.entries.append(f"{self.path}/entries/{k}")
-        self.chunks.append(f"{self.path}/chunks/{k}")
-
-    def ingest(self, batch: DataFrame, last: bool = False) -> DataFrame:
-        """Decide a batch and, unless it is the last, append what it adds. Returns the refusals."""
-        taken, refusals = self.decide(batch)
-        if not last:
-            self.append(taken)
-        self._forget()
-        release_shuffles(self.spark)
-        return refusals
+        """entry_id, bits, dig, sid of all accepted entries."""
+        return self.spark.read.schema(ENTRY).parquet(*(f"{self.path}/entries/{k}/*" for k in self.parts)) if self.parts else self.spark.createDataFrame([], ENTRY)
+
+    def refused(self, parts: Sequence[int] | None = None) -> DataFrame:
+        """accepted_id, refused_id, kind of all refused entries."""
+        paths = [f"{self.path}/refused/{k}" for k in (self.decided if parts is None else parts)]
+        return self.spark.read.schema(PAIR).parquet(*paths) if paths else self.spark.createDataFrame([], PAIR)
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Decide a batch, append what it adds and return its refusals: accepted_id, refused_id, kind."""
+        if self.last is not None:
+            batch = batch.filter(F.col("entry_id") > self.last)
+        kept: list[str] = []
+        rows, place = written(normalised(batch), "batch", paths=kept), self.next
+        n, top = rows.agg(F.count(F.lit(1)), F.max("entry_id")).first()
+        slices = math.ceil(n / MOST_ROWS)
+        cuts = sorted({int(c) for c in rows.approxQuantile("entry_id", [i / slices for i in range(1, slices)], 0.1 / slices)}) if slices > 1 else []
+        for low, high in zip([None, *cuts], [*cuts, None]) if n else ():
+            part = rows if low is None else rows.filter(F.col("entry_id") > low)
+            self._decide(part if high is None else part.filter(F.col("entry_id") <= high), top if high is None else high)
+        remove(self.spark, kept[0])
+        return self.refused([k for k in self.decided if k >= place])
+
+    def compact(self) -> None:
+        """All parts as one, parted by as many bits as its number of entries asks for."""
+        old = list(self.parts)
+        if old:
+            k, whole = self._begin(), self.accepted()
+            self.bits = max(self.bits, math.ceil(math.log2(max(1, 2 * self.size / CAPACITY))))
+            n, files = self._store(k, 0, whole)
+            self._commit(k, {"rows": n, "files": files, "replaces": old, "last": self.last, "refused": False})
+            for k in old:
+                for part in ("entries", "chunks"):
+                    remove(self.spark, f"{self.path}/{part}/{k}")
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
+    def _begin(self) -> int:
+        k, self.next = self.next, self.next + 1
+        for part in ("entries", "chunks", "refused"):
+            remove(self.spark, f"{self.path}/{part}/{k}")  # of a part that was not committed
+        return k
+
+    def _commit(self, k: int, facts: dict) -> None:
+        commit = {"bits": self.bits, **facts}
+        write_small(self.spark, f"{self.path}/commits/{k}", json.dumps(commit))
+        self.parts = {p: c for p, c in self.parts.items() if p not in commit["replaces"]} | {k: commit}
+        self.last = commit["last"]
+        if commit["refused"]:
+            self.decided.append(k)
+
+    def _store(self, k: int, turn: int, taken: DataFrame) -> tuple[int, list[str]]:
+        """Write accepted entries and their chunks; how many they are, and the chunk files."""
+        store(taken, f"{self.path}/entries/{k}/{turn}")
+        stored = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{k}/{turn}")
+        n = stored.count()
+        keys = exploded(stored.coalesce(1 + n // 200_000)).select("kind", "value", F.col("entry_id").alias("vid"), F.lit(False).alias("many"))
+        # row groups of some 4 MB in order of part, so that a reader takes little more than its own
+        small = {"compression": "uncompressed", "parquet.block.size": str(1 << 22), "parquet.enable.dictionary": "false"}
+        store(spread(keys, self.bits, True), f"{self.path}/chunks/{k}/{turn}", **small)
+        return n, data_files(self.spark, f"{self.path}/chunks/{k}/{turn}")
 
-def refusals(manifest: DataFrame, lead: int = 4096, buckets: int | None = None) -> DataFrame:
-    """The refusals of a whole manifest, ingested and appended as a start of `lead` rows and then batch by batch.
-
-    The greedy order is entry_id's, so that any parting into ascending batches gives the same rows; a short start lets
-    large groups of near copies meet an accepted member before they meet each other.
-    """
-    spark = manifest.sparkSession
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut lineage through a table that lives until the slice is done."""
+        return written(df, name, paths=self.steps)
+
+    def _decide(self, rows: DataFrame, last: int) -> None:
+        """Accept and refuse a slice's rows, up to entry_id `last`, in rounds and commit the result."""
+        if self.size > CAPACITY << self.bits or len(self.parts) > MOST_PARTS:
+            self.compact()
+        k, old = self._begin(), [f for c in self.parts.values() for f in c["files"]]
+        pending, turn, n, files, found, held = rows, 0, 0, [], [], None
+        while True:
+            met = self._step(probe(keys_of(exploded(pending)), self.bits, old if turn == 0 else [], True, self.radius), "met")
+            touched = self._step(exploded(pending).join(met, ["kind", "value"]), "touched")
+            if held is None:
+                held = touched.select("entry_id", "kind", "value").distinct()
+                found.append(touched.filter(f"what = {RECORD}").select(F.col("record").alias("accepted_id"), F.col("entry_id").alias("refused_id"), (F.col("kind") == 0).alias("near")))
+            waits = F.bool_or((F.col("what") == LESSER) | (F.col("what") == EQUAL) & (F.col("entry_id") > F.col("record")))
+            state = touched.groupBy("entry_id").agg(F.bool_or(F.col("what") == RECORD).alias("refused"), waits.alias("waits"))
+            added, new = self._store(k, turn, pending.join(state.filter("refused or waits"), "entry_id", "left_anti"))
+            n, files = n + added, files + new
+            reached = probe(keys_of(held), self.bits, new, False, self.radius)
+            pairs = held.join(reached, ["kind", "value"]).filter("record < entry_id")
+            pairs = self._step(pairs.select(F.col("record").alias("accepted_id"), F.col("entry_id").alias("refused_id"), (F.col("kind") == 0).alias("near")), "pairs")
+            found.append(pairs)
+            left = state.filter("waits and not refused").join(pairs.select(F.col("refused_id").alias("entry_id")), "entry_id", "left_anti")
+            pending = self._step(pending.join(left, "entry_id", "left_semi"), "pending")
+            turn += 1
+            if pending.isEmpty():
+                break
+        kinds = reduce(DataFrame.unionByName, found).groupBy("accepted_id", "refused_id").agg(F.when(F.bool_and("near"), "near").otherwise("exact").alias("kind"))
+        store(kinds, f"{self.path}/refused/{k}")
+        self._commit(k, {"rows": n, "files": files, "replaces": [], "last": last, "refused": True})
+        while self.steps:
+            remove(self.spark, self.steps.pop())
+
+
+def refusals(manifest: DataFrame) -> DataFrame:
+    """The refusals of a whole manifest, decided and appended batch by batch in a store of its own."""
     ids = manifest.filter("entry_id is not null")
-    ends = {r[0] for r in ids.groupBy("batch_no").agg(F.max("entry_id")).select("max(entry_id)").collect()}  # a row per batch
-    if not ends:
-        return spark.createDataFrame([], PAIR)
-    start = ids.select("entry_id").orderBy("entry_id").limit(lead).agg(F.max("entry_id")).first()[0]
-    store, found, after = History(spark, buckets=buckets), [], None
-    for end in sorted(ends | {start}):
+    ends = sorted(r[0] for r in ids.groupBy("batch_no").agg(F.max("entry_id")).select("max(entry_id)").collect())  # a row per batch
+    history = History(manifest.sparkSession)
+    for after, end in zip([None, *ends], ends):
         part = ids.filter(F.col("entry_id") <= end)
-        found.append(store.ingest(part if after is None else part.filter(F.col("entry_id") > after)))
-        after = end
-    return reduce(DataFrame.unionByName, found)
+        history.ingest(part if after is None else part.filter(F.col("entry_id") > after))
+    return history.refused()
+
+
+def content_chunks(value: bytes, mask: int = 3, window: int = 2) -> list[bytes]:
+    """Content-defined chunks of a value: a boundary where the rolling hash of the last `window` bytes ends in zeros."""
+    out, start = [], 0
+    for i in range(len(value)):
+        rolling = reduce(lambda h, b: (h * 263 + b + 1) & 0xFFFFFFFF, value[max(0, i + 1 - window) : i + 1], 0)
+        if (rolling >> 7) & mask == 0 or i + 1 == len(value):
+            out.append(value[start : i + 1])
+            start = i + 1
+    return out
