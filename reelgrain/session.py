@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = sc.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="reelgrain-")
@@ -57,15 +59,36 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/reelgrain/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "step", partition_by: str | None = None) -> DataFrame:
-    """Cut lineage through a table in the shared folder, which outlives any executor."""
+def store(df: DataFrame, path: str, partition_by: str | None = None, **options: str) -> None:
+    """Write a table; its shuffle files go as soon as it is there."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    writer = df.write.options(**{"compression": "zstd", **options})
+    spark.conf.set(key, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, label: str = "step", partition_by: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Cut lineage through a table in the shared folder, which outlives any executor. Its path is added to `paths`, for `remove`."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    store(df, path, partition_by)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def data_files(spark: SparkSession, folder: str) -> list[str]:
+    """The full addresses of a folder's parquet files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = [i.getPath().toUri().toString() for i in found]
+    return [f"file://{n[5:]}" if n.startswith("file:/") and not n.startswith("file://") else n for n in names if n.endswith(".parquet")]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, so any shared store works."""
     jvm = spark.sparkContext._jvm
@@ -94,13 +117,5 @@ def read_small(spark: SparkSession, folder: str) -> dict[str, str]:
     return found
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished jobs; it acts when the driver's JVM collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tail_partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
