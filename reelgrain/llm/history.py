@@ -17,12 +17,14 @@ most two bits away; the history is not shuffled: a task reads the row groups of
 entries (one more for each doubling beyond a million), set anew by `compact`, so that a part holds some half a million rows
 however long the history grows. An entry takes about 0.45 KB in the chunk table.
 
-A batch is decided in rounds. Equal values meet as one key with the least entry_id, never as pairs. For each key a task
-looks for matches in the history, and for one match with a lesser id in the batch: an entry with neither is accepted, its
-chunks are appended, and all others that have a match are held against the new chunks. An entry that is neither accepted
-nor refused then has only refused ones before it and enters the next round. A group of near copies costs its size: each of
-its members stops at the first lesser one. Batches above `MOST_ROWS` rows are taken in slices by entry_id, which is the
-order of decision anyway, so that a task's share is bounded even where a third of all rows share a key.
+Equal values of a batch meet as one key with the least entry_id, never as pairs. For each key a task looks for matches in
+the history and for near keys of a lesser id in the batch, up to `MOST_LESSER` of these in a part, so that a group of near
+copies costs its size and not its square. Entries that met nothing are accepted. Where no key met more, the others are
+decided in order of entry_id by one task, whose rows are bounded as below. Where some did, they are decided in rounds: an
+entry without a match in the history or a lesser one in the batch is accepted, its chunks are appended, and the others are
+held against the new chunks; one that is neither accepted nor refused then has only refused ones before it and enters the
+next round. Batches above `MOST_ROWS` rows are taken in slices by entry_id, which is the order of decision anyway, so that
+a task's share is bounded even where a third of all rows share a key.
 
 A commit is written last and holds all of a slice, with its refusals and the greatest entry_id decided. Rows up to that id
 are decided already and left out, so that a batch that was broken off can be given again.
@@ -44,7 +46,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrain.functions.text import digest_hex, trimmed_lower
@@ -53,12 +55,12 @@ from reelgrain.session import data_files, read_small, remove, scratch, store, wr
 RADIUS, CHUNKS, FLIPS = 24, 9, 2
 DIGEST, SAMPLE, SLOTS = CHUNKS, CHUNKS + 1, CHUNKS + 2
 WIDTHS = tuple(len(range(c, 256, CHUNKS)) for c in range(CHUNKS))
-BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS = 1024, 1 << 20, 1 << 20, 64
+BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS, MOST_LESSER = 1024, 1 << 20, 1 << 20, 64, 8
 KEYS = ("bits", "dig", "sid")
 ENTRY = "entry_id bigint, bits binary, dig binary, sid binary"
 PAIR = "accepted_id bigint, refused_id bigint, kind string"
-#: What a key has met: more rows of its own than its least (the record), a near key of a lesser id, a record of the table.
-EQUAL, LESSER, RECORD = 0, 1, 2
+#: What a key has met: more rows of its own than its least (the record), a near key of a lesser id (the record), a record of the table, more lesser ones than are given.
+EQUAL, LESSER, RECORD, MORE = 0, 1, 2, 3
 MET = "kind int, value binary, what int, record bigint"
 
 
@@ -128,6 +130,16 @@ def near_words(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16) <= radius
 
 
+def shown_first(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
+    """Whether no chunk before this one shows the near pairs."""
+    new = np.ones(len(a), bool)
+    if len(a) and chunk:
+        differ = np.unpackbits((a ^ b).view(np.uint8), axis=1)
+        for c in range(chunk):
+            new &= differ[:, c::CHUNKS].sum(axis=1) > FLIPS
+    return new
+
+
 class Index:
     """Rows of one part of the table by cells of their keys."""
 
@@ -152,22 +164,24 @@ class Index:
             if len(at):
                 yield at, first[at], end[at]
 
-    def lesser(self, own: Rows, flips: int, radius: int) -> np.ndarray:
-        """Whether each of `own` has a near row with a lesser id; the first one found ends its search."""
-        found, rows = np.zeros(len(own), bool), self.rows
+    def lesser(self, own: Rows, flips: int, radius: int, chunk: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in `own` and ids of near rows with a lesser id, and the places that have more than `most` and stopped there."""
+        found, rows = np.zeros(len(own), np.int32), self.rows
+        places, records = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, first, end in self.runs(self.cells(own.keys), flips):
-            on = ~found[at]
-            at, first, end = at[on], first[on], end[on]
             while len(at):
-                on = rows.ids[first] < own.ids[at]
+                on = (found[at] <= most) & (rows.ids[first] < own.ids[at])
                 at, first, end = at[on], first[on], end[on]
                 close = np.flatnonzero(np.bitwise_count(own.keys[at] ^ rows.keys[first]) <= FLIPS)
                 hit = close[near_words(own.words[at[close]], rows.words[first[close]], radius)]
-                found[at[hit]] = True
+                found[at[hit]] += 1
+                new = hit[shown_first(own.words[at[hit]], rows.words[first[hit]], chunk)]
+                places.append(at[new])
+                records.append(rows.ids[first[new]])
                 first = first + 1
-                on = (first < end) & ~found[at]
+                on = first < end
                 at, first, end = at[on], first[on], end[on]
-        return found
+        return np.concatenate(places), np.concatenate(records), np.flatnonzero(found > most)
 
     def pairs(self, own: Rows, flips: int, radius: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in `own` and ids of the near rows that no chunk before this one shows."""
@@ -183,13 +197,9 @@ class Index:
                 q, t = q[close], t[close]
                 near = near_words(own.words[q], rows.words[t], radius)
                 q, t = q[near], t[near]
-                if len(q):
-                    differ = np.unpackbits((own.words[q] ^ rows.words[t]).view(np.uint8), axis=1)
-                    new = np.ones(len(q), bool)
-                    for c in range(chunk):
-                        new &= differ[:, c::CHUNKS].sum(axis=1) > FLIPS
-                    places.append(q[new])
-                    records.append(rows.ids[t[new]])
+                new = shown_first(own.words[q], rows.words[t], chunk)
+                places.append(q[new])
+                records.append(rows.ids[t[new]])
         return np.concatenate(places), np.concatenate(records)
 
 
@@ -279,7 +289,7 @@ class Stored:
         return out
 
 
-def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: int) -> DataFrame:
+def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: int, most: int = MOST_LESSER) -> DataFrame:
     """kind, value, what, record of all that the keys (kind, value, vid, many) meet in the table's files and, with `own`, among themselves."""
     files = list(files)
 
@@ -319,7 +329,8 @@ def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: i
                     mine = rows.take(at)
                     for which, index in targets:
                         if which == "own":
-                            out.append((at[index.lesser(mine, FLIPS - n, radius)], LESSER, None))
+                            q, record, more = index.lesser(mine, FLIPS - n, radius, slot, most)
+                            out += [(at[q], LESSER, record), (at[more], MORE, None)]
                         else:
                             q, record = index.pairs(mine, FLIPS - n, radius, slot)
                             out.append((at[q], RECORD, record))
@@ -354,6 +365,65 @@ def keys_of(long: DataFrame) -> DataFrame:
     return long.groupBy("kind", "value").agg(F.min("entry_id").alias("vid"), (F.count(F.lit(1)) > 1).alias("many"))
 
 
+def settle(touched: DataFrame) -> DataFrame:
+    """The refusals among entries that met something and whom they repeat, in order of entry_id.
+
+    touched: entry_id, kind, value, what, record of every key of theirs that met something, all in one task. An entry that
+    only others met is accepted unless another of its keys is here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[tuple[int, bytes], int] = {}
+        keys: dict[int, set[int]] = {}  # of an entry
+        exact: set[int] = set()  # keys of digests and sample_ids
+        first: dict[int, int] = {}  # the least entry of a key of hashes: all of a key's entries are here
+        near: dict[int, set[int]] = {}  # the lesser entries that a key of hashes met
+        old: dict[int, dict[int, bool]] = {}  # whether the record of an entry is met by hashes alone
+        for batch in batches:
+            for e, kind, value, what, record in zip(*(c.to_pylist() for c in batch.columns)):
+                key = number.setdefault((kind, value), len(number))
+                if kind:
+                    exact.add(key)
+                keys.setdefault(e, set()).add(key)
+                if what == RECORD:
+                    met = old.setdefault(e, {})
+                    met[record] = met.get(record, True) and kind == 0
+                elif what == LESSER:
+                    near.setdefault(key, set()).add(record)
+                if kind == 0:
+                    first[key] = min(first.get(key, e), e)
+        rows, least = [], {e: key for key, e in first.items()}
+        beside: dict[int, set[int]] = {}
+        for key, lesser in near.items():
+            for e in lesser:
+                other = least.get(e)
+                if other is None:
+                    other = least[e] = len(number) + len(least)  # a key that met nothing itself
+                    keys.setdefault(e, set()).add(other)
+                beside.setdefault(key, set()).add(other)
+                beside.setdefault(other, set()).add(key)
+        taken: dict[int, int] = {}  # the accepted entry of a key
+        for e in sorted(keys):
+            met = old.get(e, {})
+            for key in keys[e]:
+                for other in beside.get(key, ()):
+                    if other in taken:
+                        met.setdefault(taken[other], True)
+            for key in keys[e]:
+                if key in taken:
+                    met[taken[key]] = key not in exact and met.get(taken[key], True)
+            if met:
+                rows += [(a, e, "near" if alone else "exact") for a, alone in met.items()]
+            else:
+                for key in keys[e]:
+                    taken[key] = e
+        for lo in range(0, len(rows), 50_000):
+            part = list(zip(*rows[lo : lo + 50_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2])], names=["accepted_id", "refused_id", "kind"])
+
+    return touched.select("entry_id", "kind", "value", "what", "record").repartition(1).mapInArrow(run, PAIR)
+
+
 class History:
     """Accepted entries, their chunk table and all refusals, under one folder.
 
@@ -398,8 +468,9 @@ class History:
         if self.last is not None:
             batch = batch.filter(F.col("entry_id") > self.last)
         kept: list[str] = []
-        rows, place = written(normalised(batch), "batch", paths=kept), self.next
-        n, top = rows.agg(F.count(F.lit(1)), F.max("entry_id")).first()
+        seen, place = Observation(), self.next
+        rows = written(normalised(batch).observe(seen, F.count(F.lit(1)).alias("n"), F.max("entry_id").alias("top")), "batch", paths=kept)
+        n, top = seen.get["n"], seen.get["top"]
         slices = math.ceil(n / MOST_ROWS)
         cuts = sorted({int(c) for c in rows.approxQuantile("entry_id", [i / slices for i in range(1, slices)], 0.1 / slices)}) if slices > 1 else []
         for low, high in zip([None, *cuts], [*cuts, None]) if n else ():
@@ -439,9 +510,9 @@ class History:
 
     def _store(self, k: int, turn: int, taken: DataFrame) -> tuple[int, list[str]]:
         """Write accepted entries and their chunks; how many they are, and the chunk files."""
-        store(taken, f"{self.path}/entries/{k}/{turn}")
-        stored = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{k}/{turn}")
-        n = stored.count()
+        seen = Observation()
+        store(taken.observe(seen, F.count(F.lit(1)).alias("n")), f"{self.path}/entries/{k}/{turn}")
+        stored, n = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{k}/{turn}"), seen.get["n"]
         keys = exploded(stored.coalesce(1 + n // 200_000)).select("kind", "value", F.col("entry_id").alias("vid"), F.lit(False).alias("many"))
         # row groups of some 4 MB in order of part, so that a reader takes little more than its own
         small = {"compression": "uncompressed", "parquet.block.size": str(1 << 22), "parquet.enable.dictionary": "false"}
@@ -456,15 +527,28 @@ class History:
         """Accept and refuse a slice's rows, up to entry_id `last`, in rounds and commit the result."""
         if self.size > CAPACITY << self.bits or len(self.parts) > MOST_PARTS:
             self.compact()
-        k, old = self._begin(), [f for c in self.parts.values() for f in c["files"]]
+        k, old, seen = self._begin(), [f for c in self.parts.values() for f in c["files"]], Observation()
+        met = probe(keys_of(exploded(rows)), self.bits, old, True, self.radius)
+        met = self._step(met.observe(seen, F.count_if(F.col("what") == MORE).alias("more")), "met")
+        if seen.get["more"]:
+            n, files = self._rounds(k, rows, met)
+        else:
+            store(settle(exploded(rows).join(met, ["kind", "value"])), f"{self.path}/refused/{k}")
+            lost = self.refused([k]).select(F.col("refused_id").alias("entry_id"))
+            n, files = self._store(k, 0, rows.join(lost, "entry_id", "left_anti"))
+        self._commit(k, {"rows": n, "files": files, "replaces": [], "last": last, "refused": True})
+        while self.steps:
+            remove(self.spark, self.steps.pop())
+
+    def _rounds(self, k: int, rows: DataFrame, met: DataFrame) -> tuple[int, list[str]]:
+        """Store part k's accepted and refused entries where keys met more than can be told at once."""
         pending, turn, n, files, found, held = rows, 0, 0, [], [], None
         while True:
-            met = self._step(probe(keys_of(exploded(pending)), self.bits, old if turn == 0 else [], True, self.radius), "met")
             touched = self._step(exploded(pending).join(met, ["kind", "value"]), "touched")
             if held is None:
                 held = touched.select("entry_id", "kind", "value").distinct()
                 found.append(touched.filter(f"what = {RECORD}").select(F.col("record").alias("accepted_id"), F.col("entry_id").alias("refused_id"), (F.col("kind") == 0).alias("near")))
-            waits = F.bool_or((F.col("what") == LESSER) | (F.col("what") == EQUAL) & (F.col("entry_id") > F.col("record")))
+            waits = F.bool_or(F.col("what").isin(LESSER, MORE) | (F.col("what") == EQUAL) & (F.col("entry_id") > F.col("record")))
             state = touched.groupBy("entry_id").agg(F.bool_or(F.col("what") == RECORD).alias("refused"), waits.alias("waits"))
             added, new = self._store(k, turn, pending.join(state.filter("refused or waits"), "entry_id", "left_anti"))
             n, files = n + added, files + new
@@ -477,11 +561,10 @@ class History:
             turn += 1
             if pending.isEmpty():
                 break
+            met = self._step(probe(keys_of(exploded(pending)), self.bits, [], True, self.radius, 0), "met")
         kinds = reduce(DataFrame.unionByName, found).groupBy("accepted_id", "refused_id").agg(F.when(F.bool_and("near"), "near").otherwise("exact").alias("kind"))
         store(kinds, f"{self.path}/refused/{k}")
-        self._commit(k, {"rows": n, "files": files, "replaces": [], "last": last, "refused": True})
-        while self.steps:
-            remove(self.spark, self.steps.pop())
+        return n, files
 
 
 def refusals(manifest: DataFrame) -> DataFrame:

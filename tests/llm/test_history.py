@@ -124,6 +124,15 @@ def test_a_chain_takes_rounds(spark):
     assert run(spark, rows) == brute(rows) and len(brute(rows)) == 6
 
 
+@pytest.mark.parametrize("most", [0, 1, 8])
+def test_rounds_and_one_task_decide_alike(spark, monkeypatch, most):
+    """Where keys met more lesser ones than are told, rounds take over; the rows are the same."""
+    monkeypatch.setattr(h, "MOST_LESSER", most)
+    monkeypatch.setattr(h.probe, "__defaults__", (most,))
+    rows = random_rows(160, 5, 80)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_a_small_batch_reads_row_groups_and_not_the_table(spark, tmp_path, monkeypatch):
     """Rows unpacked for one batch of two entries at two sizes of the history, in the part that it meets."""
     taken = []
