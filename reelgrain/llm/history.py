@@ -18,8 +18,8 @@ entries (one more for each doubling beyond a million), set anew by `compact`, so
 however long the history grows. An entry takes about 0.45 KB in the chunk table.
 
 Equal values of a batch meet as one key with the least entry_id, never as pairs. For each key a task looks for matches in
-the history and for near keys of a lesser id in the batch, up to `MOST_LESSER` of these in a part, so that a group of near
-copies costs its size and not its square. Entries that met nothing are accepted. Where no key met more, the others are
+the history and for near keys of a lesser id in the batch, up to `MOST_LESSER` of these and `MOST_PAIRS` in a part, so that
+a large group of near copies costs its size and not its square. Entries that met nothing are accepted. Where no key met more, the others are
 decided in order of entry_id by one task, whose rows are bounded as below. Where some did, they are decided in rounds: an
 entry without a match in the history or a lesser one in the batch is accepted, its chunks are appended, and the others are
 held against the new chunks; one that is neither accepted nor refused then has only refused ones before it and enters the
@@ -55,7 +55,9 @@ from reelgrain.session import data_files, read_small, remove, scratch, store, wr
 RADIUS, CHUNKS, FLIPS = 24, 9, 2
 DIGEST, SAMPLE, SLOTS = CHUNKS, CHUNKS + 1, CHUNKS + 2
 WIDTHS = tuple(len(range(c, 256, CHUNKS)) for c in range(CHUNKS))
-BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS, MOST_LESSER = 1024, 1 << 20, 1 << 20, 64, 8
+BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS = 1024, 1 << 20, 1 << 20, 64
+#: Lesser near keys told of a key, pairs told of a part, runs met as a whole, probes at a time.
+MOST_LESSER, MOST_PAIRS, SHORT, PROBES = 4096, 1 << 20, 256, 1 << 19
 KEYS = ("bits", "dig", "sid")
 ENTRY = "entry_id bigint, bits binary, dig binary, sid binary"
 PAIR = "accepted_id bigint, refused_id bigint, kind string"
@@ -140,6 +142,13 @@ def shown_first(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
     return new
 
 
+def expanded(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of `at` beside each place from `first` to before `end`."""
+    size = (end - first).astype(np.int64)
+    q = np.repeat(at, size)
+    return q, np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(q))
+
+
 class Index:
     """Rows of one part of the table by cells of their keys."""
 
@@ -148,52 +157,72 @@ class Index:
         self.bits = min(width, max(8, min(20, int(len(rows)).bit_length() + 2)))
         self.rest = np.uint32(width - self.bits)
         cells = self.cells(rows.keys)
-        order = np.lexsort((rows.ids, cells))
+        # within a cell in order of id: ranks below the cells, one sort of whole words
+        ranks = np.empty(len(rows), np.uint64)
+        ranks[np.argsort(rows.ids)] = np.arange(len(rows), dtype=np.uint64)
+        order = np.argsort(cells.astype(np.uint64) << np.uint64(32) | ranks)
         self.rows = rows.take(order)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cells, minlength=1 << self.bits))])
+        counts = np.bincount(cells, minlength=1 << self.bits)
+        self.held = counts > 0
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return (keys & np.uint32((1 << self.width) - 1)) >> self.rest
 
     def runs(self, cells: np.ndarray, flips: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of queries and the runs of rows in the cells at most `flips` bits away."""
-        for mask in masks(self.bits, min(flips, self.bits)):
-            to = cells ^ mask
-            first, end = self.starts[to], self.starts[to + 1]
-            at = np.flatnonzero(end > first)
-            if len(at):
-                yield at, first[at], end[at]
+        """Places of queries and the runs of rows in the cells at most `flips` bits away, some millions of probes at a time."""
+        every = masks(self.bits, min(flips, self.bits))
+        step = max(1, PROBES // max(1, len(cells)))
+        for lo in range(0, len(every), step):
+            to = (every[lo : lo + step, None] ^ cells[None, :]).ravel()
+            hit = np.flatnonzero(self.held[to])
+            if len(hit):
+                to = to[hit]
+                yield hit % len(cells), self.starts[to], self.starts[to + 1]
 
     def lesser(self, own: Rows, flips: int, radius: int, chunk: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in `own` and ids of near rows with a lesser id, and the places that have more than `most` and stopped there."""
-        found, rows = np.zeros(len(own), np.int32), self.rows
-        places, records = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        """Places in `own` and ids of near rows with a lesser id, and the places that have more than `most` of them.
+
+        Short runs are met as a whole, long ones a step at a time, so that members of a large group stop when they have
+        met enough. Where the pairs exceed `MOST_PAIRS`, each place stops at its first and none is told.
+        """
+        found, rows = np.zeros(len(own), np.int64), self.rows
+        places, records, told = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def met(q: np.ndarray, t: np.ndarray) -> None:
+            nonlocal told
+            close = np.flatnonzero((rows.ids[t] < own.ids[q]) & (np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS))
+            q, t = q[close], t[close]
+            near = near_words(own.words[q], rows.words[t], radius)
+            q, t = q[near], t[near]
+            np.add.at(found, q, 1)
+            if told <= MOST_PAIRS:
+                new = shown_first(own.words[q], rows.words[t], chunk)
+                places.append(q[new])
+                records.append(rows.ids[t[new]])
+                told += len(q)
+
         for at, first, end in self.runs(self.cells(own.keys), flips):
+            short = end - first <= SHORT
+            met(*expanded(at[short], first[short], end[short]))
+            at, first, end = at[~short], first[~short], end[~short]
             while len(at):
-                on = (found[at] <= most) & (rows.ids[first] < own.ids[at])
+                on = (found[at] <= (most if told <= MOST_PAIRS else 0)) & (first < end) & (rows.ids[np.minimum(first, len(rows) - 1)] < own.ids[at])
                 at, first, end = at[on], first[on], end[on]
-                close = np.flatnonzero(np.bitwise_count(own.keys[at] ^ rows.keys[first]) <= FLIPS)
-                hit = close[near_words(own.words[at[close]], rows.words[first[close]], radius)]
-                found[at[hit]] += 1
-                new = hit[shown_first(own.words[at[hit]], rows.words[first[hit]], chunk)]
-                places.append(at[new])
-                records.append(rows.ids[first[new]])
+                met(at, first)
                 first = first + 1
-                on = first < end
-                at, first, end = at[on], first[on], end[on]
+        if told > MOST_PAIRS:
+            return places[0], records[0], np.flatnonzero(found)
         return np.concatenate(places), np.concatenate(records), np.flatnonzero(found > most)
 
     def pairs(self, own: Rows, flips: int, radius: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in `own` and ids of the near rows that no chunk before this one shows."""
         places, records, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], self.rows
         for at, first, end in self.runs(self.cells(own.keys), flips):
-            ends = np.cumsum(end - first)
-            for lo in range(0, len(at), max(1, int(2e6 // max(1, ends[-1] / len(at))))):
-                part = slice(lo, lo + max(1, int(2e6 // max(1, ends[-1] / len(at)))))
-                size = end[part] - first[part]
-                q = np.repeat(at[part], size)
-                t = np.repeat(first[part] - np.cumsum(size) + size, size) + np.arange(len(q))
-                close = np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS
+            step = max(1, int(PROBES * len(at) // max(1, (end - first).sum())))
+            for lo in range(0, len(at), step):
+                q, t = expanded(at[lo : lo + step], first[lo : lo + step], end[lo : lo + step])
+                close = np.flatnonzero(np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS)
                 q, t = q[close], t[close]
                 near = near_words(own.words[q], rows.words[t], radius)
                 q, t = q[near], t[near]
@@ -207,9 +236,7 @@ def equal_pairs(own: Rows, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     """Places in `own` and ids of rows with the same value."""
     rows = rows.take(np.argsort(rows.keys))
     first, end = np.searchsorted(rows.keys, own.keys, "left"), np.searchsorted(rows.keys, own.keys, "right")
-    size = end - first
-    q = np.repeat(np.arange(len(own)), size)
-    t = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(q))
+    q, t = expanded(np.arange(len(own)), first, end)
     same = (own.words[q] == rows.words[t]).all(axis=1)
     return q[same], rows.ids[t[same]]
 
