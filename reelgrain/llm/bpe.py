@@ -73,7 +73,8 @@ class Encoder:
         self.lengths = array("i", [0]) * (max(self.ranks.values(), default=0) + 1)
         for token, rank in self.ranks.items():
             self.lengths[rank] = len(token)
-        self.pieces = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.pieces, self.pieces_between = pattern.findall, pattern.finditer
         self.queue = RankQueue(len(self.lengths))
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -132,6 +133,21 @@ class Encoder:
         return ids
 
 
+    def encode_parts(self, text: str) -> tuple[array, list[int], list[int]]:
+        """ids, and of each pre-token its first character and its first id; both lists end with the whole's length."""
+        ids, starts, firsts, at = array("i"), [], [], 0
+        cache, extend = self.cache, ids.extend
+        for piece in self.pieces(text):
+            starts.append(at)
+            firsts.append(len(ids))
+            at += len(piece)
+            found = cache.get(piece)
+            extend(self.encode(piece) if found is None else found)
+        starts.append(at)
+        firsts.append(len(ids))
+        return ids, starts, firsts
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
