@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrain.functions.text import digest_hex, present_lower, trimmed_lower
-from reelgrain.session import written
+from reelgrain.session import small_rows, written
 
 MOST_ROUNDS = 60
 STRATA, BUCKETS, PASSES = 500, 4096, 6
@@ -150,7 +150,7 @@ def balanced(counts: np.ndarray, pairs: list[tuple[str, str]], shares: list[floa
 def assign(manifest: DataFrame, targets: DataFrame, seed: int = 11, big_share: float = 0.002, aliases: DataFrame | None = None) -> DataFrame:
     """entry_id, group_key, split_name. Without `aliases` (label_alias) a label stands for itself, trimmed and in lower case."""
     spark = manifest.sparkSession
-    shares = [(r[0], max(0.0, float(r[1] or 0))) for r in targets.select("split_name", "target_share").limit(1000).collect()]
+    shares = [(r[0], max(0.0, float(r[1] or 0))) for r in small_rows(targets.select("split_name", "target_share"))]
     whole = sum(s for _, s in shares)
     shares = [(n, s / whole if whole else 1 / len(shares)) for n, s in sorted(shares)]
     numbered, pairs = _strata(manifest, aliases)
