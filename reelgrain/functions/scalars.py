@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"\A\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
+#: The usual frame rates.
 FRAME_RATES = (23.976, 24.0, 25.0, 29.97, 30.0, 50.0, 59.94, 60.0)
 
 
@@ -46,11 +47,73 @@ def suffix(path: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    x, out = size.cast("double"), F.lit(None).cast("string")
-    for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        shown = F.format_string("%d B", size.cast("bigint")) if not power else F.format_string(f"%.2f {unit}", x / 1024**power)
-        out = F.coalesce(out, F.when(x >= (1024**power if power else 0), shown))
-    return out
+    """Bytes in the greatest binary unit that keeps one or more of it."""
+    x, out = size.cast("double"), F.format_string("%d B", size.cast("bigint"))
+    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        out = F.when(x >= 1024.0**power, F.format_string(f"%.2f {unit}", x / 1024.0**power)).otherwise(out)
+    return F.when(size.isNotNull(), out)
+
+
+def human_duration(seconds: Column) -> Column:
+    return F.when(seconds.isNotNull(), F.format_string("%.2f seconds", seconds.cast("double")))
+
+
+def human_bit_rate(rate: Column) -> Column:
+    x = rate.cast("double")
+    shown = F.when(x >= 1e6, F.format_string("%.2f Mbps", x / 1e6)).when(x >= 1e3, F.format_string("%.2f Kbps", x / 1e3)).otherwise(F.format_string("%.0f bps", x))
+    return F.when(x.isNotNull(), shown)
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to so many decimals; a tie goes to the even digit."""
+    return F.bround(x, digits)
+
+
+def container_family(name: Column) -> Column:
+    """The usual name of a list of format names."""
+    parts = F.transform(F.split(name, ","), lambda x: F.btrim(x))
+    has = lambda *words: F.arrays_overlap(parts, F.array(*map(F.lit, words)))
+    return F.when(has("mov", "mp4"), "MP4/MOV family").when(has("matroska", "webm"), "Matroska/WebM family").when(has("avi"), "AVI").otherwise(name)
+
+
+def codec_level(level: Column) -> Column:
+    """41 is level 4.1; values that are no tenths stay as they are."""
+    return F.when(level.between(10, 999), F.format_string("%.1f", level / 10.0)).otherwise(level.cast("string"))
+
+
+def orientation(width: Column, height: Column) -> Column:
+    return F.when(width > height, "landscape").when(height > width, "portrait").when(width == height, "square")
+
+
+def display_size(width: Column, height: Column, turned: Column) -> Column:
+    """Width and height as shown: swapped for a quarter turn."""
+    quarter = F.coalesce(turned.isin(90, 270), F.lit(False))
+    return F.struct(F.when(quarter, height).otherwise(width).alias("width"), F.when(quarter, width).otherwise(height).alias("height"))
+
+
+def stream_rotation(tag: Column, side_data: Column) -> Column:
+    """Degrees of a stream: its rotate tag, else the first entry of its side data (structs rotation, displaymatrix_rotation) that has any."""
+    entry = F.transform(side_data, lambda x: F.coalesce(x["rotation"].try_cast("bigint"), F.bround(x["displaymatrix_rotation"].try_cast("double"), 0).cast("bigint")))
+    return rotation(F.coalesce(tag.try_cast("bigint"), F.get(F.filter(entry, lambda x: x.isNotNull()), F.lit(0))))
+
+
+def short_message(text: Column, most: int = 500) -> Column:
+    """One line of at most so many characters."""
+    return F.substring(F.btrim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+
+
+def is_version(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\A\d+\.\d+\.\d+\z"), F.lit(False))
+
+
+def sample_name(label: Column, digest: Column) -> Column:
+    """label-sha16, the usual id of a sample."""
+    return F.concat(label, F.lit("-"), F.substring(digest, 1, 16))
+
+
+def change_ratio(before: Column, after: Column, floor: float = 1e-9) -> Column:
+    """increase and decrease of an energy, each at least 1 where it has that direction."""
+    return F.struct((after / F.greatest(before, F.lit(floor))).alias("increase"), (before / F.greatest(after, F.lit(floor))).alias("decrease"))
 
 
 def frame_rate(text: Column) -> Column:

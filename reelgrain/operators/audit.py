@@ -1,4 +1,4 @@
-"""Audits of flat labelled feature tables: profiles, statistics by class, class differences, correlation, leakage, duplicates.
+"""Audits of flat labelled feature tables: statistics by class, class differences, correlation, leakage, duplicates.
 
 A column's values are unpivoted once and aggregated by (column[, class]), with partial aggregation before the shuffle;
 statistics for all rows and for each class come from one GROUPING SETS pass.
@@ -6,11 +6,14 @@ statistics for all rows and for each class come from one GROUPING SETS pass.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +22,8 @@ from pyspark.sql.window import Window
 from reelgrain.functions.text import present_lower
 from reelgrain.session import written
 
-#: Fixed terms whose presence in values hints at a leaked label.
-LEAK_TERMS = ("real", "fake", "synthetic", "generated", "ai", "authentic")
-LEAK_NAMES = {"critical": ("label", "target", "class"), "high": ("source", "generator", "camera"), "medium": ("path", "file", "name")}
-#: The terms of the reference's audit, looked for in every column's values.
+#: Terms that hint at a label or at where a file comes from, looked for in every column's values.
 SOURCE_TERMS = ("real", "ai", "fake", "generated", "ai_generated", "deepfake", "kaggle", "personal", "external", "manual_source", "self_recorded")
-RATIO_TOKENS, COUNT_TOKENS = ("ratio", "percentage"), ("duration", "width", "height", "count", "rms")
 
 
 def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -51,27 +50,6 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def column_audit(df: DataFrame, columns: Sequence[str], label: str, near_constant: float = 0.95) -> DataFrame:
-    """Missing and distinct counts, first values, mode and its share of each column, and a quality class."""
-    rows = unpivoted(df, columns, label)
-    counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    values = counts.filter("value is not null").groupBy("column_name").agg(
-        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct_values"), F.max("n").alias("dominant"),
-        F.max_by("value", F.struct("n")).alias("any_mode"),
-    )
-    first = Window.partitionBy("column_name")
-    modes = counts.filter("value is not null").withColumn("k", F.row_number().over(first.orderBy(F.desc("n"), "value"))).filter("k = 1").select("column_name", F.col("value").alias("mode"))
-    heads = counts.filter("value is not null").withColumn("k", F.row_number().over(first.orderBy("value"))).filter("k <= 5").groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("first_values"))
-    whole = counts.groupBy("column_name").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
-    share = F.coalesce(F.col("dominant") / F.col("present"), F.lit(0.0))
-    quality = (
-        F.when(F.coalesce("present", F.lit(0)) == 0, "fully_empty").when(F.col("distinct_values") == 1, "constant").when(share >= near_constant, "near_constant")
-        .when(F.col("missing") / F.col("n") >= 0.5, "missing_heavy").otherwise("candidate")
-    )
-    out = whole.join(values.drop("any_mode"), "column_name", "left").join(modes, "column_name", "left").join(heads, "column_name", "left")
-    return out.select("column_name", "n", "missing", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "mode", "first_values", F.round(share, 6).alias("dominant_share"), quality.alias("quality"))
-
-
 def quantiles(counts: DataFrame, keys: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
     """Exact quantiles (linear between neighbours) from (keys, value, k) counts, by running sums and not by a map of all values."""
     placed = running(counts, keys, "value", "k")
@@ -104,16 +82,38 @@ def describe(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 def compare_classes(df: DataFrame, columns: Sequence[str], label: str, one: str, two: str) -> DataFrame:
-    """Differences of means and medians, pooled deviation, standardised difference, overlap of ranges."""
-    rows = unpivoted(df, columns, label, "double").filter(F.col("label").isin(one, two))
-    of = lambda c: F.when(F.col("label") == c, F.col("value"))
-    stats = [f(of(c)).alias(f"{name}{k}") for k, c in ((1, one), (2, two)) for name, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("var", F.var_pop), ("low", F.min), ("high", F.max))]
-    t = rows.groupBy("column_name").agg(*stats).filter("n1 > 0 and n2 > 0")
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / F.nullif(F.col("n1") + F.col("n2") - 2, F.lit(0)))
-    return t.select(
-        "column_name", (F.col("mean1") - F.col("mean2")).alias("mean_difference"), (F.col("median1") - F.col("median2")).alias("median_difference"), pooled.alias("pooled_deviation"),
-        ((F.col("mean1") - F.col("mean2")) / F.nullif(pooled, F.lit(0.0))).alias("standardised"), (F.greatest("low1", "low2") <= F.least("high1", "high2")).alias("ranges_overlap"),
+    """Class `two` against class `one` for each column: means, medians, pooled deviation, effect, point-biserial r, overlap of ranges, rank test.
+
+    Values are counted once per column and class; everything follows from the counts. A column with an empty class has a row
+    of nulls whose `comparison` is `insufficient class data`. The greatest difference of means comes first.
+    """
+    rows = unpivoted(df, columns, label, "double").filter(F.col("label").isin(one, two) & F.col("value").isNotNull())
+    counts = written(rows.groupBy("column_name", "label", "value").agg(F.count(F.lit(1)).alias("k")), "counts")
+    v, k, y = F.col("value"), F.col("k"), (F.col("label") == two).cast("double")
+    of = lambda c, x: F.when(F.col("label") == c, x)
+    sums = counts.groupBy("column_name").agg(
+        *(x.alias(f"{n}{i}") for i, c in ((1, one), (2, two)) for n, x in (("n", F.coalesce(F.sum(of(c, k)), F.lit(0))), ("s", F.sum(of(c, v * k))), ("low", F.min(of(c, v))), ("high", F.max(of(c, v))))),
+        F.sum(k).alias("_n"), F.sum(v * k).alias("_s"),
+    ).withColumns({"mean1": F.col("s1") / F.nullif(F.col("n1"), F.lit(0)), "mean2": F.col("s2") / F.nullif(F.col("n2"), F.lit(0)), "_mean": F.col("_s") / F.col("_n")})
+    off = lambda m: (v - F.col(m)) * (v - F.col(m)) * k
+    squares = counts.join(F.broadcast(sums), "column_name").groupBy("column_name").agg(F.sum(of(one, off("mean1"))).alias("q1"), F.sum(of(two, off("mean2"))).alias("q2"), F.sum(off("_mean")).alias("_q"), F.sum((v - F.col("_mean")) * (y - F.col("n2") / F.col("_n")) * k).alias("_c"))
+    medians = quantiles(counts, ["column_name", "label"], {"median": 0.5}).groupBy("column_name").agg(F.max(of(one, F.col("median"))).alias("median1"), F.max(of(two, F.col("median"))).alias("median2"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    whole = F.broadcast(names).join(sums.join(squares, "column_name").join(medians, "column_name"), "column_name", "left")
+    n1, n2 = (F.coalesce(f"n{i}", F.lit(0)) for i in (1, 2))
+    there = (n1 > 0) & (n2 > 0)
+    share = F.col("n2") / F.col("_n")
+    pooled = F.when((n1 >= 2) & (n2 >= 2), F.sqrt(((F.col("n1") - 1) * F.col("q1") / F.col("n1") + (F.col("n2") - 1) * F.col("q2") / F.col("n2")) / F.nullif(F.col("n1") + F.col("n2") - 2, F.lit(0))))
+    biserial = F.col("_c") / F.nullif(F.sqrt(F.col("_q")) * F.sqrt(F.col("_n") * share * (1 - share)), F.lit(0.0))
+    only = lambda c: F.when(there, c)
+    difference = F.col("mean2") - F.col("mean1")
+    out = whole.join(rank_test(df, columns, label, one, two).select("column_name", "z"), "column_name", "left").select(
+        "column_name", n1.alias("n1"), n2.alias("n2"), only(F.col("mean1")).alias("mean1"), only(F.col("mean2")).alias("mean2"), only(difference).alias("mean_difference"), only(F.abs(difference)).alias("absolute_difference"),
+        only(F.col("median1")).alias("median1"), only(F.col("median2")).alias("median2"), only(F.col("median2") - F.col("median1")).alias("median_difference"), only(pooled).alias("pooled_deviation"), only(difference / F.nullif(pooled, F.lit(0.0))).alias("effect"),
+        only(biserial).alias("point_biserial"), F.when(~there, "unavailable").when((F.col("high1") < F.col("low2")) | (F.col("high2") < F.col("low1")), "no_observed_range_overlap").otherwise("observed_ranges_overlap").alias("overlap"),
+        F.when(~there, "insufficient class data").when(F.col("z").isNull(), "unavailable").otherwise("available").alias("comparison"), only(F.col("z")).alias("z"), only(two_sided_p(F.col("z"))).alias("p"),
     )
+    return out.orderBy(F.desc(F.coalesce("absolute_difference", F.lit(0.0))), "column_name")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, value: str, buckets: int = 1024) -> DataFrame:
@@ -140,36 +140,38 @@ def rank_test(df: DataFrame, columns: Sequence[str], label: str, one: str, two:
 
 @F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
-    """erfc(|z| / sqrt 2)."""
-    import math
-
+    """erfc(|z| / sqrt 2); one value per column compared."""
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0) -> DataFrame:
-    """Pearson's r over the rows where both are present, in one pass; null where a variance is 0."""
-    named = df.select(*(finite(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
-    aggregates, parts = [], []
-    for i, j in combinations(range(len(columns)), 2):
-        both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-        x, y = F.when(both, F.col(f"c{i}")), F.when(both, F.col(f"c{j}"))
-        r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-        aggregates.append(r.alias(f"r{i}_{j}"))
-        a, b = sorted((columns[i], columns[j]))
-        parts.append(F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"r{i}_{j}").alias("r")))
-    return named.agg(*aggregates).select(F.inline(F.array(*parts))).filter(F.col("r").isNull() | (F.abs("r") >= least))
-
-
-def leakage_scan(df: DataFrame, columns: Sequence[str], terms: Sequence[str] = LEAK_TERMS) -> DataFrame:
-    """Columns whose name or values hint at the label, with the greatest severity."""
-    hits = [F.coalesce(F.bool_or(reduce(Column.__or__, (F.contains(F.lower(F.col(f"`{c}`").cast("string")), F.lit(t)) for t in terms))), F.lit(False)).alias(f"h{i}") for i, c in enumerate(columns)]
-
-    def severity(i: int, name: str) -> Column:
-        named = next((level for level, words in LEAK_NAMES.items() if any(w in name.lower() for w in words)), None)
-        return F.lit(named) if named in ("critical", "high") else F.when(F.col(f"h{i}"), "high").otherwise(F.lit(named))
-
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"h{i}").alias("value_hit"), severity(i, c).alias("severity")) for i, c in enumerate(columns)]
-    return df.agg(*hits).select(F.inline(F.array(*rows))).filter("severity is not null")
+    """Pearson's r of every pair of columns over the rows where both are present; null where there are fewer than two or a variance is 0.
+
+    Each task sums matrices (counts, sums, squares, products) about one value near each column's middle and gives a row per
+    pair; these are added. Work is one matrix product per batch, however many pairs there are.
+    """
+    own = df.select(*(finite(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    middle = own.agg(*(F.percentile_approx(f"c{i}", 0.5).alias(f"c{i}") for i in range(len(columns)))).first()
+    centre = np.array([0.0 if m is None else m for m in middle])
+    pairs = np.array(list(combinations(range(len(columns)), 2)), np.int32).reshape(-1, 2)
+    i, j = pairs[:, 0], pairs[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(pairs)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            n, s, q, p = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+            total += np.stack([n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *map(pa.array, total)], names=["i", "j", "n", "sx", "sy", "qx", "qy", "p"])
+
+    sums = own.mapInArrow(run, "i int, j int, n double, sx double, sy double, qx double, qy double, p double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "p")))
+    spread = lambda q, s: F.when(F.col(q) - F.col(s) * F.col(s) / F.col("n") > 1e-12 * F.col(q), F.col(q) - F.col(s) * F.col(s) / F.col("n"))
+    r = F.when(F.col("n") >= 2, (F.col("p") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread("qx", "sx")) / F.sqrt(spread("qy", "sy")))
+    name = lambda k: F.element_at(F.array(*map(F.lit, columns)), F.col(k) + 1)
+    out = sums.select(F.least(name("i"), name("j")).alias("left_column"), F.greatest(name("i"), name("j")).alias("right_column"), F.col("n").cast("bigint").alias("n"), r.alias("r"))
+    return out if least <= 0 else out.filter(F.abs("r") >= least).orderBy(F.desc(F.abs("r")), "left_column", "right_column")
 
 
 def leakage_findings(df: DataFrame, target: str) -> DataFrame:
@@ -206,24 +208,3 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("n")).filter("label is not null")
     w = Window.partitionBy(F.lit(1))  # a row per class
     return counts.select("label", "n", F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"), F.round(F.min("n").over(w) / F.max("n").over(w), 6).alias("balance"))
-
-
-def impossible_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values against the meaning of a token of the column's name: negative counts and sizes, shares outside [0, 1]."""
-    parts, aggregates = [], []
-    for i, c in enumerate(columns):
-        import re
-
-        tokens = set(re.split(r"[^a-z0-9]+", c.lower()))
-        v = finite(F.col(f"`{c}`").cast("double"))
-        bad = ((v < 0) | (v > 1)) if tokens & set(RATIO_TOKENS) else (v < 0) if tokens & set(COUNT_TOKENS) else F.lit(False)
-        aggregates.append(F.count_if(bad).alias(f"b{i}"))
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"b{i}").alias("impossible")))
-    return df.agg(*aggregates).select(F.inline(F.array(*parts))).filter("impossible > 0")
-
-
-def readiness(df: DataFrame, label: str, least: int = 100, per_class: int = 50, enough: int = 500) -> DataFrame:
-    """One row: sizes and whether they suffice."""
-    c = df.filter(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{label}`").alias("l")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.min("n").alias("smallest"), F.count(F.lit(1)).alias("classes"))
-    small = (F.col("rows") < least) | (F.col("smallest") < per_class) | (F.col("classes") < 2)
-    return c.select("rows", "smallest", F.when(small, "too_small").when(F.col("rows") < enough, "exploratory").otherwise("sufficient").alias("decision"))

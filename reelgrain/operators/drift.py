@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelgrain.session import small_rows
+
 PRESENT, BOOLEAN, INTEGER, FLOAT, STRING = 1, 2, 4, 8, 16
 NOT_FEATURES = ("sample_id", "identity.feature_schema_version")
 VERSION = "identity.feature_schema_version"
@@ -38,7 +40,7 @@ def _parts(c: Column) -> Column:
 
 def current_names(evolution: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     """name -> the last id it reached, and id -> deprecated version. The registry is metadata of bounded size."""
-    rows = evolution.select("id", "aliases", "renamed_from", "deprecated_version").limit(100_000).collect()
+    rows = small_rows(evolution.select("id", "aliases", "renamed_from", "deprecated_version"))
     step = {r.renamed_from: r.id for r in rows if r.renamed_from}
     names: dict[str, str] = {}
     for r in rows:
@@ -130,7 +132,7 @@ _SPARK = {"integer": "bigint", "float": "double", "boolean": "boolean", "string"
 
 
 def newest_schema(schema: DataFrame) -> list[tuple[str, str]]:
-    rows = schema.select("feature_schema_version", "export_name", "data_type").limit(100_000).collect()
+    rows = small_rows(schema.select("feature_schema_version", "export_name", "data_type"))
     newest = max((r[0] for r in rows), key=version_key, default=None)
     return sorted((r[1], r[2]) for r in rows if r[0] == newest)
 
@@ -138,17 +140,27 @@ def newest_schema(schema: DataFrame) -> list[tuple[str, str]]:
 def unified(records: DataFrame, evolution: DataFrame, schema: DataFrame) -> DataFrame:
     """One row per record_id, under the names and types of the newest schema.
 
-    Values are read as text under every name that leads to a column (the newest name first) and cast; what does not
-    cast is null. Equal deliveries of a record count once.
+    Values are read as text under every name that leads to a column (the newest name first) and cast. `not_cast` names the
+    columns whose value does not fit their type: text that is no number, a fraction under an integer, an integer beyond 64
+    bits, a flag that is neither true nor false; their value is null. Equal deliveries of a record count once.
     """
     names, _ = current_names(evolution)
     fields = F.from_json("payload", "map<string,string>")
-    out = []
+    out, failed = [], []
     for column, kind in newest_schema(schema):
         known = [column, *sorted(n for n, last in names.items() if last == column and n != column)]
         text = F.coalesce(*(F.try_element_at("fields", F.lit(n)) for n in known))
-        value = F.round(text.try_cast("double")).cast("bigint") if kind == "integer" else text.try_cast(_SPARK.get(kind, "string"))
-        out.append((F.coalesce(text.try_cast("bigint"), F.when(text.try_cast("double") == F.floor(text.try_cast("double")), value)) if kind == "integer" else value).alias(column))
+        number = text.try_cast("double")
+        whole = F.coalesce(text.try_cast("bigint"), F.when((number == F.floor(number)) & (F.abs(number) < 2.0**63), number.cast("bigint")))
+        value = whole if kind == "integer" else text.try_cast(_SPARK.get(kind, "string"))
+        out.append(value.alias(column))
+        failed.append(F.when(text.isNotNull() & value.isNull(), column))
     rows = records.select("record_id", "producer", F.col("file_no").cast("int").alias("file_no"), fields.alias("fields"))
     sample = F.try_element_at("fields", F.lit("sample_id")).alias("sample_id")
-    return rows.select("record_id", "producer", "file_no", sample, *out).dropDuplicates(["record_id"])
+    missed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    return rows.select("record_id", "producer", "file_no", sample, *out, missed.alias("not_cast")).dropDuplicates(["record_id"])
+
+
+def uncast(whole: DataFrame) -> DataFrame:
+    """producer, file_no, column_name, n: how many values of a file did not fit the newest type of their column."""
+    return whole.select("producer", "file_no", F.explode("not_cast").alias("column_name")).groupBy("producer", "file_no", "column_name").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelgrain.functions.scalars import half_even
 from reelgrain.operators import sequence
 
 
@@ -61,12 +62,16 @@ def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return only(left, right, "left").unionByName(only(right, left, "right"))
 
 
-def scene_frames(scenes: DataFrame, short: float) -> DataFrame:
-    """Times to show of each scene: start, middle and end, or the middle alone of a short one."""
+def scene_frames(scenes: DataFrame, short: float, most: int | None = None) -> DataFrame:
+    """Times to show of each scene: start, middle and end, or the middle alone of a short one; of an entity at most the first `most`."""
     a, b = F.col("start_seconds"), F.col("end_seconds")
-    middle = F.round((a + b) / 2 + 1e-7, 3)  # off the decimal tie
-    times = F.when(b - a < short, F.array(middle)).otherwise(F.array(F.round(a, 3), middle, F.round(b, 3)))
-    return scenes.select("entity", "scene_index", F.explode(F.array_distinct(times)).alias("seconds"))
+    at = lambda x: half_even(F.bround(x, 7), 3)
+    times = F.when(b - a < short, F.array(at((a + b) / 2))).otherwise(F.array(at(a), at((a + b) / 2), at(b)))
+    rows = scenes.select("entity", "scene_index", F.explode(F.array_distinct(times)).alias("seconds"))
+    if most is None:
+        return rows
+    n = F.row_number().over(Window.partitionBy("entity").orderBy("scene_index", "seconds"))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
 
 
 def distinct_strings(c: Column) -> Column:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrain.functions.scalars import number, whole_number
+
 KINDS = ("notable_transition", "event", "finding", "artifact_reference")
 OUT = "report_id bigint, kind string, event_pos int, finding_pos int, pos int, object string"
 
@@ -126,12 +128,45 @@ def objects(df: DataFrame, key: str = "report_id", body: str = "body") -> DataFr
     return flatten_reports(df, key, body).select("report_id", "kind", "event_pos", "finding_pos", "pos").distinct()
 
 
+def _fields(names: str) -> Column:
+    """The object's fields as a struct of texts, whatever their shape."""
+    return F.from_json("object", ", ".join(f"{n} string" for n in names.split()))
+
+
+def _texts(text: Column) -> Column:
+    """An array of texts, or of one."""
+    return F.coalesce(_array_of(text), F.array().cast("array<string>"))
+
+
+def transitions_table(df: DataFrame) -> DataFrame:
+    """The notable transitions with their fields, linked to their report. Numbers may be written as text; what is none is null."""
+    o = lambda n: F.col(f"o.{n}")
+    inner = lambda part, n: number(F.get_json_object(o(part), f"$.{n}"))
+    rows = flatten_reports(df).filter("kind = 'notable_transition'").withColumn("o", _fields("transition_id from_sample_index to_sample_index start_timestamp_seconds end_timestamp_seconds metrics optical_flow notability"))
+    return rows.select(
+        "report_id", "pos", o("transition_id").alias("transition_id"), *(whole_number(o(c)).alias(c) for c in ("from_sample_index", "to_sample_index")), *(number(o(c)).alias(c) for c in ("start_timestamp_seconds", "end_timestamp_seconds")),
+        inner("metrics", "perceptual_hash_distance").alias("perceptual_hash_distance"), inner("metrics", "histogram_correlation").alias("histogram_correlation"), inner("optical_flow", "mean_magnitude").alias("mean_magnitude"), inner("optical_flow", "stationary_pixel_ratio").alias("stationary_pixel_ratio"),
+        o("notability").alias("notability"),
+    ).distinct()
+
+
+def events_table(df: DataFrame) -> DataFrame:
+    """The evidence events with their fields, linked to their report."""
+    rows = flatten_reports(df).filter("kind = 'event'").withColumn("o", _fields("event_id start_timestamp_seconds end_timestamp_seconds evidence_domains"))
+    return rows.select("report_id", "pos", F.col("o.event_id").alias("event_id"), *(number(F.col(f"o.{c}")).alias(c) for c in ("start_timestamp_seconds", "end_timestamp_seconds")), _texts(F.col("o.evidence_domains")).alias("evidence_domains")).distinct()
+
+
 def findings_table(df: DataFrame) -> DataFrame:
-    """The flat findings with their fields, linked to report and event (-1: ambiguous)."""
-    field = lambda path: F.get_json_object("object", path)
-    return (
-        flatten_reports(df)
-        .filter("kind = 'finding'")
-        .select("report_id", "event_pos", "pos", field("$.candidate_id").alias("candidate_id"), field("$.domain").alias("domain"), field("$.type").alias("type"), field("$.summary").alias("summary"))
-        .distinct()
-    )
+    """The findings with their fields, linked to report and event (-1: ambiguous). Metrics that are no numbers are null."""
+    rows = flatten_reports(df).filter("kind = 'finding'").withColumn("o", _fields("candidate_id domain type summary metrics source_observation_ids"))
+    metrics = F.transform_values(F.from_json("o.metrics", "map<string,string>"), lambda k, v: number(v))
+    pairs = F.transform(F.array_sort(F.map_entries(metrics)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    return rows.select("report_id", "event_pos", "pos", *(F.col(f"o.{c}").alias(c) for c in ("candidate_id", "domain", "type", "summary")), pairs.alias("metrics"), _texts(F.col("o.source_observation_ids")).alias("source_observation_ids")).distinct()
+
+
+def artifacts_table(df: DataFrame) -> DataFrame:
+    """The artifact references with their fields, linked to report, event and finding; a bare text is a path."""
+    rows = flatten_reports(df).filter("kind = 'artifact_reference'")
+    spelled = F.startswith(F.ltrim("object"), F.lit("{"))
+    o = F.when(spelled, _fields("path role size_bytes sha256 label"))
+    return rows.select("report_id", "event_pos", "finding_pos", "pos", F.when(spelled, o["path"]).otherwise(F.col("object")).alias("path"), o["role"].alias("role"), o["label"].alias("label"), whole_number(o["size_bytes"]).alias("size_bytes"), o["sha256"].alias("sha256")).distinct()

@@ -7,8 +7,9 @@ largest difference of the distribution functions of two loads.
 
 Defined results. Rows with one key count once. Null and NaN are missing. A load is compared with the run's next lower
 load that is there; a run's first load has no changes. A side without non-missing values has no shift. Sums leave out
-values beyond decimal(20,6). A load without a summary row has no missing_count finding; a null map has no entries.
-An empty table gives an empty profile. Columns that are not named are ignored.
+infinities and values beyond decimal(20,6); `summed` is how many they hold, and means are over these. Flags and texts have
+counts and distinct values, and violations where they have a pattern. A load without a summary row has no missing_count
+finding; a null map has no entries. An empty table gives an empty profile. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelgrain.session import written
+from reelgrain.session import small_rows, written
 
 NUMERIC = (
     *(f"media.{c}" for c in ("duration_seconds", "width", "height", "frame_rate", "frame_count")),
@@ -35,7 +36,7 @@ NULL_RATE, SHIFT, BUCKETS = 0.12, 0.3, 1024
 
 def schema_bounds(schema: DataFrame, version: str = "0.10.0") -> dict[str, tuple[float | None, float | None]]:
     """name -> (minimum, maximum) of one schema version; the registry is a metadata table of at most some hundred rows."""
-    rows = schema.filter(F.col("feature_schema_version") == version).select("export_name", "minimum", "maximum").limit(100_000).collect()
+    rows = small_rows(schema.filter(F.col("feature_schema_version") == version).select("export_name", "minimum", "maximum"))
     return {r[0]: (r[1], r[2]) for r in rows}
 
 
@@ -47,10 +48,10 @@ def _value(name: str) -> Column:
 class LoadProfile:
     """The aggregates of a table by (run_id, load_no); each report is derived from them."""
 
-    def __init__(self, df: DataFrame, numeric: Sequence[str] = NUMERIC, patterns: Mapping[str, str] = PATTERNS, bounds: Mapping[str, tuple[float | None, float | None]] | None = None, key: str = "record_id"):
+    def __init__(self, df: DataFrame, numeric: Sequence[str] = NUMERIC, patterns: Mapping[str, str | None] = PATTERNS, bounds: Mapping[str, tuple[float | None, float | None]] | None = None, key: str = "record_id"):
         self.numeric, self.patterns, self.bounds = list(numeric), dict(patterns), dict(bounds or {})
         named = [_value(c).alias(f"v{i}") for i, c in enumerate(self.numeric)]
-        texts = [F.col(c).alias(f"s{i}") for i, c in enumerate(self.patterns)]
+        texts = [F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(self.patterns)]
         self.rows = df.select(key, "run_id", "load_no", *named, *texts).dropDuplicates([key]).drop(key)
 
     def keep(self) -> LoadProfile:
@@ -64,7 +65,7 @@ class LoadProfile:
         low, high = self.bounds.get(self.numeric[i], (None, None))
         outside = (v < low if low is not None else F.lit(False)) | (v > high if high is not None else F.lit(False))
         return [
-            F.count(v).alias("present"), F.try_sum(exact).alias("s1"), F.try_sum(exact * exact).alias("s2"),
+            F.count(v).alias("present"), F.count(exact).alias("summed"), F.try_sum(exact).alias("s1"), F.try_sum(exact * exact).alias("s2"),
             F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(outside).alias("violations"),
         ]
 
@@ -73,13 +74,13 @@ class LoadProfile:
         aggregates, parts = [F.count(F.lit(1)).alias("n")], []
         for i, name in enumerate(self.numeric):
             own = self._numeric_aggregates(i)
-            aggregates += [a.alias(f"n{i}_{k}") for k, a in zip(("present", "s1", "s2", "low", "high", "violations"), own)]
-            parts.append(F.struct(F.lit(name).alias("column_name"), *(F.col(f"n{i}_{k}").cast(t).alias(k) for k, t in (("present", "bigint"), ("s1", "decimal(38,6)"), ("s2", "decimal(38,6)"), ("low", "double"), ("high", "double"), ("violations", "bigint")))))
+            aggregates += [a.alias(f"n{i}_{k}") for k, a in zip(("present", "summed", "s1", "s2", "low", "high", "violations"), own)]
+            parts.append(F.struct(F.lit(name).alias("column_name"), *(F.col(f"n{i}_{k}").cast(t).alias(k) for k, t in (("present", "bigint"), ("summed", "bigint"), ("s1", "decimal(38,6)"), ("s2", "decimal(38,6)"), ("low", "double"), ("high", "double"), ("violations", "bigint")))))
         for i, (name, pattern) in enumerate(self.patterns.items()):
             s = F.col(f"s{i}")
-            aggregates += [F.count(s).alias(f"t{i}_present"), F.count_if(~s.rlike(pattern)).alias(f"t{i}_bad")]
+            aggregates += [F.count(s).alias(f"t{i}_present"), F.count_if(F.lit(False) if pattern is None else ~s.rlike(pattern)).alias(f"t{i}_bad")]
             null = lambda t: F.lit(None).cast(t)
-            parts.append(F.struct(F.lit(name).alias("column_name"), F.col(f"t{i}_present").alias("present"), null("decimal(38,6)").alias("s1"), null("decimal(38,6)").alias("s2"), null("double").alias("low"), null("double").alias("high"), F.col(f"t{i}_bad").alias("violations")))
+            parts.append(F.struct(F.lit(name).alias("column_name"), F.col(f"t{i}_present").alias("present"), null("bigint").alias("summed"), null("decimal(38,6)").alias("s1"), null("decimal(38,6)").alias("s2"), null("double").alias("low"), null("double").alias("high"), F.col(f"t{i}_bad").alias("violations")))
         wide = self.rows.groupBy("run_id", "load_no").agg(*aggregates)
         return wide.select("run_id", "load_no", "n", F.inline(F.array(*parts))).withColumn("missing", F.col("n") - F.col("present"))
 
@@ -89,14 +90,19 @@ class LoadProfile:
         return self.rows.select("run_id", "load_no", F.inline(pairs)).filter("value is not null").groupBy("run_id", "load_no", "c", "value").agg(F.count(F.lit(1)).alias("k"))
 
     def distinct_counts(self) -> DataFrame:
-        names = F.array(*map(F.lit, self.numeric))
-        return self.value_counts().groupBy("run_id", "load_no", "c").agg(F.count(F.lit(1)).alias("distinct_values")).select("run_id", "load_no", F.element_at(names, F.col("c") + 1).alias("column_name"), "distinct_values")
+        """run_id, load_no, column_name, distinct_values of every column."""
+        counted = lambda kind, names: (
+            self.rows.select("run_id", "load_no", F.inline(F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(f"{kind}{i}").alias("value")) for i, n in enumerate(names)))))
+            .filter("value is not null").distinct().groupBy("run_id", "load_no", "column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+        )
+        parts = [counted(kind, names) for kind, names in (("v", self.numeric), ("s", list(self.patterns))) if names]
+        return reduce(DataFrame.unionByName, parts)
 
     def changes(self, profile: DataFrame | None = None) -> DataFrame:
         """The profile with the load before, the change of the null rate and the standardised difference of means."""
         by_run = Window.partitionBy("run_id", "column_name").orderBy("load_no")
-        mean = F.col("s1").cast("double") / F.nullif(F.col("present"), F.lit(0))
-        variance = F.greatest(F.lit(0.0), F.col("s2").cast("double") / F.nullif(F.col("present"), F.lit(0)) - mean * mean)
+        mean = F.col("s1").cast("double") / F.nullif(F.col("summed"), F.lit(0))
+        variance = F.greatest(F.lit(0.0), F.col("s2").cast("double") / F.nullif(F.col("summed"), F.lit(0)) - mean * mean)
         out = (self.by_load() if profile is None else profile).withColumns({"mean": mean, "variance": variance, "null_rate": F.col("missing") / F.col("n")})
         for c in ("load_no", "present", "null_rate", "mean", "variance", "low", "high"):
             out = out.withColumn(f"before_{c}", F.lag(c).over(by_run))
@@ -161,9 +167,19 @@ def load_findings(df: DataFrame, summary: DataFrame, schema: DataFrame, null_rat
     return reduce(DataFrame.unionByName, parts).select(F.col("run_id").cast("bigint").alias("run_id"), F.col("load_no").cast("int").alias("load_no"), "column_name", "finding").distinct()
 
 
-def column_profile(df: DataFrame, schema: DataFrame) -> DataFrame:
-    """The whole profile: a row per run, load and column."""
-    profiler = LoadProfile(df, bounds=schema_bounds(schema)).keep()
+def leaves(df: DataFrame, groups: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """The numeric leaves of a table's structs, and the flags and texts, by dotted name."""
+    from pyspark.sql import types as T
+
+    found = [(f"{g.name}.{f.name}", f.dataType) for g in df.schema if isinstance(g.dataType, T.StructType) and (groups is None or g.name in groups) for f in g.dataType]
+    numeric = [n for n, t in found if isinstance(t, T.NumericType)]
+    return numeric, [n for n, t in found if isinstance(t, (T.StringType, T.BooleanType))]
+
+
+def column_profile(df: DataFrame, schema: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
+    """The whole profile: a row per run, load and column, for every leaf of the table's structs."""
+    numeric, others = leaves(df, groups)
+    profiler = LoadProfile(df, numeric, {n: PATTERNS.get(n) for n in others}, schema_bounds(schema)).keep()
     keys = ["run_id", "load_no", "column_name"]
     out = profiler.changes().join(profiler.distinct_counts(), keys, "left")
-    return out.select(*keys, "n", "missing", "null_rate", "low", "high", "violations", F.col("mean"), F.sqrt("variance").alias("deviation"), "null_rate_change", "standardised_difference", "distinct_values")
+    return out.select(*keys, "n", "missing", "null_rate", "low", "high", "violations", "summed", F.col("mean"), F.sqrt("variance").alias("deviation"), "null_rate_change", "standardised_difference", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))

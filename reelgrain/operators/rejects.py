@@ -52,6 +52,16 @@ def headers(lines: DataFrame) -> DataFrame:
     return first.select("file_name", F.contains(h, F.lit(";")).alias("semicolon"), names.alias("names"))
 
 
+def fields_by_header(lines: DataFrame) -> DataFrame:
+    """raw_id, file_name, line_no and `cells`, the (name, value) pairs of each line that is no header; values it lacks are null."""
+    line = F.regexp_replace(F.coalesce("raw_line", F.lit("")), "\r\\z", "")
+    rows = lines.filter("line_no is null or line_no <> 1").select("raw_id", "file_name", "line_no", line.alias("line")).join(headers(lines), "file_name", "left")
+    semi = F.coalesce("semicolon", F.lit(False))
+    fields = F.when(semi, _fields(F.col("line"), ";")).otherwise(_fields(F.col("line"), ","))
+    cells = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n, i: F.struct(n.alias("name"), _bare(F.get("fields", i)).alias("value")))
+    return rows.withColumn("fields", fields).select("raw_id", "file_name", "line_no", cells.alias("cells"))
+
+
 def checked(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """raw_id, file_name, line_no, fields by name and the reasons that hold, for every line that is no header."""
     known = labels.select(F.col("alias"), F.col("expected_label").alias("known_label")).dropDuplicates(["alias"])
@@ -83,9 +93,12 @@ def rejected(lines: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def loaded(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """The valid lines as typed rows; digits beyond a bigint are null."""
+    """The valid lines as typed rows. `not_cast` names the fields of a valid line that fit no type: digits beyond 64 bits and a file_size_mb that is no number; their value is null."""
     clean = lambda c: F.nullif(F.btrim(c, F.lit(SPACE)), F.lit(""))
+    typed = {**{c: "bigint" for c in NUMBERS}, "file_size_mb": "double"}
+    value = {c: clean(c).try_cast(t) for c, t in typed.items()}
+    missed = F.array_compact(F.array(*(F.when(clean(c).isNotNull() & value[c].isNull(), c) for c in typed)))
     return (
         checked(lines, labels).filter(F.size("reasons") == 0)
-        .select("raw_id", "file_name", "line_no", clean("path").alias("path"), F.col("known_label").alias("expected_label"), *(clean(c).alias(c) for c in TEXTS[2:]), *(clean(c).try_cast("bigint").alias(c) for c in NUMBERS), clean("file_size_mb").try_cast("double").alias("file_size_mb"))
+        .select("raw_id", "file_name", "line_no", clean("path").alias("path"), F.col("known_label").alias("expected_label"), *(clean(c).alias(c) for c in TEXTS[2:]), *(v.alias(c) for c, v in value.items()), missed.alias("not_cast"))
     )

@@ -60,16 +60,22 @@ def existing(batch: DataFrame, known: DataFrame, key: str, present: bool) -> Dat
     return batch.join(known.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi" if present else "left_anti")
 
 
-def schema_differences(schema: DataFrame, old: str, new: str) -> DataFrame:
-    """export_name, change, verdict between two versions of a schema."""
-    side = lambda v, p: schema.filter(F.col("feature_schema_version") == v).select("export_name", *(F.col(c).alias(f"{p}_{c}") for c in ("data_type", "minimum", "maximum")))
+def schema_differences(schema: DataFrame, old: str, new: str, fields: Sequence[str] = ("data_type", "units", "minimum", "maximum")) -> DataFrame:
+    """export_name, change, severity between two versions of a schema table: removed features and changed fields are breaking, added ones potentially so."""
+    side = lambda v, p: schema.filter(F.col("feature_schema_version") == v).select("export_name", F.lit(True).alias(f"{p}_there"), *(F.col(c).alias(f"{p}_{c}") for c in fields))
     both = side(old, "o").join(side(new, "n"), "export_name", "full_outer")
-    change = (
-        F.when(F.col("o_data_type").isNull(), "added").when(F.col("n_data_type").isNull(), "removed").when(F.col("o_data_type") != F.col("n_data_type"), "retyped")
-        .when(~F.col("o_minimum").eqNullSafe(F.col("n_minimum")) | ~F.col("o_maximum").eqNullSafe(F.col("n_maximum")), "range_changed")
-    )
-    verdict = F.when(F.col("change").isin("removed", "retyped"), "incompatible").when(F.col("change") == "added", "requires_regeneration").otherwise("compatible_with_warnings")
-    return both.withColumn("change", change).filter("change is not null").select("export_name", "change", verdict.alias("verdict"))
+    there = F.col("o_there").isNotNull() & F.col("n_there").isNotNull()
+    changed = [F.when(there & ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), F.struct(F.lit(f"{c} changed").alias("change"), F.lit("breaking").alias("severity"))) for c in fields]
+    added = F.when(F.col("o_there").isNull(), F.struct(F.lit("added").alias("change"), F.lit("potentially_breaking").alias("severity")))
+    removed = F.when(F.col("n_there").isNull(), F.struct(F.lit("removed").alias("change"), F.lit("breaking").alias("severity")))
+    return both.select("export_name", F.inline(F.array_compact(F.array(added, removed, *changed))))
+
+
+def schema_status(differences: DataFrame) -> DataFrame:
+    """One row: how many differences there are of each severity, and whether data of the old version still serve."""
+    counts = differences.agg(F.count_if(F.col("severity") == "breaking").alias("breaking"), F.count_if(F.col("severity") == "potentially_breaking").alias("potentially_breaking"), F.count(F.lit(1)).alias("differences"))
+    status = F.when(F.col("breaking") > 0, "incompatible").when(F.col("potentially_breaking") > 0, "requires_regeneration").when(F.col("differences") > 0, "compatible_with_warnings").otherwise("compatible")
+    return counts.withColumn("status", status)
 
 
 def fingerprint(document: Mapping, volatile: Sequence[str] = ("generated_at", "schema_fingerprint")) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,9 +15,7 @@ from reelgrain.operators import validation as va
 from reelgrain.operators.profile import NUMERIC
 from reelgrain.session import table
 
-TEXTS = ("identity.feature_schema_version", "identity.expected_label", "d3_summary.d3_status", "d3_summary.d3_encoder")
 LABEL = "identity.expected_label"
-PAIRS = ("frame_summary.mean_brightness", "frame_summary.mean_contrast", "frame_summary.mean_sharpness", "media.frame_rate", "media.width")
 
 
 def _flat(s: SparkSession, d: str) -> DataFrame:
@@ -27,53 +27,12 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "manifest")
 
 
-def _round(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*(F.round(F.col(f"`{c}`") + 1e-7, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
-
-
-def _value_rules(s: SparkSession, d: str) -> DataFrame:
-    c = lambda n: F.col(f"`{n}`")
-    rules = {
-        "identity_missing": c("identity.feature_schema_version").isNull() | c("identity.analysis_id").isNull(),
-        "label_unknown": ~c(LABEL).isin("real", "ai_generated"),
-        "ratio_outside": ~audit.finite(c("frame_summary.dark_frame_ratio")).between(0, 1) | ~audit.finite(c("frame_summary.white_frame_ratio")).between(0, 1),
-        "count_negative": (c("media.frame_count") < 0) | (c("frame_summary.sampled_frame_count") < 0),
-        "absolute_path": va.absolute_path(c("identity.video_name")),
-        "not_finite": F.isnan(c("frame_summary.mean_sharpness")) | F.isnan(c("media.frame_rate")),
-    }
-    return va.violations(_flat(s, d), ["record_id"], rules)
-
-
-def _ranges(s: SparkSession, d: str) -> DataFrame:
-    from reelgrain.operators.profile import schema_bounds
-
-    bounds = {k: v for k, v in schema_bounds(table(s, d, "feature_schema")).items() if k in NUMERIC}
-    return va.range_violations(_flat(s, d), "record_id", bounds)
-
-
 def _references(s: SparkSession, d: str) -> DataFrame:
     known = _manifest(s, d).select("sample_id", digest_hex("video_sha256").alias("digest")).filter("sample_id is not null").groupBy("sample_id").agg(F.min("digest").alias("digest"))
     rows = table(s, d, "outcome_features").dropDuplicates(["record_id"]).select("record_id", "sample_id", digest_hex("identity.video_sha256").alias("digest"))
     return va.reference_problems(rows, known, "sample_id", ["digest"]).groupBy("sample_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _derived(s: SparkSession, d: str) -> DataFrame:
-    c = lambda n: F.col(f"`{n}`").cast("double")
-    f = _flat(s, d)
-    return f.select(
-        "record_id",
-        va.strict_sum(c("frame_summary.dark_frame_ratio"), c("frame_summary.white_frame_ratio")).alias("exposure"),
-        F.round(va.safe_ratio(audit.finite(c("frame_summary.mean_sharpness")), audit.finite(c("frame_summary.mean_contrast"))) + 1e-7, 4).alias("sharpness_to_contrast"),
-        va.available(F.col("`audio_summary.audio_window_count`")).alias("audio_available"),
-        va.available_share(c("frame_summary.sampled_frame_count").isNotNull(), c("audio_summary.audio_window_count").isNotNull(), F.col("`d3_summary.d3_status`") == "completed").alias("coverage"),
-    )
-
-
-def _plan(s: SparkSession, d: str) -> DataFrame:
-    m = _manifest(s, d).select("entry_id", trimmed_lower("expected_label").alias("label"), present_lower("generator_or_camera").alias("bucket")).filter("bucket is not null and label in ('real', 'ai_generated')")
-    return sequence.round_robin(m, "label", "bucket", "entry_id", 40, 3).groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _names(s: SparkSession, d: str) -> DataFrame:
     v = F.col("video_name")
     return _manifest(s, d).select("entry_id", sc.safe_name(v).alias("safe"), sc.suffix(v).alias("suffix"), sc.base_name(F.col("feature_file")).alias("base"), F.array_join(sc.tokens(v), "|").alias("tokens"))
@@ -89,12 +48,6 @@ def _numbers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "source_metadata_raw").filter("line_no > 1").select(field.alias("x")).select(sc.number_kind(F.col("x")).alias("kind"), sc.whole_number(F.col("x")).alias("whole")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("total"))
 
 
-def _summary(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "outcome_features").dropDuplicates(["record_id"])
-    known = F.coalesce(F.col("d3_summary.d3_status"), F.lit("missing"))
-    return f.groupBy("run_id", "load_no").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL) == "real").alias("real"), F.count_if(F.col(LABEL) == "ai_generated").alias("generated"), F.array_join(F.array_sort(F.collect_set("identity.feature_schema_version")), ",").alias("versions"), F.count_if(known == "completed").alias("completed"), F.count_if(known == "missing").alias("status_missing"))
-
-
 def _repeats(s: SparkSession, d: str) -> DataFrame:
     m = _manifest(s, d).select("entry_id", digest_hex("video_sha256").alias("digest")).filter("digest is not null")
     return va.numbered_repeats(m, "digest", "entry_id").filter("suffix <> ''").select("entry_id", "suffix")
@@ -117,32 +70,26 @@ def _last_batch(s: SparkSession, d: str, present: bool) -> DataFrame:
     return va.existing(batch, m.filter(F.col("batch_no") < last) if last is not None else m, "digest", present).select("entry_id")
 
 
+def _statuses(s: SparkSession, d: str) -> DataFrame:
+    """The status of each step from one schema version to the next, and of none."""
+    t = table(s, d, "feature_schema")
+    steps = (("0.8.0", "0.9.0"), ("0.9.0", "0.9.2"), ("0.9.2", "0.9.4"), ("0.9.4", "0.10.0"), ("0.10.0", "0.10.0"))
+    return reduce(DataFrame.unionByName, (va.schema_status(va.schema_differences(t, a, b)).select(F.lit(a).alias("old"), F.lit(b).alias("new"), "*") for a, b in steps))
+
+
 QUERIES = {
-    "prj01_flat": lambda s, d: _round(_flat(s, d).select("record_id", *(F.col(f"`{c}`") for c in (*NUMERIC, *TEXTS)))).withColumnsRenamed({c: c.replace(".", "_") for c in (*NUMERIC, *TEXTS)}),
-    "agg13_column_audit": lambda s, d: audit.column_audit(_flat(s, d), TEXTS, LABEL),
-    "agg14_describe": lambda s, d: _round(audit.describe(_flat(s, d), NUMERIC, LABEL)),
-    "agg15_compare_classes": lambda s, d: _round(audit.compare_classes(_flat(s, d), NUMERIC, LABEL, "real", "ai_generated")),
-    "agg16_rank_test": lambda s, d: _round(audit.rank_test(_flat(s, d), NUMERIC, LABEL, "real", "ai_generated"), 3),
-    "agg18_correlations": lambda s, d: _round(audit.correlations(_flat(s, d), PAIRS)),
     "agg19_duplicates": lambda s, d: audit.duplicate_counts(_manifest(s, d).drop("frame_hashes"), ["sample_id", "video_sha256", "feature_file"]),
     "agg20_class_balance": lambda s, d: audit.class_balance(_flat(s, d), LABEL),
-    "agg21_readiness": lambda s, d: audit.readiness(_flat(s, d), LABEL),
-    "agg22_summary": _summary,
-    "agg29_impossible": lambda s, d: audit.impossible_values(_flat(s, d), NUMERIC),
-    "flt10_leakage": lambda s, d: audit.leakage_scan(_manifest(s, d), ["sample_id", "video_name", "expected_label", "feature_file", "source", "generator_or_camera", "notes", "added_at"]),
     "flt10_findings": lambda s, d: audit.leakage_findings(_manifest(s, d), "expected_label"),
     "flt11_unsafe_paths": lambda s, d: _manifest(s, d).filter(va.unsafe_path(F.col("video_name")) | va.unsafe_path(F.col("feature_file"))).select("entry_id"),
     "flt12_labels": lambda s, d: _manifest(s, d).select("entry_id", trimmed_lower("expected_label").alias("alias")).join(table(s, d, "label_alias"), "alias", "left").groupBy("expected_label").agg(F.count(F.lit(1)).alias("n")),
     "flt13_label_priority": lambda s, d: _manifest(s, d).join(table(s, d, "label_alias").select("alias", F.col("expected_label").alias("written")), trimmed_lower("expected_label") == F.col("alias"), "left").select("entry_id", va.label_of([F.col("written"), F.nullif(F.regexp_extract("sample_id", r"\A(real|ai_generated)-", 1), F.lit(""))]).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
-    "val02_value_rules": _value_rules,
-    "val06_ranges": _ranges,
     "jon11_references": _references,
     "jon12_known": lambda s, d: _last_batch(s, d, True),
     "jon12_new": lambda s, d: _last_batch(s, d, False),
     "jon14_availability": _found,
     "jon16_schema_differences": lambda s, d: va.schema_differences(table(s, d, "feature_schema"), "0.9.4", "0.10.0"),
-    "der01_derived": _derived,
-    "win20_plan": _plan,
+    "val11_status": lambda s, d: _statuses(s, d),
     "win21_class_limit": _limit,
     "win22_first_of_digest": lambda s, d: va.first_of_each(_manifest(s, d).select("entry_id", digest_hex("video_sha256").alias("digest")), "digest", "entry_id"),
     "win23_repeats": _repeats,
@@ -159,43 +106,19 @@ QUERIES = {
 _F = "f AS (SELECT * FROM outcome_features QUALIFY row_number() OVER (PARTITION BY record_id) = 1)"
 _DIG = "CASE WHEN regexp_full_match(regexp_replace(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '^(sha-?256[:=]\\s*|0x)', ''), '[0-9a-f]{{64}}') THEN regexp_replace(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '^(sha-?256[:=]\\s*|0x)', '') END"
 _fin = "CASE WHEN NOT isnan(CAST({0} AS DOUBLE)) AND NOT isinf(CAST({0} AS DOUBLE)) THEN CAST({0} AS DOUBLE) END"
-_long = " UNION ALL ".join(f"SELECT {LABEL} AS label, '{c}' AS column_name, {_fin.format(c)} AS value FROM f" for c in NUMERIC)
-_V = f"{_F}, v AS ({_long})"
 _miss = "('', 'null', 'none', 'nan', 'na', 'n/a')"
-_texts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN lower(trim({c})) NOT IN {_miss} THEN {c} END AS value FROM f" for c in TEXTS)
-_corr = " UNION ALL ".join(
-    f"SELECT '{min(a, b)}' AS left_column, '{max(a, b)}' AS right_column, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) + 1e-7, 4) AS r FROM (SELECT {_fin.format(a)} AS x, {_fin.format(b)} AS y FROM f) WHERE x IS NOT NULL AND y IS NOT NULL"
-    for i, a in enumerate(PAIRS) for b in PAIRS[i + 1 :]
-)
-_stat = "count(value) AS n, count(*) - count(value) AS missing, round(avg(value) + 1e-7, 4) AS mean, round(median(value) + 1e-7, 4) AS median, round(stddev_pop(value) + 1e-7, 4) AS deviation, round(min(value) + 1e-7, 4) AS low, round(max(value) + 1e-7, 4) AS high, round(quantile_cont(value, 0.25) + 1e-7, 4) AS q1, round(quantile_cont(value, 0.75) + 1e-7, 4) AS q3, count(DISTINCT value) AS distinct_values, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25) + 1e-7, 4) AS iqr"
 _low = "lower(trim(expected_label, ' ' || chr(9) || chr(10) || chr(13)))"
 _ver = lambda v: f"(SELECT export_name, data_type, minimum, maximum FROM feature_schema WHERE feature_schema_version = '{v}')"
 
+_DIFF = """WITH p(old, new) AS (VALUES ('0.8.0', '0.9.0'), ('0.9.0', '0.9.2'), ('0.9.2', '0.9.4'), ('0.9.4', '0.10.0'), ('0.10.0', '0.10.0')),
+o AS (SELECT old, new, s.* FROM p JOIN feature_schema s ON s.feature_schema_version = p.old), n AS (SELECT old, new, s.* FROM p JOIN feature_schema s ON s.feature_schema_version = p.new),
+d AS (SELECT old, new, export_name, 'removed' AS change, 'breaking' AS severity FROM o ANTI JOIN n USING (old, new, export_name)
+UNION ALL SELECT old, new, export_name, 'added', 'potentially_breaking' FROM n ANTI JOIN o USING (old, new, export_name)
+UNION ALL SELECT o.old, o.new, o.export_name, UNNEST(list_filter([CASE WHEN o.data_type IS DISTINCT FROM n.data_type THEN 'data_type changed' END, CASE WHEN o.units IS DISTINCT FROM n.units THEN 'units changed' END, CASE WHEN o.minimum IS DISTINCT FROM n.minimum THEN 'minimum changed' END, CASE WHEN o.maximum IS DISTINCT FROM n.maximum THEN 'maximum changed' END], lambda x: x IS NOT NULL)), 'breaking' FROM o JOIN n USING (old, new, export_name))"""
+
 ORACLES = {
-    "prj01_flat": f"WITH {_F} SELECT record_id, " + ", ".join(f"round({c} + 1e-7, 4) AS {c.replace('.', '_')}" if c.split(".")[1] not in ("width", "height", "frame_count", "sampled_frame_count") else f"{c} AS {c.replace('.', '_')}" for c in NUMERIC) + ", " + ", ".join(f"{c} AS {c.replace('.', '_')}" for c in TEXTS) + " FROM f",
-    "agg13_column_audit": f"""WITH {_F}, v AS ({_texts}), k AS (SELECT column_name, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT column_name, count(*) AS n, count(*) - count(value) AS missing FROM v GROUP BY 1),
-a AS (SELECT column_name, sum(n) AS present, count(*) AS d, max(n) AS dominant, first(value ORDER BY n DESC, value) AS mode, array_to_string(list_sort(list(value))[1:5], '|') AS first_values FROM k GROUP BY 1)
-SELECT column_name, w.n, missing, coalesce(d, 0) AS distinct_values, mode, first_values, round(coalesce(dominant / present, 0), 6) AS dominant_share,
-CASE WHEN coalesce(present, 0) = 0 THEN 'fully_empty' WHEN d = 1 THEN 'constant' WHEN dominant / present >= 0.95 THEN 'near_constant' WHEN missing / w.n >= 0.5 THEN 'missing_heavy' ELSE 'candidate' END AS quality FROM w LEFT JOIN a USING (column_name)""",
-    "agg14_describe": f"WITH {_V} SELECT column_name, '*' AS class, {_stat} FROM v GROUP BY 1 UNION ALL SELECT column_name, coalesce(label, '?'), {_stat} FROM v GROUP BY 1, 2",
-    "agg15_compare_classes": f"""WITH {_V}, s AS (SELECT column_name, label, count(value) AS n, avg(value) AS mean, median(value) AS med, var_pop(value) AS var, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1, 2),
-p AS (SELECT a.column_name, a.mean - b.mean AS md, a.med - b.med AS dd, sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) AS pooled, greatest(a.lo, b.lo) <= least(a.hi, b.hi) AS ranges_overlap FROM s a JOIN s b ON a.column_name = b.column_name AND a.label = 'real' AND b.label = 'ai_generated' WHERE a.n > 0 AND b.n > 0)
-SELECT column_name, round(md + 1e-7, 4) AS mean_difference, round(dd + 1e-7, 4) AS median_difference, round(pooled + 1e-7, 4) AS pooled_deviation, round(md / nullif(pooled, 0) + 1e-7, 4) AS standardised, ranges_overlap FROM p""",
-    "agg16_rank_test": f"""WITH {_V}, x AS (SELECT * FROM v WHERE value IS NOT NULL AND label IN ('real', 'ai_generated')),
-k AS (SELECT *, rank() OVER (PARTITION BY column_name ORDER BY value) + (count(*) OVER (PARTITION BY column_name, value) - 1) / 2 AS r FROM x),
-t AS (SELECT column_name, sum(r) FILTER (label = 'real') AS r1, count(*) FILTER (label = 'real') AS n1, count(*) FILTER (label <> 'real') AS n2 FROM k GROUP BY 1)
-SELECT column_name, n1, n2, round(r1 - n1 * (n1 + 1) / 2 + 1e-7, 3) AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) + 1e-7, 3) AS z FROM t""",
-    "agg18_correlations": f"WITH {_F} {_corr}",
     "agg19_duplicates": " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) - count(DISTINCT {k}) AS repeated FROM manifest WHERE lower(trim({k})) NOT IN {_miss}" for k in ("sample_id", "video_sha256", "feature_file")) + " UNION ALL SELECT '*', (SELECT count(*) FROM manifest) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (frame_hashes) FROM manifest))",
     "agg20_class_balance": f"WITH {_F}, c AS (SELECT {LABEL} AS label, count(*) AS n FROM f WHERE {LABEL} IS NOT NULL GROUP BY 1) SELECT label, n, round(n / sum(n) OVER (), 6) AS share, round(min(n) OVER () / max(n) OVER (), 6) AS balance FROM c",
-    "agg21_readiness": f"WITH {_F}, c AS (SELECT {LABEL} AS l, count(*) AS n FROM f WHERE {LABEL} IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS rows, min(n) AS smallest, count(*) AS k FROM c) SELECT CAST(rows AS BIGINT) AS rows, smallest, CASE WHEN rows < 100 OR smallest < 50 OR k < 2 THEN 'too_small' WHEN rows < 500 THEN 'exploratory' ELSE 'sufficient' END AS decision FROM t",
-    "agg22_summary": f"WITH {_F} SELECT run_id, load_no, count(*) AS n, count(*) FILTER ({LABEL} = 'real') AS real, count(*) FILTER ({LABEL} = 'ai_generated') AS generated, array_to_string(list_sort(list(DISTINCT identity.feature_schema_version) FILTER (identity.feature_schema_version IS NOT NULL)), ',') AS versions, count(*) FILTER (d3_summary.d3_status = 'completed') AS completed, count(*) FILTER (coalesce(d3_summary.d3_status, 'missing') = 'missing') AS status_missing FROM f GROUP BY 1, 2",
-    "agg29_impossible": f"WITH {_V}, b AS (SELECT column_name, count(*) FILTER (CASE WHEN regexp_matches(column_name, '(^|[^a-z0-9])ratio([^a-z0-9]|$)') THEN value < 0 OR value > 1 WHEN regexp_matches(column_name, '(^|[^a-z0-9])(duration|width|height|count)([^a-z0-9]|$)') THEN value < 0 ELSE false END) AS impossible FROM v GROUP BY 1) SELECT * FROM b WHERE impossible > 0",
-    "flt10_leakage": " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{c}' AS column_name, coalesce(bool_or(regexp_matches(lower({c}), 'real|fake|synthetic|generated|ai|authentic')), false) AS value_hit, " + (f"'{fixed}'" if fixed in ("critical", "high") else f"CASE WHEN coalesce(bool_or(regexp_matches(lower({c}), 'real|fake|synthetic|generated|ai|authentic')), false) THEN 'high' ELSE {repr(fixed) if fixed else 'NULL'} END") + " AS severity FROM manifest) WHERE severity IS NOT NULL"
-        for c, fixed in (("sample_id", None), ("video_name", "medium"), ("expected_label", "critical"), ("feature_file", "medium"), ("source", "high"), ("generator_or_camera", "high"), ("notes", None), ("added_at", None))
-    ),
     "flt10_findings": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, lower(CAST({c} AS VARCHAR)) AS value FROM manifest" for c in ("entry_id", "batch_no", "sample_id", "video_name", "video_sha256", "feature_schema_version", "application_version", "feature_file", "source", "generator_or_camera", "notes", "added_at", "frame_hashes")) + f"""),
 t(term) AS (VALUES ('ai'), ('ai_generated'), ('deepfake'), ('external'), ('fake'), ('generated'), ('kaggle'), ('manual_source'), ('personal'), ('real'), ('self_recorded')),
 n(column_name, severity) AS (VALUES ('sample_id', 'high'), ('video_name', 'high'), ('feature_file', 'high'), ('source', 'medium'), ('generator_or_camera', 'medium'), ('notes', 'medium')),
@@ -205,24 +128,14 @@ SELECT column_name, coalesce(n.severity, 'medium') AS severity, coalesce(terms,
     "flt12_labels": f"SELECT l.expected_label, count(*) AS n FROM (SELECT {_low} AS alias FROM manifest) m LEFT JOIN label_alias l USING (alias) GROUP BY 1",
     "flt13_label_priority": f"""WITH m AS (SELECT l.expected_label AS w, nullif(regexp_extract(sample_id, '^(real|ai_generated)-', 1), '') AS p FROM (SELECT sample_id, {_low} AS alias FROM manifest) m LEFT JOIN label_alias l USING (alias))
 SELECT CASE WHEN w IS NULL OR p IS NULL OR w = p THEN coalesce(w, p) END AS label, count(*) AS n FROM m GROUP BY 1""",
-    "val02_value_rules": f"""WITH {_F}, r AS (
-SELECT record_id, 'identity_missing' AS rule FROM f WHERE identity.feature_schema_version IS NULL OR identity.analysis_id IS NULL
-UNION ALL SELECT record_id, 'label_unknown' FROM f WHERE {LABEL} NOT IN ('real', 'ai_generated')
-UNION ALL SELECT record_id, 'ratio_outside' FROM f WHERE NOT {_fin.format('frame_summary.dark_frame_ratio')} BETWEEN 0 AND 1 OR NOT {_fin.format('frame_summary.white_frame_ratio')} BETWEEN 0 AND 1
-UNION ALL SELECT record_id, 'count_negative' FROM f WHERE media.frame_count < 0 OR frame_summary.sampled_frame_count < 0
-UNION ALL SELECT record_id, 'absolute_path' FROM f WHERE regexp_matches(identity.video_name, '^[A-Za-z]:[\\\\/]|^[/\\\\]')
-UNION ALL SELECT record_id, 'not_finite' FROM f WHERE isnan(frame_summary.mean_sharpness) OR isnan(media.frame_rate)) SELECT * FROM r""",
-    "val06_ranges": f"WITH {_F}, v AS (" + " UNION ALL ".join(f"SELECT record_id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM f" for c in NUMERIC) + ") SELECT record_id, column_name, value FROM v JOIN feature_schema s ON s.export_name = column_name AND s.feature_schema_version = '0.10.0' WHERE (value < minimum OR value > maximum) AND NOT isnan(value)",
     "jon11_references": f"""WITH {_F}, k AS (SELECT sample_id, min({_DIG.format('video_sha256')}) AS digest FROM manifest WHERE sample_id IS NOT NULL GROUP BY 1),
 x AS (SELECT f.sample_id, CASE WHEN k.sample_id IS NULL THEN 'missing' WHEN {_DIG.format('f.identity.video_sha256')} <> k.digest THEN 'digest_differs' END AS rule FROM f LEFT JOIN k ON k.sample_id = f.sample_id)
 SELECT sample_id, rule, count(*) AS n FROM x WHERE rule IS NOT NULL GROUP BY 1, 2""",
     "jon12_known": f"WITH m AS (SELECT entry_id, batch_no, {_DIG.format('video_sha256')} AS g FROM manifest) SELECT entry_id FROM m WHERE batch_no = (SELECT max(batch_no) FROM m) AND g IN (SELECT g FROM m WHERE batch_no < (SELECT max(batch_no) FROM m) AND g IS NOT NULL)",
     "jon12_new": f"WITH m AS (SELECT entry_id, batch_no, {_DIG.format('video_sha256')} AS g FROM manifest) SELECT entry_id FROM m WHERE batch_no = (SELECT max(batch_no) FROM m) AND (g IS NULL OR g NOT IN (SELECT g FROM m WHERE batch_no < (SELECT max(batch_no) FROM m) AND g IS NOT NULL))",
     "jon14_availability": "WITH p AS (SELECT lower(video_name) AS k, count(DISTINCT feature_file) AS n FROM manifest GROUP BY 1) SELECT CASE WHEN coalesce(trim(video_name), '') = '' THEN 'invalid' WHEN p.n IS NULL THEN 'missing' WHEN p.n > 1 THEN 'ambiguous' ELSE 'found' END AS status, count(*) AS n FROM manifest LEFT JOIN p ON p.k = lower(video_name) GROUP BY 1",
-    "jon16_schema_differences": f"""WITH j AS (SELECT coalesce(o.export_name, n.export_name) AS export_name, CASE WHEN o.data_type IS NULL THEN 'added' WHEN n.data_type IS NULL THEN 'removed' WHEN o.data_type <> n.data_type THEN 'retyped' WHEN o.minimum IS DISTINCT FROM n.minimum OR o.maximum IS DISTINCT FROM n.maximum THEN 'range_changed' END AS change
-FROM {_ver('0.9.4')} o FULL JOIN {_ver('0.10.0')} n ON o.export_name = n.export_name) SELECT export_name, change, CASE WHEN change IN ('removed', 'retyped') THEN 'incompatible' WHEN change = 'added' THEN 'requires_regeneration' ELSE 'compatible_with_warnings' END AS verdict FROM j WHERE change IS NOT NULL""",
-    "der01_derived": f"""WITH {_F} SELECT record_id, frame_summary.dark_frame_ratio + frame_summary.white_frame_ratio AS exposure, round({_fin.format('frame_summary.mean_sharpness')} / nullif({_fin.format('frame_summary.mean_contrast')}, 0) + 1e-7, 4) AS sharpness_to_contrast,
-CAST(audio_summary.audio_window_count IS NOT NULL AS INT) AS audio_available, (CAST(frame_summary.sampled_frame_count IS NOT NULL AS INT) + CAST(audio_summary.audio_window_count IS NOT NULL AS INT) + CAST(coalesce(d3_summary.d3_status = 'completed', false) AS INT)) / 3 AS coverage FROM f""",
+    "jon16_schema_differences": f"{_DIFF} SELECT export_name, change, severity FROM d WHERE old = '0.9.4' AND new = '0.10.0'",
+    "val11_status": f"{_DIFF} SELECT p.old, p.new, count(*) FILTER (severity = 'breaking') AS breaking, count(*) FILTER (severity = 'potentially_breaking') AS potentially_breaking, count(severity) AS differences, CASE WHEN bool_or(severity = 'breaking') THEN 'incompatible' WHEN bool_or(severity = 'potentially_breaking') THEN 'requires_regeneration' ELSE 'compatible' END AS status FROM p LEFT JOIN d ON d.old = p.old AND d.new = p.new GROUP BY 1, 2",
     "win21_class_limit": f"SELECT entry_id, {_low} AS label FROM manifest WHERE expected_label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_low} ORDER BY entry_id) <= 25",
     "win22_first_of_digest": f"SELECT {_DIG.format('video_sha256')} AS digest, min(entry_id) AS entry_id FROM manifest WHERE {_DIG.format('video_sha256')} IS NOT NULL GROUP BY 1",
     "win23_repeats": f"WITH m AS (SELECT entry_id, row_number() OVER (PARTITION BY {_DIG.format('video_sha256')} ORDER BY entry_id) AS k FROM manifest WHERE {_DIG.format('video_sha256')} IS NOT NULL) SELECT entry_id, format('-dup{{:02d}}', k) AS suffix FROM m WHERE k > 1",
@@ -232,5 +145,5 @@ CAST(audio_summary.audio_window_count IS NOT NULL AS INT) AS audio_available, (C
     "set03_differences": f"SELECT export_name FROM {_ver('0.8.0')} EXCEPT ALL SELECT export_name FROM {_ver('0.10.0')}",
     "set04_common": f"SELECT export_name FROM {_ver('0.8.0')} INTERSECT SELECT export_name FROM {_ver('0.10.0')}",
     "cor03_report_fields": "SELECT coalesce(json_extract_string(body, '$.schema_version'), '?') AS version, count(*) AS n FROM report_raw WHERE body IS NOT NULL GROUP BY 1",
-    "str06_sizes": "WITH x AS (SELECT o_orderkey, CAST(round(o_totalprice * o_orderkey, 6) AS BIGINT) AS b, CAST(trunc(o_totalprice * o_orderkey) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1024 ** 4 THEN format('{:.2f} TB', n / 1024 ** 4) WHEN n >= 1024 ** 3 THEN format('{:.2f} GB', n / 1024 ** 3) WHEN n >= 1024 ** 2 THEN format('{:.2f} MB', n / 1024 ** 2) WHEN n >= 1024 THEN format('{:.2f} KB', n / 1024) ELSE format('{} B', n) END AS size FROM x",
+    "str06_sizes": "WITH x AS (SELECT o_orderkey, CAST(trunc(o_totalprice * o_orderkey) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1024 ** 4 THEN format('{:.2f} TiB', n / 1024 ** 4) WHEN n >= 1024 ** 3 THEN format('{:.2f} GiB', n / 1024 ** 3) WHEN n >= 1024 ** 2 THEN format('{:.2f} MiB', n / 1024 ** 2) WHEN n >= 1024 THEN format('{:.2f} KiB', n / 1024) ELSE format('{} B', n) END AS size FROM x",
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reelgrain.functions import scalars as sc
 from reelgrain.operators import evidence as ev
-from reelgrain.operators import rejects
 from reelgrain.operators import sequence as sq
 from reelgrain.operators import validation as va
 from reelgrain.plans.sequences import _ANCHOR, _S, _SCENES, CUT, HOUR, _transitions
@@ -34,7 +33,7 @@ def _rules(s: SparkSession, d: str) -> DataFrame:
 
 def _frame_summary(s: SparkSession, d: str) -> DataFrame:
     b = F.nanvl(F.col("frame_summary.mean_brightness"), F.lit(None).cast("double"))
-    return _features(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(b) + 1e-7, 3).alias("mean"), F.min(b).alias("low"), F.max(b).alias("high"), F.count_if(b < 80).alias("dim"))
+    return _features(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), sc.half_even(F.avg(b), 8).alias("mean"), F.min(b).alias("low"), F.max(b).alias("high"), F.count_if(b < 80).alias("dim"))
 
 
 def _first_fit(s: SparkSession, d: str) -> DataFrame:
@@ -59,11 +58,6 @@ def _strings(s: SparkSession, d: str) -> DataFrame:
     return m.select("batch_no", F.size(ev.distinct_strings(F.col("g"))).alias("n"))
 
 
-def _source_audit(s: SparkSession, d: str) -> DataFrame:
-    rows = rejects.loaded(table(s, d, "source_metadata_raw"), table(s, d, "label_alias"))
-    return rows.groupBy("expected_label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("method").alias("methods"), F.count_if(F.col("codec").isNull()).alias("no_codec"), F.count_distinct("path").alias("paths"))
-
-
 QUERIES = {
     "evd01_candidates": lambda s, d: _candidates(s, d).select("entity", "id", "domain", "role", "candidate_id"),
     "evd02_events": lambda s, d: ev.events(_candidates(s, d), 1800.0, 4 * HOUR),
@@ -78,7 +72,6 @@ QUERIES = {
     "jon13_unique": lambda s, d: ev.unique_match(table(s, d, "outcome_features").dropDuplicates(["record_id"]).select("record_id", F.col("identity.video_name").alias("video_name")), table(s, d, "manifest").select("video_name", "sample_id"), "video_name", ["sample_id"]).select("record_id", "matched_sample_id"),
     "jon18_set_differences": lambda s, d: ev.set_differences(table(s, d, "outcome_features").select("sample_id").distinct(), table(s, d, "feature_export").select(F.get_json_object("payload", "$.sample_id").alias("sample_id")).distinct()).groupBy("side").agg(F.count(F.lit(1)).alias("n")),
     "set05_distinct_strings": _strings,
-    "agg23_source_audit": _source_audit,
     "num04_frame_rates": lambda s, d: table(s, d, "part").select("p_partkey", F.round(sc.frame_rate(F.concat(F.col("p_size") * 1000, F.lit("/"), F.col("p_partkey") % 3)), 3).alias("rate")),
     "num06_rotation": lambda s, d: table(s, d, "customer").select("c_custkey", sc.rotation(F.col("c_custkey") * 90 - 5000).alias("rotation")),
     "str08_phrases": lambda s, d: table(s, d, "documents").filter(F.lower("text").rlike(r"not proof|no demuestra|keine bearbeitung")).select("doc_id"),
@@ -89,6 +82,8 @@ QUERIES = {
 
 _FD = "f AS (SELECT * FROM outcome_features QUALIFY row_number() OVER (PARTITION BY record_id) = 1)"
 _C = "c AS (SELECT entity, tie AS id, event_type AS domain, CASE WHEN event_type = 'signup' THEN 'supporting' ELSE 'anchor' END AS role, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS o, seconds FROM s WHERE event_type IN ('error', 'purchase', 'signup'))"
+# half-even to milliseconds, counted in tenths of microseconds
+_even = lambda x: f"(CAST(round(({x}) * 1e7) AS BIGINT) // 10000 + CASE WHEN CAST(round(({x}) * 1e7) AS BIGINT) % 10000 > 5000 OR (CAST(round(({x}) * 1e7) AS BIGINT) % 10000 = 5000 AND CAST(round(({x}) * 1e7) AS BIGINT) // 10000 % 2 = 1) THEN 1 ELSE 0 END) / 1000"
 _len = lambda *c: "strlen(concat_ws('|', " + ", ".join(c) + "))"
 
 ORACLES = {
@@ -102,10 +97,10 @@ SELECT *, CASE WHEN groups > 1 THEN 'several_groups' WHEN candidates > 1 THEN 'o
     "flt07_rule_rows": f"""WITH {_FD}, r AS (SELECT run_id, record_id, 0 AS k, 'dark' AS rule FROM f WHERE frame_summary.dark_frame_ratio >= 0.45 UNION ALL SELECT run_id, record_id, 1, 'white' FROM f WHERE frame_summary.white_frame_ratio >= 0.45
 UNION ALL SELECT run_id, record_id, 2, 'soft' FROM f WHERE frame_summary.mean_sharpness < 50 UNION ALL SELECT run_id, record_id, 3, 'short' FROM f WHERE media.duration_seconds < 1)
 SELECT run_id, record_id, rule, format('obs-{{:05d}}', row_number() OVER (PARTITION BY run_id ORDER BY record_id, k)) AS observation_id FROM r""",
-    "agg01_frame_summary": f"WITH {_FD}, b AS (SELECT run_id, CASE WHEN NOT isnan(frame_summary.mean_brightness) THEN frame_summary.mean_brightness END AS b FROM f) SELECT run_id, count(*) AS n, round(avg(b) + 1e-7, 3) AS mean, min(b) AS low, max(b) AS high, count(*) FILTER (b < 80) AS dim FROM b GROUP BY 1",
+    "agg01_frame_summary": f"WITH {_FD}, b AS (SELECT run_id, CASE WHEN NOT isnan(frame_summary.mean_brightness) THEN frame_summary.mean_brightness END AS b FROM f) SELECT run_id, count(*) AS n, round_even(avg(b), 8) AS mean, min(b) AS low, max(b) AS high, count(*) FILTER (b < 80) AS dim FROM b GROUP BY 1",
     "win17_clip": f"WITH {_FD} SELECT record_id, CASE WHEN d <= 3 THEN 0.0 ELSE floor((d - 3) * 0.6394267984578837) END AS start FROM (SELECT record_id, media.duration_seconds AS d FROM f) WHERE d IS NOT NULL",
     "srt08_scene_frames": f"""WITH {_S}, {_SCENES}, x AS (SELECT entity, scene_index, start_seconds AS a, end_seconds AS b FROM sc)
-SELECT DISTINCT entity, scene_index, UNNEST(CASE WHEN b - a < 3600 THEN [round((a + b) / 2 + 1e-7, 3)] ELSE [round(a, 3), round((a + b) / 2 + 1e-7, 3), round(b, 3)] END) AS seconds FROM x""",
+SELECT DISTINCT entity, scene_index, UNNEST(CASE WHEN b - a < 3600 THEN [{_even('(a + b) / 2')}] ELSE [{_even('a')}, {_even('(a + b) / 2')}, {_even('b')}] END) AS seconds FROM x""",
     "srt09_ladder": f"""WITH b AS (SELECT entry_id, {_len('sample_id', 'video_name', 'video_sha256', 'feature_file', 'source', 'notes')} AS a, {_len('sample_id', 'video_name', 'video_sha256', 'feature_file')} AS b, {_len('sample_id')} AS c FROM manifest)
 SELECT entry_id, CASE WHEN a <= 180 THEN 'full' WHEN b <= 180 THEN 'without_notes' ELSE 'concise' END AS name, CASE WHEN a <= 180 THEN a WHEN b <= 180 THEN b ELSE c END AS bytes, CASE WHEN a <= 180 THEN a WHEN b <= 180 THEN b ELSE c END <= 200 AS fits FROM b""",
     "scn19_sidecar": "SELECT lower(video_name) AS name, max(entry_id) AS entry_id, arg_max_null(expected_label, entry_id) AS expected_label FROM manifest WHERE video_name IS NOT NULL GROUP BY 1",

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from reelgrain.operators import drift, nested, profile, rejects
 from reelgrain.session import table
 
 QUERIES = {
     "p1_found": lambda s, d: nested.objects(table(s, d, "report_raw")),
-    "p1_findings": lambda s, d: nested.findings_table(table(s, d, "report_raw")),
+    "p1_transitions": lambda s, d: nested.transitions_table(table(s, d, "report_raw")),
+    "p1_events": lambda s, d: nested.events_table(table(s, d, "report_raw")).withColumn("evidence_domains", F.array_join("evidence_domains", ",")),
+    "p1_findings": lambda s, d: nested.findings_table(table(s, d, "report_raw")).withColumns({"metrics": F.to_json("metrics"), "source_observation_ids": F.array_join("source_observation_ids", ",")}),
+    "p1_artifacts": lambda s, d: nested.artifacts_table(table(s, d, "report_raw")),
     "p2_found": lambda s, d: profile.load_findings(table(s, d, "outcome_features"), table(s, d, "dataset_summary"), table(s, d, "feature_schema")),
     "p2_profile": lambda s, d: profile.column_profile(table(s, d, "outcome_features"), table(s, d, "feature_schema")),
     "p3_found": lambda s, d: rejects.rejected(table(s, d, "source_metadata_raw"), table(s, d, "label_alias")),
     "p3_loaded": lambda s, d: rejects.loaded(table(s, d, "source_metadata_raw"), table(s, d, "label_alias")),
     "p5_found": lambda s, d: drift.changes(table(s, d, "feature_export"), table(s, d, "feature_evolution")),
+    "p5_uncast": lambda s, d: drift.uncast(drift.unified(table(s, d, "feature_export"), table(s, d, "feature_evolution"), table(s, d, "feature_schema"))),
     "p5_unified": lambda s, d: drift.unified(table(s, d, "feature_export"), table(s, d, "feature_evolution"), table(s, d, "feature_schema")),
 }
 

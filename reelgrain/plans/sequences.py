@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrain.functions import scalars as sc
 from reelgrain.operators import intervals as iv
 from reelgrain.operators import sequence as sq
 from reelgrain.session import table
@@ -22,8 +23,8 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _r4(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in columns})
+def _r8(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: sc.half_even(F.col(c), 8) for c in columns})
 
 
 CUT, STILL, HOUR = 150.0, 40.0, 3600.0
@@ -77,7 +78,7 @@ QUERIES = {
     "jon01_pairs": lambda s, d: _r(_transitions(s, d).drop("event_type"), "difference"),
     "flt02_classified": lambda s, d: _classified(s, d).select("entity", "to_index", "scene", "still", F.array_join("triggered_rules", ",").alias("rules")),
     "flt05_motion_class": _motion_class,
-    "win01_scenes": lambda s, d: _r4(sq.scenes(_transitions(s, d), F.col("difference") >= CUT), "mean_difference", "median_difference"),
+    "win01_scenes": lambda s, d: _r8(sq.scenes(_transitions(s, d), F.col("difference") >= CUT), "mean_difference", "median_difference"),
     "win02_still_runs": lambda s, d: _r(sq.islands(_transitions(s, d), F.col("difference") <= STILL, HOUR), "max_difference", "mean_difference"),
     "win03_quiet_runs": _silence,
     "win04_regional_runs": lambda s, d: _r(_regional(s, d), "max_difference", "mean_difference"),
@@ -141,7 +142,7 @@ SELECT entity, from_index, combined, array_to_string(reasons, ',') AS reasons, r
 _M = {"difference": "difference", "distance": "distance", "elapsed": "round(end_seconds - start_seconds, 6)", "after": "after"}
 _SCENES = f"""
 b AS (SELECT *, difference >= {CUT} AS b, coalesce(sum(CAST(difference >= {CUT} AS INT)) OVER (PARTITION BY entity ORDER BY from_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS scene_index FROM t),
-sc AS (SELECT entity, scene_index, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, count(*) FILTER (NOT b) + 1 AS sample_count, round(avg(difference) FILTER (NOT b) + 1e-7, 4) AS mean_difference, round(median(difference) FILTER (NOT b) + 1e-7, 4) AS median_difference, max(difference) FILTER (NOT b) AS max_difference FROM b GROUP BY 1, 2
+sc AS (SELECT entity, scene_index, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, count(*) FILTER (NOT b) + 1 AS sample_count, round_even(avg(difference) FILTER (NOT b), 8) AS mean_difference, round_even(median(difference) FILTER (NOT b), 8) AS median_difference, max(difference) FILTER (NOT b) AS max_difference FROM b GROUP BY 1, 2
  UNION ALL SELECT entity, scene_index + 1, end_seconds, end_seconds, 1, NULL, NULL, NULL FROM b WHERE b QUALIFY row_number() OVER (PARTITION BY entity ORDER BY from_index DESC) = 1 AND end_seconds = (SELECT max(end_seconds) FROM t WHERE t.entity = b.entity))"""
 
 ORACLES = {

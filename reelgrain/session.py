@@ -81,6 +81,14 @@ def written(df: DataFrame, label: str = "step", partition_by: str | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_rows(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a metadata table in the driver; more than `most` are an error and never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a metadata table has more than {most} rows")
+    return rows
+
+
 def data_files(spark: SparkSession, folder: str) -> list[str]:
     """The full addresses of a folder's parquet files."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
