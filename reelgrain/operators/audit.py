@@ -174,24 +174,6 @@ def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0) -> D
     return out if least <= 0 else out.filter(F.abs("r") >= least).orderBy(F.desc(F.abs("r")), "left_column", "right_column")
 
 
-def leakage_findings(df: DataFrame, target: str) -> DataFrame:
-    """Every column but the target whose name or values can expose the label, with the greatest severity and the terms held."""
-
-    def named(name: str) -> str | None:
-        low = name.lower()
-        if "label" in low:
-            return "critical"
-        if low == "sample_id" or any(w in low for w in ("video_name", "file", "path")):
-            return "high"
-        return "medium" if low in ("source", "notes") or "generator" in low else None
-
-    columns = [c for c in df.columns if c != target]
-    held = lambda c, t: F.coalesce(F.bool_or(F.contains(F.lower(present_text(F.col(f"`{c}`").cast("string"))), F.lit(t))), F.lit(False))
-    found = df.agg(*(F.array_compact(F.array(*(F.when(held(c, t), t) for t in sorted(SOURCE_TERMS)))).alias(f"t{i}") for i, c in enumerate(columns)))
-    rows = [F.struct(F.lit(c).alias("column_name"), F.coalesce(F.lit(named(c)), F.when(F.size(f"t{i}") > 0, "medium")).alias("severity"), F.array_join(f"t{i}", "|").alias("terms")) for i, c in enumerate(columns)]
-    return found.select(F.inline(F.array(*rows))).filter("severity is not null")
-
-
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For each key, rows beyond the first of their value; missing values do not repeat. `*` is the whole row."""
     parts = []

@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from reelgrain.functions import scalars as sc
 from reelgrain.functions.text import present_lower
-from reelgrain.operators.audit import leakage_findings
+from reelgrain.operators.audit import SOURCE_TERMS
+from reelgrain.session import written
 
 CLASSES = ("real", "ai_generated")
 #: Tokens of column names whose values may not be negative, or not leave [0, 1]. Names are cut at anything but a-z and 0-9.
@@ -26,22 +27,27 @@ NOT_NEGATIVE, SHARES = ("duration", "width", "height", "count", "sample"), ("rat
 
 
 def cells(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """label, column_name, number, text, state of every cell; state is missing, numeric, invalid or other."""
+    """label, column_name, number, text, state of every cell; state is missing, numeric, invalid or other. Cells are unpivoted first and judged after it, by one set of expressions."""
     types, parts = dict(df.dtypes), []
     for c in columns:
-        x = F.col(f"`{c}`")
-        if types[c] in ("double", "float"):
-            number, text = x.cast("double"), F.lit(None).cast("string")
-            state = F.when(x.isNull() | F.isnan(x), "missing").when(F.abs(x) == float("inf"), "invalid").otherwise("numeric")
-        elif types[c] in ("int", "bigint", "smallint", "tinyint") or types[c].startswith("decimal"):
-            number, text, state = x.cast("double"), F.lit(None).cast("string"), F.when(x.isNull(), "missing").otherwise("numeric")
-        else:
-            text = x.cast("string") if types[c] != "boolean" else F.initcap(x.cast("string"))
-            kind = sc.number_kind(text)
-            state = F.when(present_lower(text).isNull(), "missing").when(kind == "numeric", "numeric").when(kind == "invalid_numeric", "invalid").otherwise("other")
-            number = F.when(state == "numeric", F.expr(f"try_cast(trim(`{c}`) as double)") if types[c] == "string" else F.lit(None).cast("double"))
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.when(state != "missing", number).alias("number"), F.when(state != "missing", text).alias("text"), state.alias("state")))
-    return df.select(F.col(f"`{target}`").alias("label"), F.inline(F.array(*parts)))
+        x, none = F.col(f"`{c}`"), F.lit(None)
+        number = types[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or types[c].startswith("decimal")
+        text = F.initcap(x.cast("string")) if types[c] == "boolean" else x.cast("string")
+        parts.append(F.struct(F.lit(c).alias("column_name"), (x if number else none).cast("double").alias("number"), (none.cast("string") if number else text).alias("text")))
+    long = df.select(F.col(f"`{target}`").alias("label"), F.inline(F.array(*parts)))
+    n, kind = F.col("number"), sc.number_kind(F.col("text"))
+    of_number = F.when(n.isNull() | F.isnan(n), None).when(F.abs(n) == float("inf"), "invalid").otherwise("numeric")
+    of_text = F.when(present_lower(F.col("text")).isNull(), None).when(kind == "numeric", "numeric").when(kind == "invalid_numeric", "invalid").otherwise("other")
+    judged = long.withColumn("state", F.coalesce(of_number, of_text, F.lit("missing")))
+    there = F.col("state") != "missing"
+    value = F.when(F.col("text").isNull(), n).when(F.col("state") == "numeric", F.btrim("text").try_cast("double"))
+    return judged.select("label", "column_name", F.when(there, value).alias("number"), F.when(there, F.col("text")).alias("text"), "state")
+
+
+def cell_counts(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """Cells counted by (column, value), over all rows and in each class: what everything below is drawn from, written once."""
+    counts = cells(df, columns, target).groupBy("column_name", "state", "number", "text").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("label") == c).alias(f"n_{c}") for c in CLASSES))
+    return written(counts, "cells")
 
 
 def impossible(column: Column, number: Column) -> Column:
@@ -71,11 +77,8 @@ def category(name: Column, kind: Column) -> Column:
     )
 
 
-def profiles(df: DataFrame, columns: Sequence[str], target: str, missing_share: float = 0.40, near_constant: float = 0.95) -> DataFrame:
-    """A row per column: counts, missing by class, type, mode, first values, flags, category, status and eligibility."""
-    counts = cells(df, columns, target).groupBy("column_name", "state", "number", "text").agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("label") == c).alias(f"n_{c}") for c in CLASSES),
-    )
+def profiles(counts: DataFrame, missing_share: float = 0.40, near_constant: float = 0.95) -> DataFrame:
+    """A row per column of cell counts: missing by class, type, mode, flags, category, status and eligibility."""
     is_in = lambda s: F.col("state") == s
     total = lambda c, what="n": F.coalesce(F.sum(F.when(c, F.col(what))), F.lit(0))
     value = F.struct(F.coalesce("number", F.lit(float("-inf"))).alias("number"), F.col("text"))
@@ -123,6 +126,19 @@ def with_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("eligible", F.col("status") == "candidate").withColumn("reason", F.when(~F.col("eligible"), reason))
 
 
+def leakage_findings(counts: DataFrame, target: str) -> DataFrame:
+    """Of cell counts: every column but the target whose name or values can expose the label, with the greatest severity and the terms held; the gravest first."""
+    low, has = F.lower("column_name"), lambda *words: reduce(Column.__or__, (F.contains(F.lower("column_name"), F.lit(w)) for w in words))
+    named = F.when(has("label"), "critical").when((low == "sample_id") | has("video_name", "file", "path"), "high").when(low.isin("source", "notes") | has("generator"), "medium")
+    text = F.lower("text")
+    held = [F.bool_or(F.contains(text, F.lit(t))).alias(f"t{i}") for i, t in enumerate(sorted(SOURCE_TERMS))]
+    terms = F.array_compact(F.array(*(F.when(F.col(f"t{i}"), t) for i, t in enumerate(sorted(SOURCE_TERMS)))))
+    found = counts.filter(F.col("column_name") != target).groupBy("column_name").agg(*held).select("column_name", named.alias("name_severity"), terms.alias("terms"))
+    severity = F.coalesce("name_severity", F.when(F.size("terms") > 0, "medium"))
+    out = found.select("column_name", severity.alias("severity"), F.array_join("terms", "|").alias("terms")).filter("severity is not null")
+    return out.orderBy(F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).otherwise(2), "column_name")
+
+
 def with_leakage(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """Profiles with the category of columns that can expose the label set to possible_leakage; `findings` has a row per such column."""
     found = findings.select("column_name", F.lit(True).alias("_leak"))
@@ -134,7 +150,8 @@ def with_leakage(rows: DataFrame, findings: DataFrame) -> DataFrame:
 
 def full_audit(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Profiles of the columns after the scan for leakage."""
-    return with_leakage(profiles(df, columns, target), leakage_findings(df.select(*(f"`{c}`" for c in columns)), target))
+    counts = cell_counts(df, columns, target)
+    return with_leakage(profiles(counts), leakage_findings(counts, target))
 
 
 def missing_table(rows: DataFrame) -> DataFrame:

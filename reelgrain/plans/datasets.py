@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from reelgrain.functions import scalars as sc
 from reelgrain.functions.text import digest_hex, present_lower, trimmed_lower
-from reelgrain.operators import audit, sequence
+from reelgrain.operators import audit, columns, sequence
 from reelgrain.operators import validation as va
 from reelgrain.operators.profile import NUMERIC
 from reelgrain.session import table
@@ -80,7 +80,7 @@ def _statuses(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "agg19_duplicates": lambda s, d: audit.duplicate_counts(_manifest(s, d).drop("frame_hashes"), ["sample_id", "video_sha256", "feature_file"]),
     "agg20_class_balance": lambda s, d: audit.class_balance(_flat(s, d), LABEL),
-    "flt10_findings": lambda s, d: audit.leakage_findings(_manifest(s, d), "expected_label"),
+    "flt10_findings": lambda s, d: columns.leakage_findings(columns.cell_counts(_manifest(s, d), _manifest(s, d).columns, "expected_label"), "expected_label"),
     "flt11_unsafe_paths": lambda s, d: _manifest(s, d).filter(va.unsafe_path(F.col("video_name")) | va.unsafe_path(F.col("feature_file"))).select("entry_id"),
     "flt12_labels": lambda s, d: _manifest(s, d).select("entry_id", trimmed_lower("expected_label").alias("alias")).join(table(s, d, "label_alias"), "alias", "left").groupBy("expected_label").agg(F.count(F.lit(1)).alias("n")),
     "flt13_label_priority": lambda s, d: _manifest(s, d).join(table(s, d, "label_alias").select("alias", F.col("expected_label").alias("written")), trimmed_lower("expected_label") == F.col("alias"), "left").select("entry_id", va.label_of([F.col("written"), F.nullif(F.regexp_extract("sample_id", r"\A(real|ai_generated)-", 1), F.lit(""))]).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
