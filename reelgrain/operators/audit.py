@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from reelgrain.functions.scalars import number
 from reelgrain.functions.text import present_lower
 from reelgrain.session import written
 
@@ -37,8 +38,10 @@ def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], label: str, kind: str = "string") -> DataFrame:
-    """label, column_name, value of the named columns; values that mean missing are null."""
-    own = lambda c: present_text(F.col(f"`{c}`").cast("string")) if kind == "string" else finite(F.col(f"`{c}`").cast("double"))
+    """label, column_name, value of the named columns; values that mean missing, and as doubles those that are no numbers, are null."""
+    types = dict(df.dtypes)
+    as_number = lambda c: number(F.col(f"`{c}`")) if types[c] == "string" else finite(F.col(f"`{c}`").cast("double"))
+    own = lambda c: present_text(F.col(f"`{c}`").cast("string")) if kind == "string" else as_number(c)
     return df.select(F.col(f"`{label}`").alias("label"), F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), own(c).alias("value")) for c in columns))))
 
 

@@ -261,5 +261,4 @@ CASE WHEN n1 = 0 OR n2 = 0 THEN 'unavailable' WHEN apart THEN 'no_observed_range
     "agg16_rank_test": f"""WITH {_F}, {_VL}, k AS (SELECT *, rank() OVER (PARTITION BY column_name ORDER BY value) + (count(*) OVER (PARTITION BY column_name, value) - 1) / 2 AS r FROM v WHERE value IS NOT NULL AND label IN ('real', 'ai_generated')),
 t AS (SELECT column_name, sum(r) FILTER (label = 'real') AS r1, count(*) FILTER (label = 'real') AS n1, count(*) FILTER (label <> 'real') AS n2 FROM k GROUP BY 1)
 SELECT column_name, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, round_even((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 8) AS z FROM t WHERE n1 >= 2 AND n2 >= 2""",
-    "val07_plan_rules": "SELECT CAST(0 AS INT) AS line_no, '' AS rule WHERE false",
 }
