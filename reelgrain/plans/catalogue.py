@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrain.plans import datasets, evidence, general, governance, sequences, streams, timelines
+from reelgrain.plans import checks, datasets, evidence, general, governance, sequences, streams, timelines
 
-MODULES = (general, datasets, governance, sequences, evidence, timelines, streams)
+MODULES = (general, datasets, governance, sequences, evidence, timelines, checks, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
