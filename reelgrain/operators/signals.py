@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 FRAME = T.StructType([T.StructField(n, t) for n, t in (("brightness_mean", T.DoubleType()), ("contrast_stddev", T.DoubleType()), ("laplacian_variance", T.DoubleType()), ("dark_pixel_ratio", T.DoubleType()), ("bright_pixel_ratio", T.DoubleType()), ("perceptual_hash", T.StringType()))])
 
@@ -48,6 +50,82 @@ def histogram_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+PAIR = T.StructType([T.StructField("mean_absolute_difference", T.DoubleType()), T.StructField("histogram_correlation", T.DoubleType()), T.StructField("brightness_difference", T.DoubleType()), T.StructField("hash_distance", T.IntegerType())])
+
+
+@F.pandas_udf(PAIR)
+def pair_metrics(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    """Of two gray frames of one size: mean difference as a share of 255, correlation of 64-bin histograms, difference of brightness, differing bits of the perceptual hashes."""
+    rows = []
+    for x, y, w, h in zip(a, b, width, height):
+        p, q = (np.frombuffer(z, np.uint8).reshape(int(h), int(w)) for z in (x, y))
+        rows.append((float(np.abs(p.astype(float) - q).mean() / 255), _correlation(p, q, 64), float(abs(p.mean() - q.mean())), (int(_perceptual_hash(p), 16) ^ int(_perceptual_hash(q), 16)).bit_count()))
+    return pd.DataFrame(rows, columns=PAIR.names)
+
+
+def _correlation(p: np.ndarray, q: np.ndarray, bins: int) -> float:
+    a, b = (np.histogram(z, bins, (0, 256))[0].astype(float) for z in (p, q))
+    a, b = a - a.mean(), b - b.mean()
+    d = np.sqrt((a * a).sum() * (b * b).sum())
+    return float((a * b).sum() / d) if d else 1.0
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("red", "green", "blue")]))
+def mean_colour(raw: pd.Series) -> pd.DataFrame:
+    """Mean of each channel of frames of interleaved red, green and blue bytes."""
+    means = [np.frombuffer(r, np.uint8).reshape(-1, 3).mean(axis=0) if r else (None,) * 3 for r in raw]
+    return pd.DataFrame(means, columns=["red", "green", "blue"])
+
+
+REGION = "entity bigint, from_index int, to_index int, region_id string, brightness_difference double, edge_instability double, texture_distance double, variance_difference double, gradient_difference double, detail_residual double"
+
+
+def _region(p: np.ndarray, q: np.ndarray) -> tuple:
+    p, q = p.astype(float), q.astype(float)
+
+    def gradient(z: np.ndarray) -> np.ndarray:
+        gy, gx = np.gradient(z) if min(z.shape) > 1 else (np.zeros_like(z), np.zeros_like(z))
+        return np.hypot(gx, gy)
+
+    def detail(z: np.ndarray) -> np.ndarray:
+        e = np.pad(z, 1, mode="edge")
+        return e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:] - 4 * z
+
+    g, h = gradient(p), gradient(q)
+    edges = [z > max(16.0, z.mean() + z.std()) for z in (g, h)]
+    union = (edges[0] | edges[1]).sum()
+    overlap = (edges[0] & edges[1]).sum() / union if union else 1.0
+    return abs(p.mean() - q.mean()) / 255, float(1 - overlap), (1 - _correlation(p, q, 16)) / 2, abs(p.var() - q.var()) / 255**2, abs(g.mean() - h.mean()) / 255, float(np.abs(detail(p) - detail(q)).mean() / (4 * 255))
+
+
+def region_metrics(pairs: DataFrame, rows: int = 4, columns: int = 4) -> DataFrame:
+    """A row per region of each pair (entity, from_index, to_index, before, after, width, height) of gray frames: shares in [0, 1]. Edges are strong gradients; their instability is one less the overlap over the union."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for e, i, j, a, b, w, h in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                p, q = (np.frombuffer(z, np.uint8).reshape(h, w) for z in (a, b))
+                for r in range(rows):
+                    for c in range(columns):
+                        part = np.s_[r * h // rows : (r + 1) * h // rows, c * w // columns : (c + 1) * w // columns]
+                        if p[part].size:
+                            out.append((e, i, j, f"region-r{r:02d}-c{c:02d}", *map(float, _region(p[part], q[part]))))
+            names = [x.split()[0] for x in REGION.split(", ")]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, types)], names=names)
+
+    named = ["entity", "from_index", "to_index", "before", "after", "width", "height"]
+    return pairs.select(F.col("entity").cast("bigint"), *(F.col(c).cast("int") for c in named[1:3]), *named[3:]).mapInArrow(run, REGION)
+
+
+def classified_regions(regions: DataFrame, edge: float = 0.35, texture: float = 0.30, detail: float = 0.16, brightness: float = 0.12) -> DataFrame:
+    """Regions with whether they vary and by which rules, in order of rule."""
+    rules = {"edge_instability": F.col("edge_instability") >= edge, "texture_distance": F.col("texture_distance") >= texture, "detail_residual": F.col("detail_residual") >= detail, "brightness_difference": F.col("brightness_difference") >= brightness}
+    fired = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items())))
+    return regions.withColumn("triggered_rules", fired).withColumn("varies", F.size("triggered_rules") > 0)
+
+
 @F.pandas_udf(T.DoubleType())
 def spectral_centroid(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Magnitude-weighted mean frequency; null for silence."""
@@ -60,11 +138,14 @@ def spectral_centroid(samples: pd.Series, rate: pd.Series) -> pd.Series:
 
 
 def audio_metrics(samples: DataFrame, key: str = "path", silence: float = 0.01, clip: float = 0.999) -> DataFrame:
-    """Global metrics of (key, channel, sample_index, amplitude): over all channels, and silence over their mean."""
+    """Global metrics of (key, channel, sample_index, amplitude): over all channels; silence and zero crossings over their mean; level and peak of each channel and how far levels lie apart."""
     x = F.col("amplitude")
     all_ = samples.groupBy(key).agg(F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"), F.avg(x).alias("mean"), F.avg((F.abs(x) >= clip).cast("double")).alias("clipping_ratio"))
-    mono = samples.groupBy(key, "sample_index").agg(F.avg(x).alias("m")).groupBy(key).agg(F.avg((F.abs("m") <= silence).cast("double")).alias("silence_ratio"))
-    sides = samples.groupBy(key, "channel").agg(F.sqrt(F.avg(x * x)).alias("r")).groupBy(key).agg((F.max("r") - F.min("r")).alias("channel_imbalance"))
+    mean = samples.groupBy(key, "sample_index").agg(F.avg(x).alias("m"))
+    crossed = (F.col("m") < 0) != F.lag(F.col("m") < 0).over(Window.partitionBy(key).orderBy("sample_index"))
+    mono = mean.withColumn("c", crossed).groupBy(key).agg(F.avg((F.abs("m") <= silence).cast("double")).alias("silence_ratio"), F.coalesce(F.avg(F.col("c").cast("double")), F.lit(0.0)).alias("zero_crossing_rate"))
+    channels = samples.groupBy(key, "channel").agg(F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"))
+    sides = channels.groupBy(key).agg((F.max("rms") - F.min("rms")).alias("channel_imbalance"), F.array_sort(F.collect_list(F.struct("channel", "rms", "peak"))).alias("channels"))
     return all_.join(mono, key).join(sides, key)
 
 

@@ -117,23 +117,6 @@ def topological(features: Mapping[str, Sequence[str]]) -> list[str]:
     return order
 
 
-def registry_problems(features: Sequence[Mapping]) -> list[str]:
-    """Repeated ids, unknown types and dependencies, inverted ranges, cycles of a registry."""
-    ids = [f["id"] for f in features]
-    out = [f"repeated id {i}" for i in sorted({i for i in ids if ids.count(i) > 1})]
-    for f in features:
-        if f.get("data_type") not in ("integer", "float", "boolean", "string", "categorical"):
-            out.append(f"unknown type of {f['id']}")
-        if f.get("minimum") is not None and f.get("maximum") is not None and f["minimum"] > f["maximum"]:
-            out.append(f"inverted range of {f['id']}")
-        out += [f"{f['id']} depends on unknown {d}" for d in f.get("dependencies", []) if d not in ids]
-    try:
-        topological({f["id"]: f.get("dependencies", []) for f in features})
-    except ValueError as x:
-        out.append(str(x))
-    return out
-
-
 def label_of(sources: Sequence[Column], override: bool = False) -> Column:
     """The first label there is; null where two sources disagree, unless the first may override."""
     first = F.coalesce(*sources)

@@ -41,12 +41,29 @@ def _arrivals(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ledger(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "ledger")
-    rows = table(s, d, "manifest").select("sample_id", "batch_no").filter("sample_id is not null").dropDuplicates(["sample_id"])
-    write = st.ledger(path, "sample_id")
-    for k in range(2):  # the second delivery adds nothing
-        write(rows, k)
-    return s.read.schema(rows.schema).parquet(path).select("sample_id")
+    """The manifest as a stream of two files, the second a delivery of everything again, into one ledger; then the stream once more."""
+    folder, rows = scratch(s, "ledger"), table(s, d, "manifest").select("sample_id", "batch_no")
+    for k in range(2):
+        rows.write.parquet(f"{folder}/in/{k}")
+    stream = lambda: s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for run in range(2):
+        st.into_ledger(stream(), f"{folder}/out", "sample_id", f"{folder}/marks{run}")
+    return s.read.parquet(f"{folder}/out").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    out = st.to_table(st.flagged_runs(_events(s, d), 50.0), scratch(s, "stream"), "runs")
+    return out.filter("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    out = st.to_table(st.merged(_events(s, d), 86400.0, 3 * 86400.0), scratch(s, "stream"), "merged")
+    return out.filter("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+
+
+def _guarded(s: SparkSession, d: str) -> DataFrame:
+    out = st.to_table(st.guarded_times(_events(s, d)), scratch(s, "stream"), "guarded")
+    return out.filter("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "previous").alias("held_back"))
 
 
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
@@ -73,6 +90,9 @@ QUERIES = {
     "stm03_thinned": _thinned,
     "stm04_arrivals": _arrivals,
     "stm04_ledger": _ledger,
+    "stm02_flagged_runs": _runs,
+    "stm03_merged": _merged,
+    "stm05_guarded_times": _guarded,
     "snk06_csv": _csv_round_trip,
     "snk07_jsonl": _jsonl_round_trip,
     "jon06_grid": _grid,
@@ -86,7 +106,13 @@ r AS (SELECT user_id, ts, sum(CAST(coalesce(gap, true) AS INT)) OVER (PARTITION
     "stm03_thinned": """WITH RECURSIVE k AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
 UNION ALL SELECT k.user_id, x.ts FROM k, LATERAL (SELECT min(e.ts) AS ts FROM events e WHERE e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL '86400 seconds') x WHERE x.ts IS NOT NULL) SELECT user_id, count(*) AS n FROM k GROUP BY 1""",
     "stm04_arrivals": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
-    "stm04_ledger": "SELECT DISTINCT sample_id FROM manifest WHERE sample_id IS NOT NULL",
+    "stm04_ledger": "SELECT DISTINCT sample_id, 1 AS n FROM manifest WHERE sample_id IS NOT NULL",
+    "stm02_flagged_runs": """WITH f AS (SELECT user_id, ts, event_id, value <= 50 AS f FROM events), g AS (SELECT *, coalesce(sum(CAST(NOT f AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS g FROM f),
+r AS (SELECT user_id, g, count(*) AS n FROM g WHERE f GROUP BY 1, 2) SELECT user_id, count(*) AS runs, CAST(sum(n) AS BIGINT) AS n, max(n) AS longest FROM r GROUP BY 1""",
+    "stm03_merged": """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT user_id, k, 1 AS g, s AS a, s AS b FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN a ELSE o.s END, o.s FROM (SELECT m.*, o2.s AS s2, o2.s - m.b <= 86400 + 1e-9 AND o2.s - m.a <= 259200 + 1e-9 AS j FROM m JOIN o o2 ON o2.user_id = m.user_id AND o2.k = m.k + 1) m JOIN o ON o.user_id = m.user_id AND o.k = m.k + 1),
+c AS (SELECT user_id, g, count(*) AS n FROM m GROUP BY 1, 2) SELECT user_id, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, max(n) AS largest FROM c GROUP BY 1""",
+    "stm05_guarded_times": "WITH m AS (SELECT user_id, ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (back) AS held_back FROM m GROUP BY 1",
     "snk06_csv": "SELECT entry_id, sample_id, batch_no, feature_schema_version FROM manifest",
     "snk07_jsonl": "SELECT DISTINCT record_id, load_no, CASE WHEN NOT isnan(frame_summary.mean_sharpness) THEN frame_summary.mean_sharpness END AS sharpness FROM outcome_features",
     "jon06_grid": """WITH t AS (SELECT user_id AS entity, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS difference FROM events QUALIFY difference IS NOT NULL),

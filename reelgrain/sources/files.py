@@ -27,6 +27,56 @@ def content_digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def streamed_digests(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFrame:
+    """path and SHA-256 of each file, read a chunk at a time in the tasks: of any size, and none is held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for path in batch.column(0).to_pylist():
+                uri = f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+                store, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while data := f.read(chunk):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["path", "sha256"])
+
+    return spark.read.format("binaryFile").load(folder).select("path").mapInArrow(run, "path string, sha256 string")
+
+
+def head_of(spark: SparkSession, path: str, size: int = 4096) -> bytes:
+    """The first bytes of a file, or of the first file with content in a folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        raise FileNotFoundError(path)
+    parts = sorted((f for f in store.listStatus(target) if f.isFile() and f.getLen() > 0 and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().getName())
+    if not parts:
+        return b""
+    held = store.open(parts[0].getPath())
+    try:
+        return bytes(held.readNBytes(size))
+    finally:
+        held.close()
+
+
+def resolved(spark: SparkSession, path: str | None, usual: Sequence[str]) -> str:
+    """The path that is asked for, else the first of the usual ones that is there."""
+    from reelgrain.sources.sinks import taken
+
+    for candidate in [path] if path else usual:
+        if taken(spark, candidate):
+            return candidate
+    raise FileNotFoundError(path or f"none of {list(usual)}")
+
+
 def sniffed(head: str) -> str:
     """The delimiter of a CSV head among , ; tab and |, a comma if none stands out."""
     try:
@@ -35,13 +85,40 @@ def sniffed(head: str) -> str:
         return ","
 
 
-def feature_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV export, all columns as text, texts that mean missing as null; rows of another width are an error."""
+def feature_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A CSV export, all columns as text, texts that mean missing as null; quoted fields may hold line breaks; rows of another width are an error.
+
+    The delimiter and the encoding (UTF-8, else Latin-1) are told from the first 4,096 bytes; what is not UTF-8 only later
+    on must be named.
+    """
+    head = head_of(spark, path)
+    if not head.strip():
+        raise ValueError(f"{path} is empty")
+    if encoding is None:
+        try:
+            head[: max(1, len(head) - 3)].decode("utf-8") if len(head) == 4096 else head.decode("utf-8")
+            encoding = "UTF-8"
+        except UnicodeDecodeError as x:
+            encoding = "UTF-8" if x.start > len(head) - 8 and len(head) == 4096 else "ISO-8859-1"
     if delimiter is None:
-        first = spark.read.text(path).limit(8).collect()
-        delimiter = sniffed("\n".join(r[0] or "" for r in first))
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", sep=delimiter, encoding=encoding, escape='"', multiLine=False)
-    return raw.select(*(present_text(F.col(f"`{c}`")).alias(c.lstrip("﻿")) for c in raw.columns))
+        delimiter = sniffed(head.decode("utf-8" if encoding == "UTF-8" else "latin-1", "replace"))
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", sep=delimiter, encoding=encoding, escape='"', multiLine=True)
+    return raw.select(*(present_text(F.col(f"`{c}`")).alias(c.lstrip("\ufeff")) for c in raw.columns))
+
+
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold one JSON object each, over many lines; anything else is an error."""
+    head = head_of(spark, path).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    if not head.startswith("{"):
+        raise ValueError(f"{path} holds no object")
+    return spark.read.json(path, multiLine=True, mode="FAILFAST")
+
+
+def probe_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """path, body, error of stored probe documents: a file that is no JSON object has the error that a failed probe has."""
+    rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    fits = F.try_parse_json("body").isNotNull() & F.startswith(F.ltrim("body"), F.lit("{"))
+    return rows.select("path", F.when(fits, F.col("body")).alias("body"), F.when(~F.coalesce(fits, F.lit(False)), "probe_failed").alias("error"))
 
 
 def feature_jsonl(spark: SparkSession, path: str) -> DataFrame:

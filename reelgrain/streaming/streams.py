@@ -24,22 +24,112 @@ def sessions(stream: DataFrame, at: str = "ts", key: str = "user_id", gap: str =
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def thinned(stream: DataFrame, seconds: float, at: str = "ts", key: str = "user_id", late: str = "1 day") -> DataFrame:
-    """Greedy thinning with the last kept time as state; rows of a batch are taken in order of time, older ones are dropped."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt = state.get[0] if state.exists else -float("inf")
-        rows = pd.concat(list(parts)).sort_values(at)
+def _folded(stream: DataFrame, key: str, at: str, late: str, columns: list[str], fold: Callable, out: str, state: str, keep_seconds: float | None) -> DataFrame:
+    """A fold over each key's rows in order of time, with state between batches. A key whose time lies `keep_seconds` behind the watermark is let go, if asked for."""
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            last = fold(held.get, None)[1]
+            held.remove()
+            if len(last):
+                yield last.assign(**{key: k[0]})[names]
+            return
+        rows = pd.concat([p for p in parts if len(p)]).sort_values(columns)
+        new, found = fold(held.get if held.exists else None, rows)
+        held.update(new)
+        if keep_seconds is not None:
+            held.setTimeoutTimestamp(max(int((rows[at].max().timestamp() + keep_seconds) * 1000), held.getCurrentWatermarkMs() + 1))
+        yield found.assign(**{key: k[0]})[names]
+
+    names = [key, *(c.strip().split()[0] for c in out.split(","))]
+    timeout = GroupStateTimeout.NoTimeout if keep_seconds is None else GroupStateTimeout.EventTimeTimeout
+    rows = stream.select(key, F.col(at).cast("timestamp").alias(at), *(c for c in columns if c != at), *(c for c in ("value",) if c in stream.columns and c not in columns)).withWatermark(at, late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, {out}", state, "append", timeout)
+
+
+def thinned(stream: DataFrame, seconds: float, at: str = "ts", key: str = "user_id", late: str = "1 day", keep_seconds: float | None = None) -> DataFrame:
+    """Greedy thinning with the last kept time as state: a row is kept if it lies `seconds` after the last kept one.
+
+    Rows of a batch are taken in order of time. A row that comes later than rows after it were taken is kept only if it lies
+    after the last kept one, as the state cannot go back. State may go `keep_seconds` after a key's last row: more than
+    `seconds` changes nothing.
+    """
+
+    def fold(state, rows):
+        nxt = state[0] if state else -float("inf")
         kept = []
-        for t in rows[at]:
+        for t in rows[at] if rows is not None else ():
             s = t.timestamp()
             if s + 1e-9 >= nxt:
                 kept.append(t)
                 nxt = s + seconds
-        state.update((nxt,))
-        yield pd.DataFrame({key: [k[0]] * len(kept), at: kept})
+        return (nxt,), pd.DataFrame({at: pd.Series(kept, dtype="datetime64[ns]")})
+
+    return _folded(stream, key, at, late, [at], fold, f"{at} timestamp", "next double", keep_seconds)
+
+
+def flagged_runs(stream: DataFrame, limit: float, at: str = "ts", order: str = "event_id", key: str = "user_id", late: str = "1 day", keep_seconds: float = 86400.0 * 30) -> DataFrame:
+    """Maximal runs of a key's rows whose value is at most `limit`: start, end and length, emitted when a run ends by another row or its key's state is let go."""
+
+    def fold(state, rows):
+        first, last, n = state if state and state[2] else (0.0, 0.0, 0)
+        out = []
+        if rows is None:
+            return (0.0, 0.0, 0), frame([(first, last, n)] if n else [])
+        for t, v in zip(rows[at], rows["value"]):
+            if v <= limit:
+                s = t.timestamp()
+                first, last, n = (s if not n else first), s, n + 1
+            elif n:
+                out.append((first, last, n))
+                n = 0
+        return (first, last, n), frame(out)
+
+    def frame(runs):
+        return pd.DataFrame({"start_seconds": [r[0] for r in runs], "end_seconds": [r[1] for r in runs], "n": pd.Series([r[2] for r in runs], dtype="int64")})
+
+    return _folded(stream, key, at, late, [at, order], fold, "start_seconds double, end_seconds double, n bigint", "first double, last double, n bigint", keep_seconds)
+
+
+def merged(stream: DataFrame, gap: float, span: float, at: str = "ts", order: str = "event_id", key: str = "user_id", late: str = "1 day", keep_seconds: float = 86400.0 * 30) -> DataFrame:
+    """Rows to groups as they come: one joins the open group if it begins within `gap` of its end and the whole stays within `span`; a group is emitted when the next begins or its key's state is let go."""
+
+    def fold(state, rows):
+        first, last, n = state if state else (0.0, 0.0, 0)
+        out = []
+        if rows is None:
+            return (0.0, 0.0, 0), frame([(first, last, n)] if n else [])
+        for t in rows[at]:
+            s = t.timestamp()
+            if n and s - last <= gap + 1e-9 and s - first <= span + 1e-9:
+                last, n = max(last, s), n + 1
+            else:
+                if n:
+                    out.append((first, last, n))
+                first, last, n = s, s, 1
+        return (first, last, n), frame(out)
+
+    def frame(groups):
+        return pd.DataFrame({"start_seconds": [g[0] for g in groups], "end_seconds": [g[1] for g in groups], "n": pd.Series([g[2] for g in groups], dtype="int64")})
 
-    return stream.select(key, F.col(at).cast("timestamp").alias(at)).withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} bigint, {at} timestamp", "next double", "append", GroupStateTimeout.NoTimeout)
+    return _folded(stream, key, at, late, [at, order], fold, "start_seconds double, end_seconds double, n bigint", "first double, last double, n bigint", keep_seconds)
+
+
+def guarded_times(stream: DataFrame, at: str = "ts", order: str = "event_id", key: str = "user_id", late: str = "1 day") -> DataFrame:
+    """Rows in order of arrival number with a time that never falls back: the reported one, or the last one and `previous` where the report lies behind it."""
+
+    def fold(state, rows):
+        last = state[0] if state else -float("inf")
+        ids, times, sources = [], [], []
+        for t, i in zip(rows[at], rows[order]) if rows is not None else ():
+            s = t.timestamp()
+            sources.append("reported" if s >= last else "previous")
+            last = max(last, s)
+            ids.append(i)
+            times.append(last)
+        return (last,), pd.DataFrame({order: pd.Series(ids, dtype="int64"), "seconds": times, "source": sources})
+
+    return _folded(stream, key, at, late, [order, at], fold, f"{order} bigint, seconds double, source string", "last double", None)
 
 
 def distinct_arrivals(stream: DataFrame, key: list[str], at: str = "ts", late: str = "1 day") -> DataFrame:
@@ -47,22 +137,34 @@ def distinct_arrivals(stream: DataFrame, key: list[str], at: str = "ts", late: s
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def ledger(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends rows whose key the ledger lacks; a replayed batch adds nothing."""
+def ledger(path: str, key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends rows whose key the ledger lacks; a replayed batch adds nothing.
+
+    The ledger is parted by a hash of the key, and a batch reads the parts that its own keys fall into, so that a small
+    batch does not read the whole.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as x:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(x):
-                raise
-        fresh.write.mode("append").parquet(path)
+        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            parts = [r[0] for r in fresh.select("part").distinct().collect()]  # at most `buckets`
+            held = spark.read.schema(fresh.schema).parquet(path).filter(F.col("part").isin(parts)).select(key)
+            fresh_only = fresh.join(held, key, "left_anti")
+        else:
+            fresh_only = fresh
+        fresh_only.write.mode("append").partitionBy("part").parquet(path)
+        fresh.unpersist()
 
     return write
 
 
+def into_ledger(stream: DataFrame, path: str, key: str, marks: str) -> None:
+    """Run a stream over what is there into a ledger."""
+    stream.writeStream.foreachBatch(ledger(path, key)).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
 def to_table(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     spark = stream.sparkSession
