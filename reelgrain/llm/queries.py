@@ -28,7 +28,17 @@ QUERIES = {
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
+_DIGEST = "regexp_replace(lower(trim(video_sha256, ' ' || chr(9) || chr(10) || chr(13))), '^(sha-?256[:=]\\s*|0x)', '')"
+
 ORACLES = {
+    "p7_found": f"""
+WITH RECURSIVE m AS (SELECT entry_id, CASE WHEN lower(trim(source, {_SPACES})) NOT IN ('', 'null', 'none', 'nan', 'na', 'n/a') THEN lower(trim(source, {_SPACES})) END AS src, CASE WHEN regexp_full_match({_DIGEST}, '[0-9a-f]{{64}}') THEN {_DIGEST} END AS dig FROM manifest),
+d AS (SELECT DISTINCT src, dig FROM m WHERE src IS NOT NULL AND dig IS NOT NULL), e AS (SELECT DISTINCT a.src AS x, b.src AS y FROM d a JOIN d b ON a.dig = b.dig AND a.src <> b.src),
+r AS (SELECT DISTINCT src AS x, src AS y FROM m WHERE src IS NOT NULL UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+l AS (SELECT x AS src, min(y) AS k FROM r GROUP BY 1), ld AS (SELECT dig, min(k) AS k FROM d JOIN l USING (src) GROUP BY 1),
+g AS (SELECT entry_id, coalesce(l.k, ld.k, m.dig) AS group_key FROM m LEFT JOIN l ON l.src = m.src LEFT JOIN ld ON ld.dig = m.dig)
+SELECT entry_id, group_key FROM g WHERE group_key IS NOT NULL QUALIFY count(*) OVER (PARTITION BY group_key) > 1
+""",
     "p6_found": f"""
 WITH m AS (SELECT l.expected_label, lower(trim(generator_or_camera, {_SPACES})) AS generator_or_camera FROM manifest JOIN label_alias l ON l.alias = lower(trim(manifest.expected_label, {_SPACES}))),
 c AS (SELECT expected_label, generator_or_camera, count(*) AS n FROM m GROUP BY 1, 2)
