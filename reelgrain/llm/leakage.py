@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.session import written
 
-WINDOW, SHINGLE, BLOCK_WORDS = 12, 5, 200_000
+WINDOW, SHINGLE, BLOCK_WORDS, AT_ONCE = 12, 5, 200_000, 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -83,12 +83,12 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _places(block: Block, tables: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: words before each document, places of item shingles in the whole batch, their ids."""
+def _places(block: Block, tables: dict, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a batch: words before each document, places of item shingles in the whole batch, their ids."""
     get = block.vocabulary.get
     streams, starts = [], [0]
     for t in texts:
-        own = [get(w, -1) for w in words(t)]
+        own = [get(w, -1) for w in t]
         streams.append(np.array(own, np.int64))
         starts.append(starts[-1] + len(own))
     ids, starts = np.concatenate([*streams, np.zeros(0, np.int64)]), np.array(starts, np.int64)
@@ -123,25 +123,26 @@ def _tables(block: Block) -> dict:
     return out
 
 
-def shingle_places(documents: DataFrame, block: Block, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, places, shingles: a row per document that holds any shingle of the block."""
-    shared = documents.sparkSession.sparkContext.broadcast(block)
+def shingle_places(documents: DataFrame, blocks: Block | Sequence[Block], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """block, key, n_words, places, shingles: a row per block and document that holds any of its shingles. A document is read and parted into words once for all blocks."""
+    shared = documents.sparkSession.sparkContext.broadcast([blocks] if isinstance(blocks, Block) else list(blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        tables = _tables(own)
+        own = [(block, _tables(block)) for block in shared.value]
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
-                starts, places, found = _places(own, tables, batch.column(1).to_pylist())
-                cuts = np.searchsorted(places, starts)
-                held = np.flatnonzero(np.diff(cuts))
-                local = places - np.repeat(starts[:-1], np.diff(cuts))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.diff(cuts)[held])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (local, found)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), pa.array(np.diff(starts)[held]), *lists], names=[key, "n_words", "places", "shingles"])
+                texts = [words(t) for t in batch.column(1).to_pylist()]
+                for number, (block, tables) in enumerate(own):
+                    starts, places, found = _places(block, tables, texts)
+                    cuts = np.searchsorted(places, starts)
+                    held = np.flatnonzero(np.diff(cuts))
+                    local = places - np.repeat(starts[:-1], np.diff(cuts))
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.diff(cuts)[held])]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (local, found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), number, np.int32)), batch.column(0).take(pa.array(held)), pa.array(np.diff(starts)[held]), *lists], names=["block", key, "n_words", "places", "shingles"])
 
-    return documents.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, n_words bigint, places array<int>, shingles array<int>")
+    return documents.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"block int, {key} bigint, n_words bigint, places array<int>, shingles array<int>")
 
 
 def verified(places: DataFrame, block: Block, counts: np.ndarray, key: str = "doc_id") -> DataFrame:
@@ -189,28 +190,32 @@ def verified(places: DataFrame, block: Block, counts: np.ndarray, key: str = "do
     return places.select(key, "n_words", "places", "shingles").mapInArrow(run, f"{key} bigint, item_id bigint")
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, item_id: documents that hold a window of an item."""
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, at_once: int = AT_ONCE) -> DataFrame:
+    """key, item_id: documents that hold a window of an item. The corpus is read once for each `at_once` blocks of items."""
     spark = documents.sparkSession
     parts, held, size = [], [], 0
+    blocks: list[Block] = []
 
     def flush() -> None:
-        block = build(held, window, shingle)
-        total = sum(len(i) for _, i in block.by_length.values())
-        places = written(shingle_places(documents, block, key), "places")
-        counts = np.zeros(max(total, 1), np.int64)
-        for s, n in places.select(key, F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").count().collect():  # a row per item shingle of the block
-            counts[s] = n
-        parts.append(verified(places, block, counts, key))
+        places = written(shingle_places(documents, blocks, key), "places")
+        counts = [np.zeros(max(sum(len(i) for _, i in b.by_length.values()), 1), np.int64) for b in blocks]
+        for b, s, n in places.select("block", key, F.explode(F.array_distinct("shingles")).alias("s")).groupBy("block", "s").count().collect():  # a row per item shingle of the blocks
+            counts[b][s] = n
+        parts.extend(verified(places.filter(F.col("block") == b), block, counts[b], key) for b, block in enumerate(blocks))
+        blocks.clear()
 
     for item, text in items.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null").toLocalIterator():
         own = words(text)
         if held and size + len(own) > block_words:
-            flush()
+            blocks.append(build(held, window, shingle))
             held, size = [], 0
+            if len(blocks) >= at_once:
+                flush()
         held.append((item, own))
         size += len(own)
     if held:
+        blocks.append(build(held, window, shingle))
+    if blocks:
         flush()
     if not parts:
         return spark.createDataFrame([], f"{key} bigint, item_id bigint")
