@@ -75,8 +75,8 @@ QUERIES = {
     "num04_frame_rates": lambda s, d: table(s, d, "part").select("p_partkey", F.round(sc.frame_rate(F.concat(F.col("p_size") * 1000, F.lit("/"), F.col("p_partkey") % 3)), 3).alias("rate")),
     "num06_rotation": lambda s, d: table(s, d, "customer").select("c_custkey", sc.rotation(F.col("c_custkey") * 90 - 5000).alias("rotation")),
     "str08_phrases": lambda s, d: table(s, d, "documents").filter(F.lower("text").rlike(r"not proof|no demuestra|keine bearbeitung")).select("doc_id"),
-    "jsn01_fingerprints": lambda s, d: table(s, d, "nation").select("n_nationkey", va.row_fingerprint(["n_nationkey", "n_name", "n_regionkey"]).alias("fingerprint")),
-    "map02_encoding": lambda s, d: table(s, d, "orders").groupBy(F.create_map(F.lit("F"), F.lit(0), F.lit("O"), F.lit(1), F.lit("P"), F.lit(2))[F.col("o_orderstatus")].alias("code")).agg(F.count(F.lit(1)).alias("n")),
+    "jsn01_fingerprints": lambda s, d: table(s, d, "manifest").select("entry_id", va.row_fingerprint(["sample_id", "video_name", "feature_file", "source", "notes", "batch_no"]).alias("fingerprint")),
+    "map02_encoding": lambda s, d: _features(s, d).select("run_id", F.try_element_at(F.create_map(F.lit("real"), F.lit(0), F.lit("ai_generated"), F.lit(1)), F.col("identity.expected_label")).alias("code")).groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("n")),
     "arr01_slices": lambda s, d: table(s, d, "embeddings").select("vec_id", F.size(F.filter(F.slice("embedding", 1, 8), lambda x: x > 0)).alias("positive")),
 }
 
@@ -110,7 +110,7 @@ SELECT entry_id, CASE WHEN a <= 180 THEN 'full' WHEN b <= 180 THEN 'without_note
     "num04_frame_rates": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_size > 0 THEN round(p_size * 1000 / (p_partkey % 3), 3) END AS rate FROM part",
     "num06_rotation": "SELECT c_custkey, ((c_custkey * 90 - 5000) % 360 + 360) % 360 AS rotation FROM customer",
     "str08_phrases": "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'not proof|no demuestra|keine bearbeitung')",
-    "jsn01_fingerprints": "SELECT n_nationkey, sha256(CAST(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) AS VARCHAR)) AS fingerprint FROM nation",
-    "map02_encoding": "SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS code, count(*) AS n FROM orders GROUP BY 1",
+    "jsn01_fingerprints": "SELECT entry_id, sha256(CAST(to_json({'batch_no': batch_no, 'feature_file': feature_file, 'notes': notes, 'sample_id': sample_id, 'source': source, 'video_name': video_name}) AS VARCHAR)) AS fingerprint FROM manifest",
+    "map02_encoding": f"WITH {_FD} SELECT run_id, CASE identity.expected_label WHEN 'real' THEN 0 WHEN 'ai_generated' THEN 1 END AS code, count(*) AS n FROM f GROUP BY 1, 2",
     "arr01_slices": "SELECT vec_id, len(list_filter(embedding[1:8], lambda x: x > 0)) AS positive FROM embeddings",
 }

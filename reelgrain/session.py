@@ -55,8 +55,13 @@ def _remove_local(path: str) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/reelgrain/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/reelgrain/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove everything that this application wrote to the shared folder. Results that have not been taken yet are lost with it."""
+    remove(spark, f"{shared_dir(spark)}/reelgrain/{spark.sparkContext.applicationId}")
 
 
 def store(df: DataFrame, path: str, partition_by: str | None = None, **options: str) -> None:
