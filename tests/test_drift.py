@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from reelgrain.operators.drift import changes, current_names, unified, version_key
+from reelgrain.operators.drift import changes, current_names, uncast, unified, version_key
 
 EVOLUTION = "id string, introduced_version string, aliases array<string>, renamed_from string, deprecated_version string, removed_version string"
 
@@ -42,3 +42,17 @@ def test_unified_types(spark, evolution):
     rows = {r.record_id: r for r in unified(frame(spark, {1: [{"old": "12.0", "flag": True, "sample_id": "s"}, {"n": 1.5}, {"new": 9007199254740993}, None]}), evolution, schema).collect()}
     assert (rows[0]["new"], rows[0]["flag"], rows[0]["sample_id"]) == (12, True, "s")
     assert rows[1]["new"] is None and rows[2]["new"] == 9007199254740993 and rows[3]["new"] is None
+
+
+def test_values_that_do_not_fit_are_reported(spark, evolution):
+    schema = spark.createDataFrame([("0.10.0", "new", "integer"), ("0.10.0", "flag", "boolean"), ("0.10.0", "x", "float")], "feature_schema_version string, export_name string, data_type string")
+    whole = unified(frame(spark, {1: [{"old": "1.5", "flag": "maybe", "x": "1e3"}, {"new": 10**30, "x": None}, {"n": 7, "flag": True}], 2: [{"m": "abc"}]}), evolution, schema)
+    assert {tuple(r) for r in uncast(whole).collect()} == {("p", 1, "new", 2), ("p", 1, "flag", 1), ("p", 2, "new", 1)}
+
+
+def test_too_large_a_registry_is_an_error(spark, evolution):
+    from reelgrain.session import small_rows
+
+    assert len(small_rows(evolution, 4)) == 4
+    with pytest.raises(ValueError):
+        small_rows(evolution, 3)

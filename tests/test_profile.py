@@ -1,6 +1,6 @@
 import math
 
-from reelgrain.operators.profile import NUMERIC, LoadProfile, load_findings
+from reelgrain.operators.profile import NUMERIC, LoadProfile, column_profile, load_findings
 
 LEAVES = "record_id bigint, run_id bigint, load_no int, value string, c string, identity struct<video_sha256: string, video_name: string>, media struct<duration_seconds: double, width: bigint, height: bigint, frame_rate: double, frame_count: bigint>, frame_summary struct<sampled_frame_count: bigint, mean_brightness: double, mean_contrast: double, mean_sharpness: double, dark_frame_ratio: double, white_frame_ratio: double>"
 
@@ -40,3 +40,14 @@ def test_outliers_do_not_hide_a_shift(spark):
     rows = [row(i, 1, 1.0 + i * 1e-6) for i in range(50)] + [row(100, 1, 1e12)] + [row(200 + i, 2, 2.0 + i * 1e-6) for i in range(50)]
     got = findings(spark, rows)
     assert (1, 2, "frame_summary.mean_sharpness", "shift") in got
+
+
+def test_every_leaf_is_profiled(spark):
+    rows = [row(i, 1, s) for i, s in enumerate((1.0, 3.0, math.inf, math.nan))] + [row(9, 2, 5.0, "a/b.mp4")]
+    schema = spark.createDataFrame([("0.10.0", "frame_summary.mean_sharpness", 0.0, 2.0)], "feature_schema_version string, export_name string, minimum double, maximum double")
+    out = {(r.load_no, r.column_name): r for r in column_profile(spark.createDataFrame(rows, LEAVES), schema).collect()}
+    assert len(out) == 2 * (len(NUMERIC) + 2)
+    sharp = out[1, "frame_summary.mean_sharpness"]
+    assert (sharp.missing, sharp.distinct_values, sharp.violations, sharp.summed, sharp.mean, sharp.deviation) == (1, 3, 2, 2, 2.0, 1.0)
+    name = out[2, "identity.video_name"]
+    assert (name.violations, name.distinct_values, name.missing, name.mean) == (1, 1, 0, None)

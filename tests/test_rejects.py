@@ -32,3 +32,8 @@ def test_very_long_fields_do_not_overflow(spark):
     line = '"' + '""' * 50_000 + 'x.mp4",real,m,c,1,2,3,h'
     bad, good = run(spark, [line, '"' + "a" * 500_000, "," * 100_000])
     assert bad == {2: "quoting", 3: "column_count"} and len(good[1].path) == 50_005
+
+
+def test_valid_lines_name_what_fits_no_type(spark):
+    bad, good = run(spark, ["a.mp4,real,m,c,99999999999999999999,2,3,h,1.5", "b.mp4,real,m,c,1,2,3,h,big"], header=HEADER + ",file_size_mb")
+    assert bad == {} and good[1].not_cast == ["frames"] and good[1].frames is None and good[1].file_size_mb == 1.5 and good[2].not_cast == ["file_size_mb"] and good[2].width == 2
