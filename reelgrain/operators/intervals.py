@@ -31,7 +31,11 @@ def near_pairs(left: DataFrame, right: DataFrame, gap: float, cell: float) -> Da
 
 def best_match(left: DataFrame, right: DataFrame, gap: float, cell: float) -> DataFrame:
     """For each left interval the right one that overlaps most; then by share, middle distance, start and id."""
-    pairs = near_pairs(left, right, gap, cell)
+    return best_of(near_pairs(left, right, gap, cell))
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """The best right interval of each left one among near pairs."""
     share = F.col("overlap") / F.greatest(F.least(F.col("l_end") - F.col("l_start"), F.col("r_end") - F.col("r_start")), F.lit(1e-9))
     middle = F.abs((F.col("l_start") + F.col("l_end") - F.col("r_start") - F.col("r_end")) / 2)
     w = Window.partitionBy("entity", "l_id").orderBy(F.desc("overlap"), F.desc(F.round(share, 6)), F.round(middle, 6), "r_start", "r_id")

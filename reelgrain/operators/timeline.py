@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelgrain.operators import intervals, sequence
+from reelgrain.session import written
 
 GAP, SPAN = 0.25, 1.25
 #: Domains and their groups, anchor types, caps of findings, labels of artifacts in order.
@@ -48,10 +49,10 @@ def members(found: DataFrame, gap: float = GAP, span: float = SPAN, cell: float
     of = lambda r: found.filter(F.col("role") == r).select("entity", "id", "start_seconds", "end_seconds")
     anchors, supporting, contextual = map(of, ROLES)
     merged = sequence.merge_anchors(anchors, gap, span)
-    group = anchors.join(merged, ["entity", "id"]).select("entity", "id", F.col("event").cast("bigint").alias("group"), "start_seconds", "end_seconds")
+    group = written(anchors.join(merged, ["entity", "id"]).select("entity", "id", F.col("event").cast("bigint").alias("group"), "start_seconds", "end_seconds"), "anchors")
     extents = group.groupBy("entity", F.col("group").alias("id")).agg(F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"))
-    pairs = intervals.near_pairs(supporting, extents, gap, cell)
-    best = intervals.best_match(supporting, extents, gap, cell).select("entity", F.col("l_id").alias("id"), F.col("r_id").alias("group"))
+    pairs = written(intervals.near_pairs(supporting, extents, gap, cell), "near")
+    best = intervals.best_of(pairs).select("entity", F.col("l_id").alias("id"), F.col("r_id").alias("group"))
     others = pairs.select("entity", F.col("l_id").alias("id"), F.col("r_id").alias("group")).join(best, ["entity", "id", "group"], "left_anti")
     alone = supporting.join(best.select("entity", "id"), ["entity", "id"], "left_anti")
     # a standalone event is named by its candidate, below every merged group, so that it comes first on ties

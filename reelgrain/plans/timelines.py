@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelgrain.operators import sequence as sq
 from reelgrain.operators import timeline as tl
 from reelgrain.plans.sequences import _S
-from reelgrain.session import table
+from reelgrain.session import table, written
 
 GAP, SPAN, CELL = 1800.0, 14400.0, 21600.0
 #: event_type -> source type, domain, length in seconds.
@@ -34,8 +34,9 @@ def found(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = found(s, d)
-    return (rows, *tl.members(rows, GAP, SPAN, CELL))
+    """Candidates, events and members, each written once, as all that follows reads them several times."""
+    rows = written(found(s, d), "candidates")
+    return (rows, *(written(part, "timeline") for part in tl.members(rows, GAP, SPAN, CELL)))
 
 
 def _final(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +70,7 @@ QUERIES = {
     "win14_findings": _findings,
     "set06_findings": _distinct_findings,
     "srt07_artifacts": _artifacts,
-    "jon17_review_events": lambda s, d: tl.highlights(_final(s, d)).select("entity", "event", "rank").join(_final(s, d).select("entity", "event", "start_seconds", "class", "priority"), ["entity", "event"]),
+    "jon17_review_events": lambda s, d: (lambda f: tl.highlights(f).select("entity", "event", "rank").join(f.select("entity", "event", "start_seconds", "class", "priority"), ["entity", "event"]))(_final(s, d)),
     "val08_timeline_rules": lambda s, d: tl.violations(*_parts(s, d), SPAN),
     "val08_broken_rules": lambda s, d: (lambda r, e, m: tl.violations(r.withColumn("domain", F.when(F.col("id") % 50 == 0, "unknown").otherwise(F.col("domain"))), e, m.filter("id % 40 <> 0"), SPAN))(*_parts(s, d)),
 }
