@@ -42,10 +42,11 @@ import math
 import struct
 from collections.abc import Iterator, Sequence
 from functools import cache, reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,11 +257,10 @@ def spread(keys: DataFrame, bits: int, home: bool) -> DataFrame:
                         at = order[lo : min(lo + BLOCK, int(b))]
                         yield int(to[at[0]]) * SLOTS + slot, rows.take(at).pack(slot < CHUNKS)
 
-        def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
             t = pa.Table.from_batches(held)
             kinds, ids, many = (t.column(i).to_numpy() for i in (0, 2, 3))
             raw = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8).reshape(-1, 32)
-            found: list[tuple[int, bytes]] = []
             for kind in range(len(KEYS)):
                 at = np.flatnonzero(kinds == kind)
                 if not len(at):
@@ -270,13 +270,16 @@ def spread(keys: DataFrame, bits: int, home: bool) -> DataFrame:
                 if kind == 0:
                     for c, own in enumerate(chunk_keys(raw[at])):
                         whole.keys = own
-                        found += slot_rows(c, whole, WIDTHS[c])
+                        yield from slot_rows(c, whole, WIDTHS[c])
                 else:
                     whole.keys = mixed(words)
-                    found += slot_rows(CHUNKS + kind - 1, whole, 64)
-            found.sort(key=lambda x: x[0])
-            for lo in range(0, len(found), 512):
-                part = found[lo : lo + 512]
+                    yield from slot_rows(CHUNKS + kind - 1, whole, 64)
+
+        def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = packed(held)
+            # only what is stored has an order; copies for many parts leave as they are packed and are never held together
+            rows = iter(sorted(rows, key=lambda x: x[0])) if home else rows
+            while part := list(islice(rows, 512)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=["part", "blob"])
 
         held, n = [], 0
@@ -312,7 +315,7 @@ class Stored:
             for i, (low, high) in enumerate(ranges):
                 if low <= part <= high:
                     t = f.read_row_group(i)
-                    out += [Rows.unpack(b.as_py()) for b in t.column(1).filter(pa.compute.equal(t.column(0), part))]
+                    out += [Rows.unpack(b.as_py()) for b in t.column(1).filter(pc.equal(t.column(0), part))]
         return out
 
 
@@ -370,7 +373,9 @@ def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: i
                         names=["kind", "value", "what", "record"],
                     )
 
-    tasks = min(SLOTS << bits, 4 * keys.sparkSession.sparkContext.defaultParallelism)
+    # a key goes to more parts the more bits there are: tasks grow alike, so that the share held by one does not
+    copies = math.ceil(len(masks(bits, min(FLIPS, bits))) / 4)
+    tasks = min(SLOTS << bits, 4 * copies * keys.sparkSession.sparkContext.defaultParallelism)
     rows = spread(keys, bits, False)
     return rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).mapInArrow(run, MET)
 
@@ -541,8 +546,8 @@ class History:
         store(taken.observe(seen, F.count(F.lit(1)).alias("n")), f"{self.path}/entries/{k}/{turn}")
         stored, n = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{k}/{turn}"), seen.get["n"]
         keys = exploded(stored.coalesce(1 + n // 200_000)).select("kind", "value", F.col("entry_id").alias("vid"), F.lit(False).alias("many"))
-        # row groups of some 4 MB in order of part, so that a reader takes little more than its own
-        small = {"compression": "uncompressed", "parquet.block.size": str(1 << 22), "parquet.enable.dictionary": "false"}
+        # row groups of some 512 KB in order of part, their size looked at after each few blobs, so that a reader takes little more than its own
+        small = {"compression": "uncompressed", "parquet.block.size": str(1 << 19), "parquet.page.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
         store(spread(keys, self.bits, True), f"{self.path}/chunks/{k}/{turn}", **small)
         return n, data_files(self.spark, f"{self.path}/chunks/{k}/{turn}")
 

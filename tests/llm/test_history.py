@@ -1,7 +1,12 @@
 import itertools
 import random
+import subprocess
+import sys
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelgrain.llm import history as h
@@ -146,6 +151,53 @@ def test_a_small_batch_reads_row_groups_and_not_the_table(spark, tmp_path, monke
     assert taken[1] < 2 * taken[0]
 
 
+def test_a_new_worker_reads_the_table(spark, tmp_path):
+    """A Python worker that has done nothing else yet reads the chunks, as after a minute's rest or a failed task."""
+    store = h.History(spark, str(tmp_path))
+    store.ingest(spark.createDataFrame([(1, 0, "a", None, words(7), "x", "y", "z")], SCHEMA))
+    code = f"from reelgrain.llm.history import Stored; print(len(Stored({store.parts[0]['files']!r}).read(0)))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "1", done.stderr
+
+
+def test_copies_for_many_parts_are_not_held_together():
+    """Packing keys for the 16 parts around each takes a small part of what it yields."""
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n, rng = 20_000, np.random.default_rng(2)
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(rng.bytes(32 * n))]).cast(pa.binary())
+    keys = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), raw, pa.array(np.arange(n)), pa.array(np.zeros(n, bool))], names=["kind", "value", "vid", "many"])
+    run, total, rows = h.spread(Caught(), 5, False), 0, 0
+    tracemalloc.start()
+    for batch in run(iter([keys])):
+        total += batch.nbytes
+        rows += sum(len(h.Rows.unpack(b.as_py())) for b in batch.column(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n * h.CHUNKS * 16 and peak < total / 2
+
+
+def test_tasks_grow_with_the_parts_around_a_key(spark):
+    keys = spark.createDataFrame([], "kind int, value binary, vid bigint, many boolean")
+    tasks = [h.probe(keys, bits, [], True, 24).rdd.getNumPartitions() for bits in (0, 2, 4, 5)]
+    assert tasks == [11, 16, 48, 64]
+
+
+def test_a_part_is_read_without_its_neighbours(spark, tmp_path):
+    """A part of a table in 64 buckets takes a small part of a chunk file, not row groups that hold many parts."""
+    rng = random.Random(8)
+    store = h.History(spark, str(tmp_path), bits=6)
+    store.ingest(spark.createDataFrame([(e, 0, f"s{e}", None, words(rng.getrandbits(256))) + ("x", "y", "z") for e in range(6000)], SCHEMA))
+    for _, ranges in h.Stored(store.parts[0]["files"]).files:
+        assert max(sum(low <= part <= high for low, high in ranges) for part in range(64 * h.SLOTS)) <= len(ranges) / 2
+
+
 def test_a_lost_chunk_file_is_an_error(spark, tmp_path):
     store = h.History(spark, str(tmp_path))
     store.ingest(spark.createDataFrame([(1, 0, "a", None, words(7), "x", "y", "z")], SCHEMA))
