@@ -41,10 +41,10 @@ def _arrivals(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ledger(s: SparkSession, d: str) -> DataFrame:
-    """The manifest as a stream of two files, the second a delivery of everything again, into one ledger; then the stream once more."""
+    """The manifest as a stream of two deliveries, the second of everything again, into one ledger; then the stream once more. Their files follow their size."""
     folder, rows = scratch(s, "ledger"), table(s, d, "manifest").select("sample_id", "batch_no")
     for k in range(2):
-        rows.write.parquet(f"{folder}/in/{k}")
+        rows.hint("rebalance").write.parquet(f"{folder}/in/{k}")
     stream = lambda: s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     for run in range(2):
         st.into_ledger(stream(), f"{folder}/out", "sample_id", f"{folder}/marks{run}")

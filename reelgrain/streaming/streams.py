@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+FILE_ROWS = 500_000  # of a ledger's file
+
 
 def windowed(stream: DataFrame, at: str = "ts", value: str = "value", key: str = "event_type", size: str = "1 day", hop: str = "12 hours", late: str = "1 day") -> DataFrame:
     """Sliding windows with a watermark; a window is emitted once, when it is complete."""
@@ -140,21 +143,26 @@ def distinct_arrivals(stream: DataFrame, key: list[str], at: str = "ts", late: s
 def ledger(path: str, key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that appends rows whose key the ledger lacks; a replayed batch adds nothing.
 
-    The ledger is parted by a hash of the key, and a batch reads the parts that its own keys fall into, so that a small
-    batch does not read the whole.
+    Files are in order of a hash of the key, and a batch reads the pages of them that its own keys fall into, so that a small
+    batch does not read the whole. Their number follows the rows that are new: one file for each `FILE_ROWS` of a batch, and
+    none where nothing is new.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        parts = [r[0] for r in fresh.select("part").distinct().collect()]  # at most `buckets`
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            parts = [r[0] for r in fresh.select("part").distinct().collect()]  # at most `buckets`
+        there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        if there and parts:
             held = spark.read.schema(fresh.schema).parquet(path).filter(F.col("part").isin(parts)).select(key)
-            fresh_only = fresh.join(held, key, "left_anti")
+            added = fresh.join(held, key, "left_anti").persist()
         else:
-            fresh_only = fresh
-        fresh_only.write.mode("append").partitionBy("part").parquet(path)
+            added = fresh
+        n = added.count()
+        if n or not there:
+            added.coalesce(max(1, math.ceil(n / FILE_ROWS))).sortWithinPartitions("part").write.mode("append").parquet(path)
+        added.unpersist()
         fresh.unpersist()
 
     return write

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.operators import intervals as iv
 from reelgrain.operators import sequence as sq
+from reelgrain.streaming import streams as st
 
 T = "entity bigint, from_index int, to_index int, start_seconds double, end_seconds double, difference double, flag boolean"
 
@@ -82,3 +83,17 @@ def test_interval_joins_against_brute_force(spark):
     left = {(r.entity, r.id) for r in iv.unmatched(a, b, 0.25, 5.0).collect()}
     assert left == {(e, i) for e, i, *_ in one} - {(e, i) for e, i, _ in want}
     assert sorted((r.entity, r.l_id, r.r_id) for r in iv.band_equal(a, b, 0.5).collect()) == sorted((e, i, j) for e, i, s, _ in one for f, j, u, _ in two if e == f and abs(s - u) <= 0.5 + 1e-9)
+
+
+def test_ledger_files_follow_what_is_new(spark, tmp_path):
+    """Batches with rows again, a null key and nothing: each key once, one file for a batch that adds rows and none for others."""
+    path = str(tmp_path / "ledger")
+    write = st.ledger(path, "k", 16)
+    batches = [range(0), range(300), range(200, 500), range(500), [7], [900]]
+    files = []
+    for i, keys in enumerate(batches):
+        write(spark.createDataFrame([(f"s{k}", i) for k in keys for _ in range(2)] + [(None, i)], "k string, batch_no int"), i)
+        files.append(len(list((tmp_path / "ledger").rglob("*.parquet"))))
+    got = {r.k: r.batch_no for r in spark.read.parquet(path).collect()}
+    assert got == {f"s{k}": 1 if k < 300 else 2 for k in range(500)} | {"s900": 5} and spark.read.parquet(path).count() == 501
+    assert files == [1, 2, 3, 3, 3, 4]
