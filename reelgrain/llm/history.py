@@ -7,9 +7,9 @@ bits may touch every content-defined chunk (`content_chunks`; its measured recal
 method stands: chunk keys, a persistent table from chunk to record, a decision by coverage (at least 232 of 256 bits
 shared), and an append of the accepted entries' chunks.
 
-No pair is lost. Of 24 differing bits some of nine chunks holds at most two, so two entries within 24 bits have a chunk
-whose keys differ in at most two bits. The history stores one row per chunk; a batch's row probes the two-bit
-neighbourhood of each of its keys (28 or 29 bits) and compares what it meets in full, there and then. A pair is given by
+No pair is lost. Of 24 differing bits one of seven chunks holds at most two or one of two others at most one, as three in
+each of the seven and two in each of the two are 25. The history stores one row per chunk; a batch's row probes the two-bit
+or one-bit neighbourhood of each of its keys (28 or 29 bits) and compares what it meets in full, there and then. A pair is given by
 the first chunk that shows it, so pairs come out once.
 
 The table is parted by chunk and by the first `bits` bits of the key. A batch's rows go to their own part and to those at
@@ -54,11 +54,13 @@ from reelgrain.functions.text import digest_hex, trimmed_lower
 from reelgrain.session import data_files, read_small, remove, scratch, store, write_small, written
 
 RADIUS, CHUNKS, FLIPS = 24, 9, 2
+#: Bits in which a chunk's keys may differ. With one more in each, 25 bits would differ.
+FLIPPED = (FLIPS,) * 7 + (1,) * 2
 DIGEST, SAMPLE, SLOTS = CHUNKS, CHUNKS + 1, CHUNKS + 2
 WIDTHS = tuple(len(range(c, 256, CHUNKS)) for c in range(CHUNKS))
-BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS = 1024, 1 << 20, 1 << 20, 64
+BLOCK, MOST_ROWS, CAPACITY, MOST_PARTS, TOGETHER = 1024, 1 << 20, 1 << 20, 64, 8
 #: Lesser near keys told of a key, pairs told of a part, runs met as a whole, probes at a time.
-MOST_LESSER, MOST_PAIRS, SHORT, PROBES = 4096, 1 << 20, 256, 1 << 19
+MOST_LESSER, MOST_PAIRS, SHORT, PROBES = 4096, 1 << 20, 256, 1 << 16
 KEYS = ("bits", "dig", "sid")
 ENTRY = "entry_id bigint, bits binary, dig binary, sid binary"
 PAIR = "accepted_id bigint, refused_id bigint, kind string"
@@ -86,6 +88,12 @@ def mixed(words: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+@cache
+def neighbours(flips: int) -> np.ndarray:
+    """For each place in a word of 64 cells, the bits of the places at most `flips` bits away."""
+    return np.array([sum(1 << (low ^ int(m)) for m in masks(6, flips)) for low in range(64)], np.uint64)
+
+
 @cache
 def masks(width: int, flips: int) -> np.ndarray:
     """All words of `width` bits with at most `flips` ones, the fewest first."""
@@ -129,8 +137,14 @@ class Rows:
         return Rows(*(np.concatenate([getattr(p, a) for p in parts]) for a in ("ids", "keys", "words", "many")))
 
 
-def near_words(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16) <= radius
+def near_pairs(own: Rows, q: np.ndarray, rows: Rows, t: np.ndarray, radius: int, flips: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (place in own, place in rows) that differ in at most `radius` bits, and their keys in at most `flips`. The first word leaves few of others."""
+    at = np.flatnonzero(np.bitwise_count(own.words[:, 0][q] ^ rows.words[:, 0][t]) <= radius)
+    q, t = q[at], t[at]
+    at = np.flatnonzero(np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= flips)
+    q, t = q[at], t[at]
+    near = np.bitwise_count(own.words[q] ^ rows.words[t]).sum(axis=1, dtype=np.int16) <= radius
+    return q[near], t[near]
 
 
 def shown_first(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
@@ -139,7 +153,7 @@ def shown_first(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
     if len(a) and chunk:
         differ = np.unpackbits((a ^ b).view(np.uint8), axis=1)
         for c in range(chunk):
-            new &= differ[:, c::CHUNKS].sum(axis=1) > FLIPS
+            new &= differ[:, c::CHUNKS].sum(axis=1) > FLIPPED[c]
     return new
 
 
@@ -151,38 +165,56 @@ def expanded(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 class Index:
-    """Rows of one part of the table by cells of their keys."""
+    """Rows of one part of the table by cells of their keys, those of a cell in the order in which they are given.
+
+    Held cells are bits in words of 64 neighbours, so that one word tells all cells that differ in its six low bits; the
+    place of a cell among the held ones is a count of bits.
+    """
 
     def __init__(self, rows: Rows, width: int):
         self.width = width
-        self.bits = min(width, max(8, min(20, int(len(rows)).bit_length() + 2)))
+        self.bits = min(width, max(8, min(24, int(len(rows)).bit_length() + 5)))
         self.rest = np.uint32(width - self.bits)
         cells = self.cells(rows.keys)
-        # within a cell in order of id: ranks below the cells, one sort of whole words
-        ranks = np.empty(len(rows), np.uint64)
-        ranks[np.argsort(rows.ids)] = np.arange(len(rows), dtype=np.uint64)
-        order = np.argsort(cells.astype(np.uint64) << np.uint64(32) | ranks)
+        order = np.sort(cells.astype(np.uint64) << np.uint64(32) | np.arange(len(rows), dtype=np.uint64))
+        cells, order = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.rows = rows.take(order)
-        counts = np.bincount(cells, minlength=1 << self.bits)
-        self.held = counts > 0
-        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.starts = np.concatenate([np.flatnonzero(np.diff(cells.astype(np.int64), prepend=-1)), [len(rows)]]).astype(np.int32)
+        held = np.zeros(1 << self.bits, bool)
+        held[cells] = True
+        self.words = np.packbits(held, bitorder="little").view("<u8")
+        counts = np.bitwise_count(self.words)
+        self.before = (np.cumsum(counts) - counts).astype(np.int32)
 
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return (keys & np.uint32((1 << self.width) - 1)) >> self.rest
 
     def runs(self, cells: np.ndarray, flips: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of queries and the runs of rows in the cells at most `flips` bits away, some millions of probes at a time."""
-        every = masks(self.bits, min(flips, self.bits))
-        step = max(1, PROBES // max(1, len(cells)))
-        for lo in range(0, len(every), step):
-            to = (every[lo : lo + step, None] ^ cells[None, :]).ravel()
-            hit = np.flatnonzero(self.held[to])
-            if len(hit):
-                to = to[hit]
-                yield hit % len(cells), self.starts[to], self.starts[to + 1]
+        """Places of queries and the runs of rows in the cells at most `flips` bits away, some ten thousand probes at a time."""
+        for lo in range(0, len(cells), PROBES):
+            part = cells[lo : lo + PROBES]
+            high, low = (part >> np.uint32(6)).astype(np.int64), part & np.uint32(63)
+            every = masks(self.bits - 6, flips).astype(np.int64)
+            ones = np.bitwise_count(every)
+            step = max(1, PROBES // len(part))
+            for n in range(flips + 1):
+                beside = neighbours(flips - n)[low]
+                some = every[ones == n]
+                for at in range(0, len(some), step):
+                    to = some[at : at + step, None] ^ high[None, :]
+                    left = (self.words[to] & beside).ravel()
+                    hit = np.flatnonzero(left != 0)
+                    to, left, q = to.ravel()[hit], left[hit], lo + hit % len(part)
+                    while len(q):
+                        one = left & (~left + np.uint64(1))  # the lowest bit
+                        cell = self.before[to] + np.bitwise_count(self.words[to] & (one - np.uint64(1)))
+                        yield q, self.starts[cell], self.starts[cell + 1]
+                        left = left ^ one
+                        more = np.flatnonzero(left)
+                        to, left, q = to[more], left[more], q[more]
 
     def lesser(self, own: Rows, flips: int, radius: int, chunk: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in `own` and ids of near rows with a lesser id, and the places that have more than `most` of them.
+        """Places in `own` and ids of near rows with a lesser id, and the places that have more than `most` of them. The rows are given in order of id.
 
         Short runs are met as a whole, long ones a step at a time, so that members of a large group stop when they have
         met enough. Where the pairs exceed `MOST_PAIRS`, each place stops at its first and none is told.
@@ -192,10 +224,9 @@ class Index:
 
         def met(q: np.ndarray, t: np.ndarray) -> None:
             nonlocal told
-            close = np.flatnonzero((rows.ids[t] < own.ids[q]) & (np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS))
-            q, t = q[close], t[close]
-            near = near_words(own.words[q], rows.words[t], radius)
-            q, t = q[near], t[near]
+            q, t = near_pairs(own, q, rows, t, radius, FLIPPED[chunk])
+            before = rows.ids[t] < own.ids[q]
+            q, t = q[before], t[before]
             np.add.at(found, q, 1)
             if told <= MOST_PAIRS:
                 new = shown_first(own.words[q], rows.words[t], chunk)
@@ -223,10 +254,7 @@ class Index:
             step = max(1, int(PROBES * len(at) // max(1, (end - first).sum())))
             for lo in range(0, len(at), step):
                 q, t = expanded(at[lo : lo + step], first[lo : lo + step], end[lo : lo + step])
-                close = np.flatnonzero(np.bitwise_count(own.keys[q] ^ rows.keys[t]) <= FLIPS)
-                q, t = q[close], t[close]
-                near = near_words(own.words[q], rows.words[t], radius)
-                q, t = q[near], t[near]
+                q, t = near_pairs(own, q, rows, t, radius, FLIPPED[chunk])
                 new = shown_first(own.words[q], rows.words[t], chunk)
                 places.append(q[new])
                 records.append(rows.ids[t[new]])
@@ -242,13 +270,13 @@ def equal_pairs(own: Rows, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     return q[same], rows.ids[t[same]]
 
 
-def spread(keys: DataFrame, bits: int, home: bool) -> DataFrame:
+def spread(keys: DataFrame, bits: int, home: bool, flips: Sequence[int] = (FLIPS,) * CHUNKS) -> DataFrame:
     """part, blob: the chunks of (kind, value, vid, many), packed by the parts of the table where they are stored (`home`) or looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slot_rows(slot: int, rows: Rows, width: int) -> Iterator[tuple[int, bytes]]:
             own = (rows.keys >> rows.keys.dtype.type(width - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
-            for mask in masks(bits, 0 if home or slot >= CHUNKS else FLIPS):
+            for mask in masks(bits, 0 if home or slot >= CHUNKS else min(bits, flips[slot])):
                 to = own ^ int(mask)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
@@ -349,9 +377,9 @@ def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: i
                 if own and slot == 0:
                     at = at_home[rows.many[at_home]]
                     out.append((at, EQUAL, rows.ids[at]))
-                targets = [("own", Index(rows.take(at_home), low))] if own and len(at_home) else []
+                targets = [("own", Index(rows.take(at_home[np.argsort(rows.ids[at_home])]), low))] if own and len(at_home) else []
                 targets += [("old", Index(Rows.joined(old), low))] if old else []
-                for n in range(FLIPS + 1):
+                for n in range(FLIPPED[slot] + 1):
                     at = np.flatnonzero(away == n)
                     at = at[np.argsort(rows.keys[at])]
                     if not len(at):
@@ -359,10 +387,10 @@ def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: i
                     mine = rows.take(at)
                     for which, index in targets:
                         if which == "own":
-                            q, record, more = index.lesser(mine, FLIPS - n, radius, slot, most)
+                            q, record, more = index.lesser(mine, FLIPPED[slot] - n, radius, slot, most)
                             out += [(at[q], LESSER, record), (at[more], MORE, None)]
                         else:
-                            q, record = index.pairs(mine, FLIPS - n, radius, slot)
+                            q, record = index.pairs(mine, FLIPPED[slot] - n, radius, slot)
                             out.append((at[q], RECORD, record))
             for at, what, record in out:
                 for lo in range(0, len(at), 50_000):
@@ -376,7 +404,7 @@ def probe(keys: DataFrame, bits: int, files: Sequence[str], own: bool, radius: i
     # a key goes to more parts the more bits there are: tasks grow alike, so that the share held by one does not
     copies = math.ceil(len(masks(bits, min(FLIPS, bits))) / 4)
     tasks = min(SLOTS << bits, 4 * copies * keys.sparkSession.sparkContext.defaultParallelism)
-    rows = spread(keys, bits, False)
+    rows = spread(keys, bits, False, FLIPPED)
     return rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).mapInArrow(run, MET)
 
 
@@ -600,13 +628,21 @@ class History:
 
 
 def refusals(manifest: DataFrame) -> DataFrame:
-    """The refusals of a whole manifest, decided and appended batch by batch in a store of its own."""
+    """The refusals of a whole manifest, decided and appended batch by batch in a store of its own.
+
+    What a batch costs at least does not fall with its size. So consecutive ones are taken together while all of them are
+    less than an eighth of the history; the order of decision is that of entry_id either way.
+    """
     ids = manifest.filter("entry_id is not null")
-    ends = sorted(r[0] for r in ids.groupBy("batch_no").agg(F.max("entry_id")).select("max(entry_id)").collect())  # a row per batch
+    batches = sorted((r.top, r.n) for r in ids.groupBy("batch_no").agg(F.max("entry_id").alias("top"), F.count(F.lit(1)).alias("n")).collect())  # a row per batch
     history = History(manifest.sparkSession)
-    for after, end in zip([None, *ends], ends):
-        part = ids.filter(F.col("entry_id") <= end)
-        history.ingest(part if after is None else part.filter(F.col("entry_id") > after))
+    after, n = None, 0
+    for (end, rows), (_, following) in zip(batches, [*batches[1:], (None, math.inf)]):
+        n += rows
+        if n + following > min(MOST_ROWS, history.size // TOGETHER):
+            part = ids.filter(F.col("entry_id") <= end)
+            history.ingest(part if after is None else part.filter(F.col("entry_id") > after))
+            after, n = end, 0
     return history.refused()
 
 

@@ -265,3 +265,56 @@ def test_content_chunks_cover_a_value():
     value = random.Random(4).randbytes(32)
     chunks = h.content_chunks(value)
     assert b"".join(chunks) == value and 1 < len(chunks) < 32 and h.content_chunks(b"") == []
+
+
+def test_a_probe_meets_the_near_keys_and_few_others():
+    """Of a quarter of a million rows a key meets all that are within two bits of it, and on average under ten besides."""
+    rng, n = np.random.default_rng(8), 1 << 18
+    rows = h.Rows(np.arange(n), rng.integers(0, 1 << 24, n, dtype=np.uint32), np.zeros((n, 4), np.uint64), np.zeros(n, bool))
+    index, keys = h.Index(rows, 24), rng.integers(0, 1 << 24, 500, dtype=np.uint32)
+    for flips in range(h.FLIPS + 1):
+        met = {(int(q), int(i)) for at, first, end in index.runs(index.cells(keys), flips) for q, a, b in zip(at, first, end) for i in index.rows.ids[a:b]}
+        near = {(int(q), int(i)) for q, k in enumerate(keys) for i in np.flatnonzero(np.bitwise_count(rows.keys ^ k) <= flips)}
+        assert near <= met and len(met - near) < 10 * len(keys)
+
+
+def test_runs_of_small_and_crowded_parts():
+    """Cells with many rows, and parts of one row: each row within the flips is met once."""
+    rng = np.random.default_rng(9)
+    for n, width, top in ((1, 12, 1 << 12), (300, 12, 40), (5000, 14, 1 << 14)):
+        rows = h.Rows(np.arange(n), rng.integers(0, top, n, dtype=np.uint32), np.zeros((n, 4), np.uint64), np.zeros(n, bool))
+        index, keys = h.Index(rows, width), rng.integers(0, top, 50, dtype=np.uint32)
+        cells, own = index.cells(index.rows.keys), index.cells(keys)
+        for flips in range(h.FLIPS + 1):
+            met = [(int(q), i) for at, first, end in index.runs(own, flips) for q, a, b in zip(at, first, end) for i in range(a, b)]
+            assert len(met) == len(set(met)) and set(met) == {(q, int(i)) for q, c in enumerate(own) for i in np.flatnonzero(np.bitwise_count(cells ^ c) <= flips)}
+
+
+def test_bits_spread_so_that_only_a_late_chunk_shows_them(spark):
+    """24 bits with three in each of seven chunks and one in another are met; with two in both others they are 25."""
+    rng, rows, want = np.random.default_rng(10), [], set()
+    for k in range(40):
+        base = rng.integers(0, 2, 256, dtype=np.uint8)
+        last = [(1, 2), (2, 1), (3, 0), (0, 3), (2, 2)][k % 5]
+        other = base.copy()
+        for c, many in enumerate([3] * 7 + list(last)):
+            other[c :: h.CHUNKS][rng.choice(28, many, replace=False)] ^= 1
+        for i, bits in enumerate((base, other)):
+            rows.append((100 * i + k, i, None, None, [np.packbits(bits).tobytes().hex()[j : j + 16] for j in range(0, 64, 16)]))
+        if sum(last) == 3:
+            want.add((k, 100 + k, "near"))
+    assert 21 + 4 > h.RADIUS and sum(f + 1 for f in h.FLIPPED) > h.RADIUS and run(spark, rows) == want
+
+
+def test_many_small_batches_are_taken_together(spark, monkeypatch):
+    """A hundred batches of two rows: not a pass over the history for each of them, and the refusals of one batch."""
+    rng, rows = np.random.default_rng(11), []
+    for e in range(200):
+        rows.append((e, e // 2, f"s{e if e % 7 else max(0, e - 30)}", None, [rng.bytes(8).hex() for _ in range(4)] if e % 5 else rows[e // 2][4] if e else None))
+    taken, ingest = [], h.History.ingest
+    monkeypatch.setattr(h.History, "ingest", lambda self, batch: (taken.append(batch.count()), ingest(self, batch))[1])
+    monkeypatch.setattr(h, "MOST_ROWS", 20)
+    monkeypatch.setattr(h, "TOGETHER", 1, raising=False)
+    got = run(spark, rows)
+    assert sum(taken) == 200 and 5 < len(taken) < 30 and max(taken) <= 20
+    assert got and got == run(spark, [(e, 0, *rest) for e, _, *rest in rows])
